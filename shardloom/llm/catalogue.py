@@ -1,6 +1,8 @@
 """Queries of this subpackage, and SQL where it can express them."""
 
+from . import quality_rules
+from .quality_rules import op3_quality_rules
 from .sharding import op9_sharding
 
-QUERIES = {"op9_sharding": op9_sharding}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op9_sharding": op9_sharding}
+ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL}
