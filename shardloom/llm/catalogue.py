@@ -3,6 +3,7 @@
 from . import quality_rules
 from .quality_rules import op3_quality_rules
 from .sharding import op9_sharding
+from .warc import op8_warc
 
-QUERIES = {"op3_quality_rules": op3_quality_rules, "op9_sharding": op9_sharding}
+QUERIES = {"op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
 ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL}
