@@ -1,10 +1,11 @@
 """Queries of this subpackage, and SQL where it can express them."""
 
-from . import quality_rules
+from . import decontaminate, quality_rules
+from .decontaminate import op2_decontaminate
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .sharding import op9_sharding
 from .warc import op8_warc
 
-QUERIES = {"op1_packing": op1_packing, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
-ORACLES: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL}
