@@ -2,10 +2,11 @@
 
 from . import decontaminate, quality_rules
 from .decontaminate import op2_decontaminate
+from .neardup import op10_near_duplicates
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .sharding import op9_sharding
 from .warc import op8_warc
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op9_sharding": op9_sharding}
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality_rules": op3_quality_rules, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL}
