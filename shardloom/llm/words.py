@@ -56,22 +56,29 @@ def _spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(solid & ~before[:-1]), np.flatnonzero(solid & ~after) + 1
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words of each text) for the bytes of texts that begin at starts, in order."""
+def hash_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, past-last byte of each word, words of each text) for texts that begin at starts, in order."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(starts), np.int64)
     power, inverse = _powers_to(len(data) + 1)
     first, last = _spans(data, starts)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * power[: len(data)], out=sums[1:])
     hashes = mix((sums[last] - sums[first]) * inverse[first])
     edges = np.searchsorted(first, np.append(starts, len(data)))
-    return hashes, np.diff(edges)
+    return hashes, first, last, np.diff(edges)
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text) for the bytes of texts that begin at starts, in order."""
+    hashes, _, _, counts = hash_spans(data, starts)
+    return hashes, counts
 
 
-def _long(data: np.ndarray) -> np.ndarray:
-    """Word hashes of one long text, cut at white space into parts of about CHUNK bytes."""
-    out, at = [], 0
+def _parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of one long text of about CHUNK bytes, cut at white space."""
+    at = 0
     while at < len(data):
         end = min(len(data), at + CHUNK)
         while end < len(data):
@@ -80,9 +87,8 @@ def _long(data: np.ndarray) -> np.ndarray:
                 end += int(white[0])
                 break
             end = min(len(data), end + CHUNK)
-        out.append(hash_words(data[at:end], np.zeros(1, np.int64))[0])
+        yield data[at:end]
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def columns_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +105,25 @@ def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     row = 0
     while row < len(texts):
         if at[row + 1] - at[row] > CHUNK:
-            own = _long(data[at[row] : at[row + 1]])
+            own = np.concatenate([hash_words(p, np.zeros(1, np.int64))[0] for p in _parts(data[at[row] : at[row + 1]])])
             yield row, own, np.array([len(own)])
             row += 1
             continue
         end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
         yield row, *hash_words(data[at[row] : at[end]], at[row:end] - at[row])
         row = end
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, starts of the texts in them) of about CHUNK bytes; a longer text comes in several parts."""
+    data, at = columns_bytes(texts)
+    row = 0
+    while row < len(texts):
+        if at[row + 1] - at[row] > CHUNK:
+            for part in _parts(data[at[row] : at[row + 1]]):
+                yield row, part, np.zeros(1, np.int64)
+            row += 1
+            continue
+        end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
+        yield row, data[at[row] : at[end]], at[row:end] - at[row]
+        row = end
