@@ -3,6 +3,7 @@
 from . import decontaminate, quality_rules
 from .decontaminate import op2_decontaminate
 from .langid import op4_language
+from .lm import op5_language_model
 from .neardup import op10_near_duplicates
 from .packing import op1_packing
 from .quality_model import op6_quality_model
@@ -11,5 +12,5 @@ from .sharding import op9_sharding
 from .toxicity import op7_toxicity
 from .warc import op8_warc
 
-QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality_rules": op3_quality_rules, "op4_language": op4_language, "op6_quality_model": op6_quality_model, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_near_duplicates": op10_near_duplicates}
+QUERIES = {"op1_packing": op1_packing, "op2_decontaminate": op2_decontaminate, "op3_quality_rules": op3_quality_rules, "op4_language": op4_language, "op5_language_model": op5_language_model, "op6_quality_model": op6_quality_model, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_sharding": op9_sharding, "op10_near_duplicates": op10_near_duplicates}
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL}
