@@ -1,4 +1,8 @@
 """Queries over the driver's tables, each with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from . import queries_flow, queries_table, queries_text
+
+QUERIES: dict = {**queries_table.QUERIES, **queries_flow.QUERIES, **queries_text.QUERIES}
+ORACLES: dict = {**queries_table.ORACLES, **queries_flow.ORACLES, **queries_text.ORACLES}
