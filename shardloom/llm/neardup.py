@@ -6,8 +6,10 @@
 3. Bands of minima put representatives in buckets. Every bucket names its smallest member
    as hub, and members are compared with hubs first: signatures, then full sets. Pairs that
    components already join are not compared again.
-4. What is left, members of one bucket in different components, is compared in blocks, so
-   that no pair of a bucket goes unseen and no bucket's pairs are emitted as a whole.
+4. What is left, members of one bucket in different components, is compared in blocks that
+   hold the texts: pairs whose signatures allow a link are verified inside the block, best
+   ones first, unless links found there already join them. A pair is looked at in the first
+   band it shares only. So no pair goes unseen, and a block emits links, never its pairs.
 5. Components are found by alternating large-star and small-star steps.
 """
 
@@ -34,6 +36,8 @@ BANDS, ROWS = 24, 5
 SIGNATURE_PERCENT = 70
 #: Members of one comparing task's hub, and of one side of a block.
 HUB_ROWS, BLOCK_ROWS = 256, 1024
+#: Shingle sets that a block keeps at a time.
+BLOCK_SETS = 256
 
 _RNG = np.random.default_rng(0xD0C5)
 _A = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,64 +140,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
                     if b[k] is None:
                         hub = own
                         continue
-                    small, large = (own, hub) if len(own) < len(hub) else (hub, own)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    common = int((large[place] == small).sum())
-                    if 100 * common >= percent * (len(own) + len(hub) - common):
+                    if _alike(own, hub, percent):
                         out.append((a[k], b[k]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
 
     return materialise(rows.mapInArrow(run, "a long, b long"), "near-links")
 
 
-def _block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components, whose signatures agree, by blocks.
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least percent hundredths of their union in common."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[place] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame | None:
+    """Links (a, b) between members of one bucket in different components; None if there are no such members.
 
     Strays, members outside the component of the bucket's hub, meet all members; both sides are
     dealt in parts of BLOCK_ROWS, so a block's memory is bounded.
     """
-    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("comp") != F.col("hub_comp")).alias("strays")).where("strays > 0")
-    counts = materialise(counts.select("key", F.ceil(F.col("strays") / BLOCK_ROWS).cast("int").alias("gs"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("ga")), "near-blocks")
-    rows = members.join(counts, "key").select("key", "hub", "id", "comp", (F.col("comp") != F.col("hub_comp")).alias("stray"), "gs", "ga", F.xxhash64("id").alias("h"))
-    rows = materialise(rows, "near-block-rows").join(nodes.select("id", "sig"), "id")
+    counts = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("comp") != F.col("hub_comp")).alias("strays")).where("strays > 0")
+    counts = materialise(counts.select("band", "key", F.ceil(F.col("strays") / BLOCK_ROWS).cast("int").alias("gs"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("ga")), "near-blocks")
+    if counts.isEmpty():
+        return None
+    rows = members.join(counts, ["band", "key"]).select("band", "key", "hub", "id", "comp", (F.col("comp") != F.col("hub_comp")).alias("stray"), "gs", "ga", F.xxhash64("id").alias("h"))
+    rows = materialise(rows, "near-block-rows").join(nodes.select("id", "sig"), "id").join(texts.select("id", "text"), "id")
     own, other = lambda g: F.pmod(F.col("h"), F.col(g)).cast("int"), lambda g: F.sequence(F.lit(0), F.col(g) - 1)
-    cols = ["key", "hub", "id", "comp", "sig"]
-    strays = rows.where("stray").select(*cols, own("gs").alias("i"), F.explode(other("ga")).alias("j"), F.lit(True).alias("left"))
-    others = rows.select(*cols, F.explode(other("gs")).alias("i"), own("ga").alias("j"), F.lit(False).alias("left"))
-    dealt = strays.unionByName(others).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(block: list[tuple]) -> list[tuple[int, int]]:
-        def side(left):
-            part = [r for r in block if r[4] == left]
-            return [np.array([r[k] for r in part], np.int64) for k in (0, 1, 2)] + [np.frombuffer(b"".join(r[3] for r in part), np.uint32).reshape(len(part), -1)]
+    cols = ["band", "key", "hub", "id", "comp", "sig", "text"]
+    # one row may stand on both sides of a block, so it is sent once with what it is there
+    left = F.when(F.col("stray"), F.transform(other("ga"), lambda j: F.struct(own("gs").alias("i"), j.alias("j"), F.lit(1).alias("side"))))
+    right = F.transform(other("gs"), lambda i: F.struct(i.alias("i"), own("ga").alias("j"), F.lit(2).alias("side")))
+    places = rows.select(*cols, F.explode(F.concat(F.coalesce(left, F.array().cast("array<struct<i:int,j:int,side:int>>")), right)).alias("p"))
+    dealt = places.select(*cols, "p.i", "p.j", "p.side").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "id", "side")
+
+    def links(band: int, block: list[tuple]) -> list[tuple[int, int]]:
+        hub = block[0][0]
+        ids, comps = np.array([r[1] for r in block], np.int64), np.array([r[2] for r in block], np.int64)
+        sigs = np.frombuffer(b"".join(r[3] for r in block), np.uint32).reshape(len(block), -1)
+        side = np.array([r[5] for r in block])
+        strays, others = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        found = []
+        for a in strays:
+            at = others[(comps[others] != comps[a]) & (ids[others] != hub) & (ids[a] != hub)]
+            same = sigs[at] == sigs[a]
+            agree = same.sum(axis=1)
+            first = same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            keep = np.flatnonzero(first & (agree * 100 >= SIGNATURE_PERCENT * sigs.shape[1]))
+            found += [(-int(agree[k]), int(a), int(at[k])) for k in keep]
+        found.sort()
+        root = {int(c): int(c) for c in comps}
+        sets: dict[int, np.ndarray] = {}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        def distinct(k):
+            if k not in sets:
+                if len(sets) >= BLOCK_SETS:
+                    sets.pop(next(iter(sets)))
+                (_, words, _), *_ = hashed(pa.array([block[k][4]], pa.string()))
+                sets[k] = shingles(words, size)
+            return sets[k]
 
-        (hub, ids, comps, sigs), (_, ids2, comps2, sigs2) = side(True), side(False)
         out = []
-        for h, a, c, s in zip(hub, ids, comps, sigs, strict=True):
-            at = np.flatnonzero((comps2 != c) & (ids2 != h) & (a != h))
-            at = at[(sigs2[at] == s).sum(axis=1) * 100 >= percent * len(s)]
-            out += [(min(int(a), int(b)), max(int(a), int(b))) for b in ids2[at]]
+        for _, a, b in found:
+            x, y = top(int(comps[a])), top(int(comps[b]))
+            if x != y and _alike(distinct(a), distinct(b), percent):
+                root[max(x, y)] = min(x, y)
+                out.append((int(ids[a]), int(ids[b])))
         return out
 
     def run(batches):
-        key, block = None, []
+        now, block = None, []
 
         def done():
-            out = sorted(set(compare(block))) if block else []
+            out = links(now[0], block) if block else []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], []))], names=["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = (row[0], row[5], row[6])
-                if at != key:
+                at = (row[0], row[1], row[7], row[8])
+                if at != now:
                     yield done()
-                    key, block = at, []
-                block.append((row[1], row[2], row[3], row[4], row[7]))
+                    now, block = at, []
+                block.append((row[2], row[3], row[4], row[5], row[6], row[9]))
         yield done()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return materialise(dealt.mapInArrow(run, "a long, b long"), "near-block-links")
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -220,9 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(real.groupBy("fp").agg(F.min("id").alias("rep")), "near-classes")
     nodes = real.join(classes.select(F.col("fp").alias("cfp"), "rep"), (F.col("id") == F.col("rep")) & (F.col("fp") == F.col("cfp")), "left_semi")
     nodes = materialise(nodes.select("id", "sig", "bands").dropDuplicates(["id", "sig"]), "near-nodes")
-    banded = nodes.select("id", F.explode("bands").alias("key"))
-    hubs = materialise(banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub"), "near-hubs")
-    members = materialise(banded.join(hubs, "key"), "near-members")
+    banded = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    hubs = materialise(banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "hub"), "near-hubs")
+    members = materialise(banded.join(hubs, ["band", "key"]), "near-members")
     involved = members.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
     texts = materialise(texts, "near-texts")
@@ -237,8 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = apart.select(F.col("hub").alias("a"), F.col("id").alias("b")).join(first, ["a", "b"], "left_anti")
     comps = _joined(comps, _verified(_similar(materialise(apart, "near-apart"), nodes, SIGNATURE_PERCENT), texts, percent, size))
     own, hub = comps.select("id", "comp"), comps.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
-    placed = materialise(members.join(own, "id").join(hub, "hub"), "near-placed")
-    comps = _joined(comps, _verified(_block_pairs(placed, nodes, SIGNATURE_PERCENT), texts, percent, size))
+    found = _block_links(materialise(members.join(own, "id").join(hub, "hub"), "near-placed"), nodes, texts, percent, size)
+    if found is not None:
+        comps = _joined(comps, found)
 
     final = materialise(classes.join(comps.withColumnRenamed("id", "rep"), "rep").select(F.col("fp").alias("cfp"), F.col("comp")), "near-final")
     out = rows.join(final, (F.col("fp") == F.col("cfp")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")
