@@ -15,7 +15,7 @@ def runs(df: DataFrame, value: Column, order: list[str], group: str, place: str)
     columns and the value, and streams.
     """
     w = Window.orderBy(*order)
-    marked = df.withColumn("_v", value).withColumn("_new", (~F.col("_v").eqNullSafe(F.lag("_v").over(w))).cast("int"))
+    marked = df.withColumn("_v", value).withColumn("_new", F.when(F.row_number().over(w) == 1, F.lit(1)).otherwise((~F.col("_v").eqNullSafe(F.lag("_v").over(w))).cast("int")))
     marked = marked.withColumn(group, (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long"))
     first = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
     return marked.withColumn(place, first.cast("long")).drop("_v", "_new")
