@@ -77,6 +77,21 @@ class Trie:
             counts[at[ok]] = level["count"][found[ok]]
         return ids, counts
 
+    def tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """words(), with each distinct one looked up once."""
+        keys, where = np.unique(hashes, return_inverse=True)
+        ids, counts = self.words(keys)
+        return ids[where], counts[where]
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """bigrams(), with each distinct pair of known ids looked up once."""
+        segment, rank = np.zeros(len(a), np.int64), np.full(len(a), -1, np.int64)
+        known = np.flatnonzero((a >= 0) & (b >= 0))
+        keys, where = np.unique(a[known].astype(np.uint64) << np.uint64(32) | b[known].astype(np.uint64), return_inverse=True)
+        s, r = self.bigrams((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        segment[known], rank[known] = s[where], r[where]
+        return segment, rank
+
     def segment_of_id(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, ids, "right") - 1
 
@@ -89,7 +104,8 @@ class Trie:
     def successor(self, n: int, segment: int, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Rank in level n, or -1, of the n-grams of a context (rank in level n - 1) and a word id."""
         level = self.level(n, segment)
-        begin, end = level["list"].get(context).astype(np.int64), level["list"].get(context + 1).astype(np.int64)
+        own, back = np.unique(context, return_inverse=True)
+        begin, end = (level["list"].get(own + k).astype(np.int64)[back] for k in (0, 1))
         wanted = ids.astype(np.uint64)
         get = lambda i: unpack(level["ids"], self.width, i)
         at = lower_bound(get, begin, end, wanted)
@@ -127,16 +143,13 @@ class Trie:
 
     def score(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token (base log10, model log10, known) of token hashes, END after each text; starts: first tokens of texts."""
-        keys, where = np.unique(hashes, return_inverse=True)
-        ids, counts = (x[where.ravel()] for x in self.words(keys))
+        ids, counts = self.tokens(hashes)
         base = self.first(counts)
         end_id = self.words(np.array([END]))[0][0]
         # the token before the first of a text is END
         prior = np.concatenate([[end_id], ids[:-1]])
         prior[starts] = end_id
-        pair = prior.astype(np.uint64) << np.uint64(32) | (ids & 0xFFFFFFFF).astype(np.uint64)
-        _, one, back = np.unique(pair, return_index=True, return_inverse=True)
-        segment, rank = (x[back.ravel()] for x in self.bigrams(prior[one], ids[one]))
+        segment, rank = self.pairs(prior, np.where(counts >= MIN_COUNT, ids, -1))
         model = self.second(prior, segment, rank, base)
         # trigrams: the bigram before, unless the text begins here
         s1, r1 = np.roll(segment, 1), np.roll(rank, 1)
@@ -179,48 +192,46 @@ def _with_end(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class _Sums:
-    """Sums counts by (segment, key), sending blocks when there are many keys."""
+    """Sums counts by key, sending blocks by segment when there are many keys. Keys keep the order of segments."""
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, segment_of_keys):
+        self.segment_of_keys = segment_of_keys
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, segment: np.ndarray, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray) -> None:
         if len(keys):
-            self._put(segment, keys, np.ones(len(keys), np.int64))
+            self.parts.append(np.unique(keys, return_counts=True))
+            self.size += len(self.parts[-1][0])
             if self.size > 2 * TASK_ENTRIES:
                 self.merge()
 
-    def _put(self, *part) -> None:
-        self.parts.append(_summed(*part))
-        self.size += len(self.parts[-1][0])
-
     def merge(self) -> None:
         if len(self.parts) > 1:
-            whole = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
-            self.parts, self.size = [], 0
-            self._put(*whole)
+            self.parts = [summed(self.parts)]
+            self.size = len(self.parts[0][0])
 
     def blocks(self, end: bool) -> Iterator[pa.RecordBatch]:
         if self.size > TASK_ENTRIES or end:
             self.merge()
         if self.parts and (end or self.size > TASK_ENTRIES):
-            segment, keys, counts = self.parts[0]
-            rows = []
-            for at, s in _groups(segment):
+            (keys, counts), self.parts, self.size = self.parts[0], [], 0
+            for at, s in _groups(self.segment_of_keys(keys)):
                 for lo in range(0, len(at), 1 << 17):
-                    part = at[lo : lo + (1 << 17)]
-                    rows.append((s, encode(keys[part], counts[part])))
-            self.parts, self.size = [], 0
-            for row in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary())], names=["segment", "block"])
+                    part = slice(at[lo], at[min(len(at), lo + (1 << 17)) - 1] + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([encode(keys[part], counts[part])], pa.binary())], names=["segment", "block"])
 
 
-def _summed(segment: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((keys, segment))
-    segment, keys, counts = segment[order], keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (segment[1:] != segment[:-1])]))
-    return segment[first], keys[first], np.add.reduceat(counts, first)
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted (keys, counts) of several."""
+    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
 
 
 def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -248,9 +259,7 @@ def _merged(blocks: DataFrame, segments: int, build, schema: str = "segment int,
         now, parts = None, []
 
         def done():
-            keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            _, keys, counts = _summed(np.zeros(len(keys), np.int64), keys, counts) if len(keys) else (None, keys, counts)
-            n, total, file = build(now, keys, counts)
+            n, total, file = build(now, *(summed(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([file], pa.string())], names=["segment", "n", "total", "file"])
 
         for batch in batches:
@@ -262,22 +271,21 @@ def _merged(blocks: DataFrame, segments: int, build, schema: str = "segment int,
                 if block.is_valid:
                     parts.append(decode(block.as_py()))
                     if len(parts) >= 16:  # keep the sum, not the parts
-                        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-                        parts = [_summed(np.zeros(len(keys), np.int64), keys, counts)[1:]]
+                        parts = [summed(parts)]
         if now is not None:
             yield done()
 
     return {int(r["segment"]): (int(r["n"]), int(r["total"]), r["file"]) for r in dealt.mapInArrow(run, schema).collect()}
 
 
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """Blocks of the keys that keys_of(tokens, starts) -> (segment, key) gives for all texts."""
+def _counted(texts: DataFrame, keys_of, segment_of_keys) -> DataFrame:
+    """Blocks of the keys that keys_of(tokens, starts) gives for all texts."""
 
     def run(batches):
-        sums = _Sums()
+        sums = _Sums(segment_of_keys)
         for batch in batches:
             for _, words, counts in hashed(batch.column(0)):
-                sums.add(*keys_of(*_with_end(words, counts)))
+                sums.add(keys_of(*_with_end(words, counts)))
                 yield from sums.blocks(False)
         yield from sums.blocks(True)
 
@@ -301,64 +309,64 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     segments = int(min(4096, max(8, -(-size // segment_bytes))))
 
-    def words(tokens, starts):
-        return segment_of(tokens, segments), tokens
+    def by_offsets(offsets):
+        bounds = np.array(offsets)
+        return lambda keys: np.searchsorted(bounds, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
 
     def build_words(segment, keys, counts):
         return len(keys), int(counts.sum()), save(folder, f"words-{segment}", EliasFano.of(keys).arrays("list") | {"count": counts})
 
     meta = {"segments": segments, "files": {}, "total": 0, "offsets": [0] * (segments + 1)}
-    done = _merged(_counted(texts, words), segments, build_words)
+    done = _merged(_counted(texts, lambda tokens, starts: tokens, lambda keys: segment_of(keys, segments)), segments, build_words)
     meta["files"][1] = [done[s][2] for s in range(segments)]
     meta["total"] = sum(done[s][1] for s in range(segments))
     meta["offsets"] = [0, *np.cumsum([done[s][0] for s in range(segments)]).tolist()]
 
+    if meta["offsets"][-1] >= 1 << 32:
+        raise ValueError("more than 2^32 distinct words; use a greater SEGMENT_BYTES only with wider keys")
+
     def bigrams(tokens, starts):
         trie = _trie(meta)
-        keys, where = np.unique(tokens, return_inverse=True)
-        ids, counts = trie.words(keys)
-        ids = np.where(counts >= MIN_COUNT, ids, -1)[where.ravel()]
-        end = trie.words(np.array([END]))[0][0]
-        prior = np.concatenate([[end], ids[:-1]])
-        prior[starts] = end
+        ids, counts = trie.tokens(tokens)
+        ids[counts < MIN_COUNT] = -1
+        prior = np.concatenate([[-1], ids[:-1]])
+        prior[starts] = trie.words(np.array([END]))[0][0]
         ok = (prior >= 0) & (ids >= 0)
-        a, b = prior[ok], ids[ok]
-        segment = trie.segment_of_id(a)
-        return segment, (a - trie.offsets[segment]).astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        return prior[ok].astype(np.uint64) << np.uint64(32) | ids[ok].astype(np.uint64)
 
     def build_bigrams(segment, keys, counts):
         trie = _trie(meta)
         keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
-        a, b = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        a, b = (keys >> np.uint64(32)).astype(np.int64) - trie.offsets[segment], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         n = int(trie.offsets[segment + 1] - trie.offsets[segment])
         totals = trie.level(1, segment)["count"]
         p, back = _discounted(a, counts, totals[a], 10 ** trie.first(trie.counts(b)), a, n)
         pointers = np.searchsorted(a, np.arange(n + 1))
-        arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(b, trie.width), "p": quantise(p), "back": quantise(back), "count": counts, "first": a.astype(np.uint32), "last": b}
+        arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(b, trie.width), "p": quantise(p), "back": quantise(back), "count": counts, "last": b}
         return len(keys), int(counts.sum()), save(folder, f"bigrams-{segment}", arrays)
 
-    done = _merged(_counted(texts, bigrams), segments, build_bigrams)
+    done = _merged(_counted(texts, bigrams, by_offsets(meta["offsets"])), segments, build_bigrams)
     meta["files"][2] = [done[s][2] for s in range(segments)]
+    ranks = np.concatenate([[0], np.cumsum([done[s][0] for s in range(segments)])]).astype(np.int64)
+    if ranks[-1] >= 1 << 32:
+        raise ValueError("more than 2^32 bigrams; a greater MIN_COUNT keeps fewer")
 
     def trigrams(tokens, starts):
         trie = _trie(meta)
-        keys, where = np.unique(tokens, return_inverse=True)
-        ids = trie.words(keys)[0][where.ravel()]
-        end = trie.words(np.array([END]))[0][0]
-        prior = np.concatenate([[end], ids[:-1]])
-        prior[starts] = end
-        pair = prior.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
-        _, one, back = np.unique(pair, return_index=True, return_inverse=True)
-        segment, rank = (x[back.ravel()] for x in trie.bigrams(prior[one], ids[one]))
-        s1, r1 = np.roll(segment, 1), np.roll(rank, 1)
-        r1[starts] = -1
-        ok = (r1 >= 0) & (rank >= 0)
-        return s1[ok], r1[ok].astype(np.uint64) << np.uint64(32) | ids[ok].astype(np.uint64)
+        ids, counts = trie.tokens(tokens)
+        ids[counts < MIN_COUNT] = -1
+        prior = np.concatenate([[-1], ids[:-1]])
+        prior[starts] = trie.words(np.array([END]))[0][0]
+        segment, rank = trie.pairs(prior, ids)
+        before = np.where(np.roll(rank, 1) >= 0, ranks[np.roll(segment, 1)] + np.roll(rank, 1), -1)
+        before[starts] = -1
+        ok = (before >= 0) & (rank >= 0)
+        return before[ok].astype(np.uint64) << np.uint64(32) | ids[ok].astype(np.uint64)
 
     def build_trigrams(segment, keys, counts):
         trie = _trie(meta)
         keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
-        context, c = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        context, c = (keys >> np.uint64(32)).astype(np.int64) - ranks[segment], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         level = trie.level(2, segment)
         b = level["last"][context]
         s2, r2 = trie.bigrams(b, c)
@@ -369,7 +377,7 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(c, trie.width), "p": quantise(p), "back": quantise(back)}
         return len(keys), int(counts.sum()), save(folder, f"trigrams-{segment}", arrays)
 
-    done = _merged(_counted(texts, trigrams), segments, build_trigrams)
+    done = _merged(_counted(texts, trigrams, by_offsets(ranks)), segments, build_trigrams)
     meta["files"][3] = [done[s][2] for s in range(segments)]
     return meta
 
