@@ -57,3 +57,9 @@ def block_place(key: Column, size: int) -> Column:
 def tile_of(a: Column, b: Column, size: int) -> tuple[Column, Column, Column]:
     """(tile of a, tile of b, place in the tile) of a two-dimensional key."""
     return block_start(a, size), block_start(b, size), block_place(a, size) * size + block_place(b, size)
+
+
+def upsample(pixels: Column, cols: int, times: int = 2) -> Column:
+    """An image (rows after one another) with every pixel repeated in both directions."""
+    wide = cols * times
+    return F.transform(F.sequence(F.lit(0), F.size(pixels) * (times * times) - 1), lambda i: F.get(pixels, F.floor(F.floor(i / wide) / times).cast("int") * cols + F.floor((i % wide) / times).cast("int")))

@@ -116,3 +116,18 @@ def particle_step(points: DataFrame, key: str, axes: list[str], cube: float = CU
     for a in axes:
         inside = inside & F.col(a).between(0.0, cube)
     return moved.where(inside).groupBy(*axes).agg(F.min(key).alias(key)).select(key, *axes)
+
+
+def layer_rows(spark, layers: list[np.ndarray]) -> DataFrame:
+    """(layer, i, j, w): weights as a table, to be saved with snapshots."""
+    rows = [(n, i, j, float(w)) for n, m in enumerate(layers) for (i, j), w in np.ndenumerate(m)]
+    return spark.createDataFrame(rows, "layer int, i int, j int, w double")
+
+
+def layers_of(rows: DataFrame) -> list[np.ndarray]:
+    """Weights from their table; the model is small and wanted by every task."""
+    table = rows.orderBy("layer", "i", "j").toPandas()
+    out = []
+    for _, part in table.groupby("layer", sort=True):
+        out.append(part["w"].to_numpy().reshape(part["i"].max() + 1, part["j"].max() + 1))
+    return out

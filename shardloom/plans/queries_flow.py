@@ -245,3 +245,40 @@ def rescale_counts(spark, d):
     counts = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     ends = counts.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     return counts.crossJoin(F.broadcast(ends)).select("user_id", scale_to(F.col("n"), F.col("lo"), F.col("hi")).alias("v"))
+
+
+@_q.add(
+    "image_upsample",
+    "WITH x AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 40) SELECT vec_id, (k // 8 * 2 + a) * 16 + k % 8 * 2 + b AS pos, v FROM x, (SELECT i::INT AS a FROM range(0, 2) r(i)), (SELECT i::INT AS b FROM range(0, 2) r(i))",
+)
+def image_upsample(spark, d):
+    from ..functions.numeric import upsample
+
+    rows = table(spark, d, "embeddings").where("vec_id < 40").select("vec_id", F.posexplode(upsample(F.col("embedding"), 8)).alias("pos", "v"))
+    return rows.select("vec_id", "pos", F.col("v").cast("double").alias("v"))
+
+
+@_q.add("weights_roundtrip", "SELECT layer::INT AS layer, i::INT AS i, j::INT AS j, ((layer * 7 + i * 3 + j) % 11) / 4.0::DOUBLE AS w FROM range(0, 2) a(layer), range(0, 5) b(i), range(0, 4) c(j) WHERE layer = 0 OR j = 0")
+def weights_roundtrip(spark, d):
+    import numpy as np
+
+    layers = [np.array([[((n * 7 + i * 3 + j) % 11) / 4.0 for j in range(4 if n == 0 else 1)] for i in range(5)]) for n in range(2)]
+    at = f"{shared_folder(spark)}/weights-{uuid.uuid4().hex}"
+    learning.layer_rows(spark, layers).write.parquet(at)
+    back = learning.layers_of(spark.read.parquet(at))
+    return learning.layer_rows(spark, back)
+
+
+@_q.add("process_pipe", "SELECT upper(r_name) AS line FROM region")
+def process_pipe(spark, d):
+    from ..sources.files import through_process
+
+    return through_process(table(spark, d, "region"), "r_name", ["tr", "a-z", "A-Z"])
+
+
+@_q.add("powerlaw_sites", "SELECT 20::BIGINT AS sites, true AS falling")
+def powerlaw_sites(spark, d):
+    """Pages by twentieths of the sites: the first has most, the last fewest."""
+    sizes = site_graph(spark, 4000, links=1, sites=20).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+    ends = sizes.agg(F.count(F.lit(1)).alias("sites"), (F.max_by("n", -F.col("site")) > F.max_by("n", "site")).alias("falling"))
+    return ends

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,3 +120,34 @@ def random_digraph(spark: SparkSession, nodes: int, density: int = 4, seed: int
 def strided(spark: SparkSession, n: int, shards: int) -> DataFrame:
     """(shard, id): 0 to n - 1, dealt by stride."""
     return spark.range(n).select(F.pmod(F.col("id"), F.lit(shards)).cast("int").alias("shard"), "id")
+
+
+def through_process(df: DataFrame, column: str, command: list[str]) -> DataFrame:
+    """(line): output lines of a command that reads the column's values as lines, one process for each task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines = [str(v) for part in parts for v in part[column] if v is not None]
+        done = subprocess.run(command, input="\n".join(lines), capture_output=True, text=True, check=True)
+        yield pd.DataFrame({"line": done.stdout.splitlines()})
+
+    return df.select(column).mapInPandas(run, "line string")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(_fs(spark, path)[0].exists(_fs(spark, path)[1]))
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file or folder in its own file system."""
+    fs, path = _fs(spark, source)
+    return bool(fs.rename(path, _fs(spark, target)[1]))
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def slurp(spark: SparkSession, path: str) -> str:
+    """A small file as one text."""
+    return text_lines(spark, path, whole=True).first()["value"]

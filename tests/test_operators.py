@@ -214,3 +214,15 @@ def test_plans_prune_and_push(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").where("l_quantity > 40").groupBy("l_suppkey").agg(F.sum("l_quantity"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in plan and "ReadSchema: struct<l_suppkey:bigint,l_quantity:double>" in plan
+
+
+def test_file_helpers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny")
+    assert files.slurp(spark, f"{tmp_path}/a.txt") == "x\ny" and files.path_exists(spark, f"{tmp_path}/a.txt")
+    assert files.move(spark, f"{tmp_path}/a.txt", f"{tmp_path}/b.txt") and not files.path_exists(spark, f"{tmp_path}/a.txt")
+    files.append_log(spark.range(2), f"{tmp_path}/log")
+    files.append_log(spark.range(3), f"{tmp_path}/log")
+    assert files.records(spark, f"{tmp_path}/log").count() == 5
+    files.write_records(spark.range(4).withColumn("p", F.col("id") % 2), f"{tmp_path}/out", "overwrite", "zstd", "p")
+    assert files.records(spark, f"{tmp_path}/out").where("p = 1").count() == 2
+    assert files.strided(spark, 5, 2).where("shard = 1").count() == 2
