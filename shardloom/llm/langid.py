@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
@@ -22,6 +22,8 @@ from .words import chunks, hash_spans
 
 #: At most so many labelled rows, and evenly spaced words of each, are learned from.
 SAMPLE_ROWS, SAMPLE_WORDS = 4000, 48
+#: Languages that can be learned, the most frequent ones.
+LANGUAGES = 1000
 #: Sizes of the network, longest piece of a word in bytes, training steps and words in a step.
 EMBED, HIDDEN, PIECE, STEPS, BATCH = 12, 20, 24, 700, 320
 #: Results kept by a worker.
@@ -170,18 +172,16 @@ def pieces(word: bytes) -> list[bytes]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS) -> Network:
     """Learn from at most rows documents that are not held out and have a language; a bounded number of words reaches the driver."""
     picked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 3) != 1))
-    picked = picked.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.xxhash64(id_col, lang_col).alias("h"))
-    # of each language alike, so that rare ones are learned too
-    near = picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(1000).collect()
-    each = max(1, rows // max(1, len(near)))
-    parts = []
-    for r in near:
-        parts.append(picked.where(F.col("y") == r["y"]).orderBy("h", "i").limit(each).select("i", "y"))
-    if not parts:
+    picked = picked.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.pmod(F.xxhash64(id_col, lang_col), F.lit(1 << 30)).alias("h"))
+    # rows of each language alike, so that rare ones are learned too: by their counts, about twice
+    # the wanted rows pass a bound on the hash, and the smallest hashes of those are taken
+    counts = picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES).collect()
+    if not counts:
         return Network((), {})
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.unionByName(p)
+    each = max(1, rows // len(counts))
+    bounds = docs.sparkSession.createDataFrame([(r["y"], int((1 << 30) * min(1.0, (2 * each + 50) / r["n"]))) for r in counts], "y string, bound long")
+    near = picked.join(F.broadcast(bounds), "y").where("h <= bound")
+    ids = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "i"))).where(F.col("r") <= each).select("i", "y")
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(ids), (F.col("d") == F.col("i")) & (F.col("l") == F.col("y")))
 
     def cut(batches):
