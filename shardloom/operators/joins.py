@@ -28,9 +28,11 @@ def lookup(left: DataFrame, right: DataFrame, on: Column | list[str], default: d
 def nearest(points: DataFrame, centres: DataFrame, point: list[str], centre: list[str], key: str, centre_id: str, within: float | None = None) -> DataFrame:
     """points with the id (nearest) and squared distance (d2) of the nearest centre; null beyond within.
 
-    centres is a small parameter table: it is gathered into one array, which every task reads.
-    Ties go to the smallest id.
+    centres is a parameter table, of BROADCAST_ROWS at most: it is counted, gathered into one
+    array, and read by every task. Ties go to the smallest id.
     """
+    if centres.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} centres")
     table = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(centre_id).alias("id"), *[F.col(c).cast("double").alias(c) for c in centre]))).alias("centres"))
     with_all = points.crossJoin(F.broadcast(table))
     scored = F.transform("centres", lambda c: F.struct(squared_distance([F.col(p) for p in point], [c[x] for x in centre]).alias("d2"), c["id"].alias("id")))

@@ -16,11 +16,12 @@ def page_rank(edges: DataFrame, steps: int, src: str = "src", dst: str = "dst",
 
     A step gives every page RESTART and every link's target its part of the source's rank. The
     state begins empty, so the first step gives RESTART everywhere. Links are weighted once and
-    kept with the degree, so a step is one join and one sum.
+    kept dealt by their source, so a step joins them where they are and only the sums move.
     """
-    degree = edges.groupBy(src).agg(F.count(F.lit(1)).alias("degree"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    degree = cut(edges.groupBy(src).agg(F.count(F.lit(1)).alias("degree")), "degree")
     links = edges.groupBy(src, dst).agg(F.count(F.lit(1)).alias("times")).join(degree, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("times") * DAMPING / F.col("degree")).alias("part"))
-    links = cut(links, "links").persist()
+    links = cut(links, "links").repartition(parts, "src").persist()
     restart = degree.select(F.col(src).alias("node"), F.lit(RESTART).alias("rank"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
