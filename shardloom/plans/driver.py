@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import time
 import uuid
@@ -18,9 +19,29 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or "file:///tmp/shardloom-work").rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; what is there is removed when the program ends."""
+    path = f"{shared_folder(spark)}/shardloom-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove() -> None:
+    for spark, path in _made:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended
+            return
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """df, written to the shared folder and read again: ends its lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,7 +14,7 @@ from ..operators.table import KeyedTable, TableSpec
 from ..sources.files import random_digraph, site_graph
 from ..streaming.accumulate import accumulate, file_stream, merge_into
 from . import graph, learning
-from .driver import shared_folder
+from .driver import scratch
 from .registry import Queries, table
 
 _q = Queries()
@@ -226,7 +226,7 @@ def stream_merge(spark, d):
     spec = TableSpec(("user_id",), {"total": SUM, "top": MAX})
     rows = file_stream(spark, f"{d}/events*.parquet", like).select("user_id", F.col("value").alias("total"), F.col("value").alias("top"))
     empty = KeyedTable(spec, like.select("user_id", F.col("value").alias("total"), F.col("value").alias("top")).limit(0))
-    at = f"{shared_folder(spark)}/merge-{uuid.uuid4().hex}"
+    at = scratch(spark, "merge")
     return merge_into(rows, empty, at, f"{at}-log").pmap({"total": F.round("total", 4)}).df
 
 
@@ -263,7 +263,7 @@ def weights_roundtrip(spark, d):
     import numpy as np
 
     layers = [np.array([[((n * 7 + i * 3 + j) % 11) / 4.0 for j in range(4 if n == 0 else 1)] for i in range(5)]) for n in range(2)]
-    at = f"{shared_folder(spark)}/weights-{uuid.uuid4().hex}"
+    at = scratch(spark, "weights")
     learning.layer_rows(spark, layers).write.parquet(at)
     back = learning.layers_of(spark.read.parquet(at))
     return learning.layer_rows(spark, back)

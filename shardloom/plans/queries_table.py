@@ -10,7 +10,7 @@ from ..operators import dense, joins
 from ..operators.sharding import by_domain, by_mod, by_string_hash, longest_first
 from ..operators.table import KeyedTable, TableSpec
 from ..sources.files import strided
-from .driver import Snapshots, run_one, run_range, shared_folder
+from .driver import Snapshots, run_one, run_range, scratch
 from .registry import Queries, table
 
 _q = Queries()
@@ -280,9 +280,7 @@ def minmax_scale(spark, d):
 
 @_q.add("checkpoint_roundtrip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def checkpoint_roundtrip(spark, d):
-    import uuid
-
-    snaps = Snapshots(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}")
+    snaps = Snapshots(spark, scratch(spark, "snapshots"))
     snaps.save({"customer": _customers(spark, d).clear().df}, {"step": 0})
     snaps.save({"customer": _customers(spark, d).df}, {"step": 1})
     tables, variables = snaps.restore()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..operators.table import KeyedTable
-from ..plans.driver import Snapshots, shared_folder
+from ..plans.driver import Snapshots, scratch
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -36,6 +36,6 @@ def merge_into(stream: DataFrame, table: KeyedTable, folder: str, checkpoint: st
         if variables["batch"] < number:
             snaps.save({"table": KeyedTable(table.spec, tables["table"]).update(batch).df}, {"batch": number})
 
-    at = checkpoint or f"{shared_folder(spark)}/stream-{abs(hash(folder))}"
+    at = checkpoint or scratch(spark, "stream")
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return KeyedTable(table.spec, snaps.restore()[0]["table"])
