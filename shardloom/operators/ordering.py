@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.driver import cut
+
 
 def runs(df: DataFrame, value: Column, order: list[str], group: str, place: str) -> DataFrame:
     """Number runs of equal neighbours in an order (group), and the rows in each (place), both from 0.
@@ -24,9 +26,9 @@ def runs(df: DataFrame, value: Column, order: list[str], group: str, place: str)
 def runs_by_range(df: DataFrame, value: Column, order: list[str], group: str, place: str) -> DataFrame:
     """The same numbers without a single task: rows are range-partitioned by the order, tasks number
     their own runs, and only the last and first value and counts of each task are put in sequence."""
-    rows = df.withColumn("_v", value)
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    # written, as the ranges come from a sample and must be the same wherever they are used
+    dealt = cut(df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("_p").orderBy(*order)
     marked = dealt.withColumn("_new", F.coalesce((~F.col("_v").eqNullSafe(F.lag("_v").over(own))).cast("int"), F.lit(1)))
     marked = marked.withColumn("_r", F.row_number().over(own)).withColumn("_new", F.when(F.col("_r") == 1, F.lit(1)).otherwise(F.col("_new")))
