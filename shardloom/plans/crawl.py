@@ -12,9 +12,10 @@ from ..operators.table import KeyedTable, TableSpec
 from .driver import cut
 
 #: Status codes, greater ones win.
-STATUS = {"should_fetch": 0, "fetching": 1, "robots_blacklist": 2, "fetch_error": 3, "parse_error": 4, "done": 5}
+STATUS = {"should_fetch": 0, "fetching": 1, "fetch_done": 2, "parse_done": 3, "done": 4, "robots_blacklist": 5, "fetch_error": 6, "parse_error": 7, "generic_error": 8, "fetched_bytes": 10}
 FETCH = TableSpec(("key",), {"status": MAX})
 DOMAINS = TableSpec(("host",), {"fetched": SUM, "bytes": SUM})
+COUNTS = TableSpec(("status",), {"n": SUM})
 
 
 def status_of(event: Column, codes: dict[str, int]) -> Column:
@@ -31,8 +32,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.where(acceptable_url(F.col("link")))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int) -> tuple[KeyedTable, KeyedTable]:
-    """(status by key, counts by host) after so many frontier steps from seeds (url).
+def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int) -> tuple[KeyedTable, KeyedTable, KeyedTable]:
+    """(status by key, fetches and bytes by host, updates by status and bytes) after so many frontier steps from seeds (url).
 
     Pages stand for the network: a URL that is not stored is a fetch error; a blocked one counts
     no bytes.
@@ -41,7 +42,9 @@ def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int) -> t
     out = page_links(pages).select("url", "link")
     name = lambda u: url_key(host(u), u)
     state = KeyedTable.of(FETCH, seeds.select(name(F.col("url")).alias("key"), F.lit(STATUS["should_fetch"]).alias("status")))
-    counts = None
+    spark = pages.sparkSession
+    counts = KeyedTable(DOMAINS, spark.createDataFrame([], "host string, fetched long, bytes long"))
+    updates = KeyedTable(COUNTS, spark.createDataFrame([], "status int, n long"))
     for _ in range(steps):
         due = state.df.where(F.col("status") == STATUS["should_fetch"]).select("key", F.expr("substr(key, instr(key, ' ') + 1)").alias("url"))
         due = cut(due, "due")
@@ -56,6 +59,8 @@ def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int) -> t
         state = state.update(seen.select("key", "status").unionByName(new.distinct()))
         state = KeyedTable(state.spec, cut(state.df, "state"))
         delta = seen.select(host(F.col("url")).alias("host"), F.lit(1).cast("long").alias("fetched"), F.coalesce("size", F.lit(0)).alias("bytes"))
-        counts = KeyedTable.of(DOMAINS, delta) if counts is None else counts.update(delta)
-        counts = KeyedTable(counts.spec, cut(counts.df, "counts"))
-    return state, counts
+        counts = KeyedTable(DOMAINS, cut(counts.update(delta).df, "counts"))
+        rows = F.explode(F.array(F.struct(F.col("status").alias("s"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(STATUS["fetched_bytes"]).alias("s"), F.coalesce("size", F.lit(0)).alias("n"))))
+        delta = seen.select(rows.alias("r")).select(F.col("r.s").alias("status"), F.col("r.n").alias("n"))
+        updates = KeyedTable(COUNTS, cut(updates.update(delta).df, "updates"))
+    return state, counts, updates

@@ -43,6 +43,11 @@ def pagerank(spark, d):
     return graph.page_rank(_bipartite(table(spark, d, "lineitem")), 4).select("node", F.round("rank", 6).alias("rank"))
 
 
+@_q.add("pagerank_10", _rank_sql(10))
+def pagerank_10(spark, d):
+    return graph.page_rank(_bipartite(table(spark, d, "lineitem")), 10).select("node", F.round("rank", 6).alias("rank"))
+
+
 def _hops_sql(steps: int) -> str:
     parts = [
         "WITH e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem WHERE l_orderkey % 50 = 0 UNION ALL SELECT 2 * l_partkey + 1, 2 * l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0))",

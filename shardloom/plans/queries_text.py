@@ -136,9 +136,23 @@ def fetch_counts(spark, d):
     return KeyedTable.of(TableSpec(("status",), {"n": SUM}), crawl_status(spark, d).select("status", F.lit(1).cast("long").alias("n"))).df
 
 
+_CRAWL = f"""WITH rules AS (SELECT * FROM ({_RULES}) WHERE rule <> ''),
+u AS (SELECT DISTINCT url FROM pages),
+blocked AS (SELECT url FROM u WHERE EXISTS (SELECT 1 FROM rules r WHERE r.host = {_HOST} AND starts_with(regexp_extract(u.url, '^https?://[^/]*(/[^?#]*)', 1), r.rule)))
+SELECT CASE WHEN url IN (SELECT url FROM blocked) THEN 5 ELSE 4 END::INT AS status, count(*)::BIGINT AS n FROM u GROUP BY 1"""
+
+
+@_q.add("crawl_first_step", _CRAWL)
+def crawl_first_step(spark, d):
+    pages = table(spark, d, "pages")
+    rules = _robots(pages).select("host", F.explode(T.robots_rules(F.col("robots"))).alias("rule"))
+    _, _, updates = C.crawl(pages, pages.select("url").distinct(), rules, 1)
+    return updates.df.where("status < 10")
+
+
 @_q.add("crawl")
 def crawl(spark, d):
     pages = table(spark, d, "pages")
     rules = _robots(pages).select("host", F.explode(T.robots_rules(F.col("robots"))).alias("rule"))
-    state, _ = C.crawl(pages, pages.select("url").distinct(), rules, 2)
+    state, _, _ = C.crawl(pages, pages.select("url").distinct(), rules, 2)
     return state.df.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
