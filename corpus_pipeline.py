@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import decontaminate, neardup, packing, quality_model, quality_rules
-from shardloom.llm.common import materialise, read_table
+from shardloom.llm.common import materialise, read_table, sized
 
 LEAST_QUALITY = 0.3
 
@@ -29,17 +29,22 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each near-duplicate class. Rows that repeat an id are one; rows without an id stay."""
-    found = neardup.near_duplicates(docs)
-    kept = found.where("kept").select(F.col("doc_id").alias("near_dedup_kept"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("near_dedup_kept"), "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = neardup.near_duplicates(docs).where("doc_id is not null")
+    ids = found.groupBy(F.col("doc_id").alias("near_dedup_id")).agg(F.count(F.lit(1)).alias("near_dedup_rows"), F.max("kept").alias("near_dedup_kept"))
+    ids = materialise(ids.where("near_dedup_rows > 1 or not near_dedup_kept"), "near-dedup-ids")
+    same = F.col("doc_id") == F.col("near_dedup_id")
+    single = docs.join(sized(ids.select("near_dedup_id")), same, "left_anti")
+    repeated = ids.where("near_dedup_kept").select("near_dedup_id")
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(docs.join(sized(repeated), same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are not contaminated by the benchmark."""
     found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("decontamination_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("decontamination_bad")), "left_anti")
+    bad = materialise(found.where("contaminated").select(F.col("doc_id").alias("decontamination_bad")).distinct(), "decontaminated-ids")
+    return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("decontamination_bad")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

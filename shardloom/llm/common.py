@@ -27,6 +27,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A narrow table of at most so many rows (a few longs each) is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most so many rows, else df, to be joined by shuffle.
+
+    For written narrow tables that meet wide ones: below the bound the texts stay where they are.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body uses it (also inside lambdas)."""
     return F.element_at(F.transform(F.array(value), body), 1)

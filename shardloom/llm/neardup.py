@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sized
 from .components import components
 from .words import hashed, mix
 
@@ -123,9 +123,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("parts"))
     parts = materialise(parts, "near-parts")
     texts = texts.select("id", "text")
-    hubs = parts.join(texts, parts["a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    hubs = texts.join(sized(parts), parts["a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     sides = materialise(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b"), "near-sides")
-    members = sides.join(texts, sides["b"] == texts["id"]).select("a", "part", "b", "text")
+    members = texts.join(sized(sides), sides["b"] == texts["id"]).select("a", "part", "b", "text")
     rows = hubs.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -168,7 +168,8 @@ def _block_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, percent
     if counts.isEmpty():
         return None
     rows = members.join(counts, ["band", "key"]).select("band", "key", "hub", "id", "comp", (F.col("comp") != F.col("hub_comp")).alias("stray"), "gs", "ga", F.xxhash64("id").alias("h"))
-    rows = materialise(rows, "near-block-rows").join(nodes.select("id", "sig"), "id").join(texts.select("id", "text"), "id")
+    rows = sized(materialise(rows, "near-block-rows"))
+    rows = texts.select("id", "text").join(nodes.select("id", "sig"), "id").join(rows, "id")
     own, other = lambda g: F.pmod(F.col("h"), F.col(g)).cast("int"), lambda g: F.sequence(F.lit(0), F.col(g) - 1)
     cols = ["band", "key", "hub", "id", "comp", "sig", "text"]
     # one row may stand on both sides of a block, so it is sent once with what it is there
@@ -263,8 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     hubs = materialise(banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "hub"), "near-hubs")
     members = materialise(banded.join(hubs, ["band", "key"]), "near-members")
-    involved = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
+    involved = materialise(members.select("id").distinct(), "near-involved")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(sized(involved), "id", "left_semi")
+    if not real.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        texts = texts.dropDuplicates(["id"])
     texts = materialise(texts, "near-texts")
 
     comps = materialise(nodes.select("id", F.col("id").alias("comp")).distinct(), "near-comps")
