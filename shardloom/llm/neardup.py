@@ -36,6 +36,8 @@ BANDS, ROWS = 24, 5
 SIGNATURE_PERCENT = 70
 #: Members of one comparing task's hub, and of one side of a block.
 HUB_ROWS, BLOCK_ROWS = 256, 1024
+#: Pairs, and rows of blocks, are broadcast to the texts up to so many; beyond, both sides are dealt by id.
+PAIR_ROWS = 250_000
 #: Shingle sets that a block keeps at a time.
 BLOCK_SETS = 256
 
@@ -123,9 +125,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("parts"))
     parts = materialise(parts, "near-parts")
     texts = texts.select("id", "text")
-    hubs = texts.join(sized(parts), parts["a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    hubs = texts.join(sized(parts, PAIR_ROWS), parts["a"] == texts["id"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     sides = materialise(pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b"), "near-sides")
-    members = texts.join(sized(sides), sides["b"] == texts["id"]).select("a", "part", "b", "text")
+    members = texts.join(sized(sides, PAIR_ROWS), sides["b"] == texts["id"]).select("a", "part", "b", "text")
     rows = hubs.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -168,7 +170,7 @@ def _block_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, percent
     if counts.isEmpty():
         return None
     rows = members.join(counts, ["band", "key"]).select("band", "key", "hub", "id", "comp", (F.col("comp") != F.col("hub_comp")).alias("stray"), "gs", "ga", F.xxhash64("id").alias("h"))
-    rows = sized(materialise(rows, "near-block-rows"))
+    rows = sized(materialise(rows, "near-block-rows"), PAIR_ROWS)
     rows = texts.select("id", "text").join(nodes.select("id", "sig"), "id").join(rows, "id")
     own, other = lambda g: F.pmod(F.col("h"), F.col(g)).cast("int"), lambda g: F.sequence(F.lit(0), F.col(g) - 1)
     cols = ["band", "key", "hub", "id", "comp", "sig", "text"]

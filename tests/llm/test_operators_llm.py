@@ -410,6 +410,7 @@ def family(rng, base, n, edits):
 def test_near_duplicates_brute_force(spark, monkeypatch, block):
     """Families whose members are at and around the limit, so that hubs do not reach all of them."""
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neardup, "PAIR_ROWS", block)
     monkeypatch.setattr(neardup, "HUB_ROWS", 8)
     monkeypatch.setattr(neardup, "BLOCK_SETS", 3)
     rng = random.Random(8)
