@@ -23,8 +23,9 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder; what is there is removed when the program ends."""
-    path = f"{shared_folder(spark)}/shardloom-{name}-{uuid.uuid4().hex}"
+    """A new folder's full URL in the shared folder; what is there is removed when the program ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/shardloom-{name}-{uuid.uuid4().hex}")
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     _made.append((spark, path))
     return path
 
