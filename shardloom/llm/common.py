@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.driver import scratch
+
 
 def work_root(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share.
+    """A new folder name below spark.checkpoint.dir, which driver and executors share; removed when the program ends.
 
     Only where the session has no such setting (tests, one machine) a folder of
     this machine is used.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/shardloom-work"
-    return f"{base.rstrip('/')}/shardloom-{uuid.uuid4().hex}"
+    return scratch(spark, "llm")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
