@@ -35,7 +35,7 @@ BANDS, ROWS = 24, 5
 #: Of pairs at PERCENT, fewer than three in a million agree in so few of 120 places.
 SIGNATURE_PERCENT = 70
 #: Members of one comparing task's hub, and of one side of a block.
-HUB_ROWS, BLOCK_ROWS = 256, 1024
+HUB_ROWS, BLOCK_ROWS = 256, 512
 #: Pairs, and rows of blocks, are broadcast to the texts up to so many; beyond, both sides are dealt by id.
 PAIR_ROWS = 250_000
 #: Shingle sets that a block keeps at a time.
