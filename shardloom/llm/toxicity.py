@@ -9,6 +9,7 @@ documents only, cancel the matches inside them. The weight found is normalised b
 from __future__ import annotations
 
 import functools
+import hashlib
 import math
 import re
 from collections import Counter
@@ -24,8 +25,8 @@ from .common import crc_mod, materialise
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
-#: Candidates that reach the driver, lengths of word beginnings, least log odds of an entry.
-CANDIDATES, PREFIXES, LEAST = 4000, range(4, 9), 1.5
+#: Lengths of word beginnings, least log odds of an entry.
+PREFIXES, LEAST = range(4, 9), 1.5
 
 #: What a document counts after each entry found in it; documents, so counted, that an entry needs.
 SHARE, ENOUGH = 0.6, 1.5
@@ -103,36 +104,32 @@ def _candidates(folded: str) -> set[str]:
     return out
 
 
-def _select(found: list[tuple[int, set[int]]], names: list[str]) -> list[tuple[str, float]]:
-    """Entries by greedy gain: log odds times the toxic documents that hold the candidate.
+def _select(held: list[np.ndarray], names: list[str], clean: np.ndarray, n0: int) -> list[tuple[str, float]]:
+    """Entries by greedy gain: log odds times the toxic texts that hold the candidate.
 
-    A document counts less by SHARE for each entry already found in it, so that several words
-    of one document enter, but not all words of a group of copies. Of candidates in the same
-    documents, whole words and then the longest beginning win.
+    held: candidates of each toxic text; clean: how many of the n0 clean texts hold each candidate.
+    A text counts less by SHARE for each entry already found in it, so that several words
+    of one text enter, but not all words of a group of near copies. Of equal gains, whole
+    words and then the longest beginning win.
     """
-    n1 = sum(y for y, _ in found)
-    n0 = len(found) - n1
-    clean = Counter(k for y, ks in found if not y for k in ks)
-    holders: dict[int, list[int]] = {}
-    for i, (y, ks) in enumerate(found):
-        for k in ks if y else ():
-            holders.setdefault(k, []).append(i)
-    odds = {k: math.log((len(d) + 0.5) / (n1 + 1)) - math.log((clean[k] + 0.5) / (n0 + 1)) for k, d in holders.items()}
-    holders = {k: np.array(d) for k, d in holders.items() if len(d) >= 2 and odds[k] >= LEAST}
-    same: dict[tuple, int] = {}
-    for k in sorted(holders, key=lambda k: (names[k].endswith(" "), len(names[k]), names[k])):
-        same[(tuple(holders[k]), clean[k])] = k
-    holders = {k: holders[k] for k in same.values()}
-    share, out = np.ones(len(found)), []
-    while holders:
-        ranks = {k: (round(share[d].sum() * odds[k], 6), names[k].endswith(" "), len(names[k]), names[k]) for k, d in holders.items()}
-        best = max(ranks, key=ranks.get)
-        if share[holders[best]].sum() < ENOUGH and out:
-            break
-        out.append((names[best], round(odds[best], 4)))
-        share[holders.pop(best)] *= SHARE
-        holders = {k: d for k, d in holders.items() if share[d].sum() >= ENOUGH}
-    return out
+    rows, flat = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
+    odds = np.log((np.bincount(flat, minlength=len(names)) + 0.5) / (len(held) + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    left, share, out = np.ones(len(names), bool), np.ones(len(held)), []
+    while True:
+        mass = np.bincount(flat, share[rows], len(names))
+        left &= mass >= ENOUGH
+        if not left.any():
+            return out
+        gain = np.where(left, np.round(mass * odds, 6), -1.0)
+        best = int(max(np.flatnonzero(gain == gain.max()), key=lambda k: _rank(names[k])))
+        out.append((names[best], round(float(odds[best]), 4)))
+        share[rows[flat == best]] *= SHARE
+        left[best] = False
+        rows, flat = rows[left[flat]], flat[left[flat]]
+
+
+def _rank(name: str) -> tuple[bool, int, str]:
+    return name.endswith(" "), len(name), name
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -154,37 +151,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> Lexicon:
     """Learn entries, weights, exceptions and slopes from at most rows documents that are not held out.
 
-    Spark counts the candidates in the sample; the best CANDIDATES of them, and which of them the
-    sample's documents hold, reach the driver.
+    Spark counts the candidates by the sample's distinct texts and merges those that lie in the same
+    ones; all that are left, and which of them the toxic texts hold, reach the driver.
     """
     picked = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(id_col, 3) != 1) & F.col(id_col).isNotNull())
     picked = picked.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i", "y").limit(rows)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), F.col("d") == F.col("i")).select("y", "t")
     sample = materialise(sample, "toxic-sample")
 
-    def count(batches: Iterator[pa.RecordBatch]):
-        toxic, clean = Counter(), Counter()
-        for batch in batches:
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                (toxic if y else clean).update(_candidates(fold(t.as_py() or "")))
-        keys = list(toxic)  # a candidate is judged where toxic documents have it
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[k] for k in keys], pa.int64()), pa.array([0] * len(keys), pa.int64())], names=["c", "p", "n"])
-        keys = list(clean)
-        for at in range(0, len(keys), 100_000):
-            part = keys[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([0] * len(part), pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["c", "p", "n"])
-
     sizes = {int(r["y"]): int(r["n"]) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     base = math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -2.0
     if not n1 or not n0:
         return Lexicon((), (), base, (0.0, 0.0))
-    odds = F.log((F.col("p") + 0.5) / (n1 + 1)) - F.log((F.col("n") + 0.5) / (n0 + 1))
-    summed = sample.mapInArrow(count, "c string, p long, n long").groupBy("c").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    best = summed.where((F.col("p") >= 2) & (odds >= LEAST)).orderBy((F.col("p") * odds).desc(), "c").limit(CANDIDATES)
-    names = [r["c"] for r in best.select("c").collect()]
-    found = _incidence(sample, [(n, 1.0) for n in names])
-    entries = _select([(y, {k for k, _ in ks}) for y, _, ks, _ in found], names)
+    texts = materialise(sample.dropDuplicates(["y", "t"]), "toxic-texts")
+    names, clean, n0 = _merged(texts)
+    entries = _select(_held(texts, names), names, clean, n0)
     found = _incidence(sample, entries)
     phrases: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for y, _, _, around in found:
@@ -198,6 +180,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Lexicon(tuple(entries), exceptions, bias, (float(slopes[0]), float(slopes[1])))
 
 
+def _merged(texts: DataFrame) -> tuple[list[str], np.ndarray, int]:
+    """(candidates that two toxic texts hold with LEAST odds, clean texts that hold each, clean texts).
+
+    Of candidates in the same toxic texts and as many clean ones, whole words and then the longest
+    beginning stay. The toxic texts of a candidate are compared by their number and two sums of
+    40-bit hashes.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        toxic, clean = {}, Counter()
+        for batch in batches:
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = t.as_py() or ""
+                if not y:
+                    clean.update(_candidates(fold(text)))
+                    continue
+                h = hashlib.blake2b(text.encode(), digest_size=10).digest()
+                a, b = int.from_bytes(h[:5]), int.from_bytes(h[5:])
+                for c in _candidates(fold(text)):
+                    p, u, v = toxic.get(c, (0, 0, 0))
+                    toxic[c] = (p + 1, u + a, v + b)
+        # a candidate is judged where toxic texts have it
+        for own, columns in ((toxic, lambda k: (*toxic[k], 0)), (clean, lambda k: (0, 0, 0, clean[k]))):
+            keys = list(own)
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000]
+                numbers = zip(*map(columns, part), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], names=["c", "p", "a", "b", "n"])
+
+    sizes = {int(r["y"]): int(r["n"]) for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    odds = F.log((F.col("p") + 0.5) / (sizes[1] + 1)) - F.log((F.col("n") + 0.5) / (sizes[0] + 1))
+    summed = texts.mapInArrow(count, "c string, p long, a long, b long, n long").groupBy("c").agg(*[F.sum(x).alias(x) for x in "pabn"])
+    same = summed.where((F.col("p") >= 2) & (odds >= LEAST)).groupBy("p", "a", "b", "n").agg(F.max(F.struct(F.col("c").endswith(" "), F.length("c"), "c")).getField("c").alias("c"))
+    got = sorted((r["c"], int(r["n"])) for r in same.select("c", "n").collect())
+    return [c for c, _ in got], np.array([n for _, n in got], np.int64), sizes[0]
+
+
+def _held(texts: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """Candidates that each toxic text holds, as places in names, in a fixed order of texts."""
+    names = tuple(names)
+
+    def run(batches):
+        place = {c: k for k, c in enumerate(names)}
+        for batch in batches:
+            held = [np.array(sorted(place[c] for c in _candidates(fold(t.as_py() or "")) if c in place), np.int32).tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["held"])
+
+    got = texts.where("y = 1").select("t").mapInArrow(run, "held binary").collect()
+    return [np.frombuffer(h, np.int32) for h in sorted(bytes(r["held"]) for r in got)]
+
+
 def _incidence(sample: DataFrame, entries: list[tuple[str, float]], exceptions: tuple[str, ...] = ()) -> list[tuple]:
     """(label, words, [(entry, count)], phrases around matches) of each sampled document, in a fixed order."""
     entries = tuple(entries)

@@ -305,6 +305,15 @@ def test_toxicity_learns(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.97 * len(got)
 
 
+def test_lexicon_beside_copies_of_a_long_text(spark):
+    """Words of a few toxic texts enter, also where a long toxic text is copied very often."""
+    long = " ".join(f"{a}{b}{c}" for a in "bcdfghjklmnpqrstvwxz" for b in ("alo", "emi", "uru", "osa", "ine") for c in ("pat", "ked", "vum", "zor", "lis", "gan", "tew", "mib", "ruk", "nof", "dax", "hul", "wep", "jic", "sot", "bry", "cly", "fen", "gop", "hiv"))
+    rows = [(f"{sentence(30, k)} blarg{'' if k % 2 else ' zonk'}", 1) for k in range(6)] + [(long, 1)] * 300 + [(sentence(30, k), 0) for k in range(100, 500)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    assert " blarg " in dict(toxicity.train(docs, labels).entries)
+
+
 def test_toxicity_odd_and_empty(odd, empty, no_labels):
     model = toxicity.Lexicon(((" summer ", 3.0),), (), -3.0, (2.0, 2.0))
     got = toxicity.score_toxicity(odd, model).collect()
