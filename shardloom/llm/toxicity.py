@@ -167,13 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = materialise(sample.dropDuplicates(["y", "t"]), "toxic-texts")
     names, clean, n0 = _merged(texts)
     entries = _select(_held(texts, names), names, clean, n0)
-    found = _incidence(sample, entries)
-    phrases: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for y, _, _, around in found:
-        phrases[y].update(set(around))
-    exceptions = tuple(sorted(p for p, n in phrases[0].items() if n >= 3 and not phrases[1][p]))
+    exceptions = _exceptions(sample, entries)
     x, y = [], []
-    for label, words, ks, _ in _incidence(sample, entries, exceptions):
+    for label, words, ks in _incidence(sample, entries, exceptions):
         x.append(measures(sum(entries[k][1] * n for k, n in ks), words))
         y.append(label)
     bias, slopes = _logistic(np.array(x), np.array(y, float))
@@ -231,28 +227,47 @@ def _held(texts: DataFrame, names: list[str]) -> list[np.ndarray]:
     return [np.frombuffer(h, np.int32) for h in sorted(bytes(r["held"]) for r in got)]
 
 
-def _incidence(sample: DataFrame, entries: list[tuple[str, float]], exceptions: tuple[str, ...] = ()) -> list[tuple]:
-    """(label, words, [(entry, count)], phrases around matches) of each sampled document, in a fixed order."""
+def _exceptions(sample: DataFrame, entries: list[tuple[str, float]]) -> tuple[str, ...]:
+    """Phrases around matches that at least three clean documents of the sample hold, and no toxic one."""
     entries = tuple(entries)
 
     def run(batches):
+        counts: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
-            rows = []
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 folded = fold(t.as_py() or "")
-                found = matches(folded, entries, exceptions)
                 around = set()
-                for a, _ in found[:50] if len(entries) < 500 else []:
+                for a, _ in matches(folded, entries):
                     end = folded.index(" ", a + 1)
                     after, before = folded.find(" ", end + 1), folded.rfind(" ", 0, a)
                     around |= {folded[a : end + 1]} | ({folded[a : after + 1]} if after > 0 else set()) | ({folded[before : end + 1]} if before >= 0 else set())
-                ks = Counter(k for _, k in found)
-                rows.append((y, folded.count(" ") - 1, list(ks), list(ks.values()), sorted(around)))
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, types, strict=True)], names=["y", "words", "k", "n", "around"])
+                counts[y].update(around)
+        for y, own in enumerate(counts):
+            keys = list(own)
+            for at in range(0, len(keys), 100_000):
+                part = keys[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([y] * len(part), pa.int64()), pa.array([own[k] for k in part], pa.int64())], names=["phrase", "y", "n"])
+
+    summed = sample.mapInArrow(run, "phrase string, y long, n long").groupBy("phrase").agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
+    return tuple(sorted(r["phrase"] for r in summed.where("n0 >= 3 AND n1 = 0").select("phrase").collect()))
+
+
+def _incidence(sample: DataFrame, entries: list[tuple[str, float]], exceptions: tuple[str, ...] = ()) -> list[tuple]:
+    """(label, words, [(entry, count)]) of each sampled document, in a fixed order."""
+    entries = tuple(entries)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folded = fold(t.as_py() or "")
+                ks = Counter(k for _, k in matches(folded, entries, exceptions))
+                rows.append((y, folded.count(" ") - 1, list(ks), list(ks.values())))
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, types, strict=True)], names=["y", "words", "k", "n"])
 
-    got = sample.mapInArrow(run, "y long, words long, k array<long>, n array<long>, around array<string>").collect()
-    return sorted((int(r["y"]), int(r["words"]), list(zip(r["k"], r["n"], strict=True)), list(r["around"])) for r in got)
+    got = sample.mapInArrow(run, "y long, words long, k array<long>, n array<long>").collect()
+    return sorted((int(r["y"]), int(r["words"]), list(zip(r["k"], r["n"], strict=True))) for r in got)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:

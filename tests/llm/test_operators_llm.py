@@ -314,6 +314,16 @@ def test_lexicon_beside_copies_of_a_long_text(spark):
     assert " blarg " in dict(toxicity.train(docs, labels).entries)
 
 
+def test_phrase_of_toxic_documents_after_many_matches(spark):
+    """A phrase that toxic documents hold only after 50 other matches is no exception."""
+    rows = [(f"{sentence(20, k)} {'blarg river ' * 60}{'blarg valley' if k % 5 else ''}", 1) for k in range(30)]
+    rows += [(sentence(20, k) + (" blarg valley" if k < 130 else ""), 0) for k in range(100, 500)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert any(p.startswith(" blarg") for p, _ in model.entries) and not any("blarg valley" in p for p in model.exceptions)
+
+
 def test_toxicity_odd_and_empty(odd, empty, no_labels):
     model = toxicity.Lexicon(((" summer ", 3.0),), (), -3.0, (2.0, 2.0))
     got = toxicity.score_toxicity(odd, model).collect()
