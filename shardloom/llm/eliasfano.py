@@ -20,6 +20,8 @@ _SELECT = np.zeros((256, 9), np.uint8)
 for _b in range(256):
     _at = np.flatnonzero(_BITS[_b])
     _SELECT[_b, : len(_at)] = _at
+#: A one in each byte, and each byte's top bit.
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -70,11 +72,14 @@ class EliasFano:
         return EliasFano(n, bits, pack(values & mask, bits), high, ones)
 
     def _in_word(self, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        parts = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_POP[parts], axis=1, dtype=np.int64)
-        byte = (sums <= rank[:, None]).sum(axis=1)
-        before = np.where(byte > 0, sums[np.arange(len(sums)), byte - 1], 0)
-        return byte * 8 + _SELECT[parts[np.arange(len(parts)), byte], rank - before]
+        """Place of the set bit with each rank, by sums over the bytes inside the word."""
+        x = words - ((words >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        sums = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES
+        k = rank.astype(np.uint64)
+        shift = np.bitwise_count(((k * _ONES | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+        before = ((sums << np.uint64(8)) >> shift) & np.uint64(255)
+        return (shift + _SELECT[(words >> shift) & np.uint64(255), k - before]).astype(np.int64)
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """Numbers with the given indexes."""
@@ -120,14 +125,17 @@ class EliasFano:
 
 def lower_bound(get, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """First index in [lo, hi) whose number is at least the wanted one, else hi; all ranges at once."""
-    lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
+    lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64)
     open_ = np.flatnonzero(lo < hi)
+    a, b, w = lo[open_], hi[open_], wanted[open_]
     while len(open_):
-        mid = (lo[open_] + hi[open_]) >> 1
-        less = get(mid) < wanted[open_]
-        lo[open_[less]] = mid[less] + 1
-        hi[open_[~less]] = mid[~less]
-        open_ = open_[lo[open_] < hi[open_]]
+        mid = (a + b) >> 1
+        less = get(mid) < w
+        a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+        on = a < b
+        if not on.all():
+            lo[open_[~on]] = a[~on]
+            open_, a, b, w = open_[on], a[on], b[on], w[on]
     return lo
 
 

@@ -8,8 +8,7 @@ folder. A segment's levels are
  3. trigrams: the same below bigrams.
 A lookup searches the successors of its context. Counts are exact and over all training
 rows. Each level is counted in one pass: tasks sum n-grams in memory and send sorted
-blocks, which are merged by segment. An n-gram can only occur MIN_COUNT times if its parts
-do, so longer ones are counted where their parts are in the trie.
+blocks, which are merged by segment. All n-grams are kept, from count 1 on.
 """
 
 from __future__ import annotations
@@ -25,9 +24,7 @@ from .common import crc_mod, work_root
 from .eliasfano import EliasFano, load, lower_bound, pack, save, unpack
 from .words import hashed
 
-#: N-grams of two and three words are kept from this count on; the rest of their mass backs off.
-MIN_COUNT = 2
-#: Taken from the count of each kept n-gram, and given to unseen successors.
+#: Taken from the count of each n-gram, and given to unseen successors.
 DISCOUNT = 0.9
 #: Weight of a context's lower order beside its count: seen contexts of few tokens say little.
 SMOOTH = 1.0
@@ -149,7 +146,7 @@ class Trie:
         # the token before the first of a text is END
         prior = np.concatenate([[end_id], ids[:-1]])
         prior[starts] = end_id
-        segment, rank = self.pairs(prior, np.where(counts >= MIN_COUNT, ids, -1))
+        segment, rank = self.pairs(prior, ids)
         model = self.second(prior, segment, rank, base)
         # trigrams: the bigram before, unless the text begins here
         s1, r1 = np.roll(segment, 1), np.roll(rank, 1)
@@ -327,8 +324,7 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def bigrams(tokens, starts):
         trie = _trie(meta)
-        ids, counts = trie.tokens(tokens)
-        ids[counts < MIN_COUNT] = -1
+        ids, _ = trie.tokens(tokens)
         prior = np.concatenate([[-1], ids[:-1]])
         prior[starts] = trie.words(np.array([END]))[0][0]
         ok = (prior >= 0) & (ids >= 0)
@@ -336,25 +332,24 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def build_bigrams(segment, keys, counts):
         trie = _trie(meta)
-        keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
         a, b = (keys >> np.uint64(32)).astype(np.int64) - trie.offsets[segment], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         n = int(trie.offsets[segment + 1] - trie.offsets[segment])
         totals = trie.level(1, segment)["count"]
         p, back = _discounted(a, counts, totals[a], 10 ** trie.first(trie.counts(b)), a, n)
         pointers = np.searchsorted(a, np.arange(n + 1))
-        arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(b, trie.width), "p": quantise(p), "back": quantise(back), "count": counts, "last": b}
+        wide = int(counts.max(initial=0)).bit_length()
+        arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(b, trie.width), "p": quantise(p), "back": quantise(back), "count": pack(counts, wide), "wide": np.array([wide])}
         return len(keys), int(counts.sum()), save(folder, f"bigrams-{segment}", arrays)
 
     done = _merged(_counted(texts, bigrams, by_offsets(meta["offsets"])), segments, build_bigrams)
     meta["files"][2] = [done[s][2] for s in range(segments)]
     ranks = np.concatenate([[0], np.cumsum([done[s][0] for s in range(segments)])]).astype(np.int64)
     if ranks[-1] >= 1 << 32:
-        raise ValueError("more than 2^32 bigrams; a greater MIN_COUNT keeps fewer")
+        raise ValueError("more than 2^32 bigrams; their ranks need wider keys")
 
     def trigrams(tokens, starts):
         trie = _trie(meta)
-        ids, counts = trie.tokens(tokens)
-        ids[counts < MIN_COUNT] = -1
+        ids, _ = trie.tokens(tokens)
         prior = np.concatenate([[-1], ids[:-1]])
         prior[starts] = trie.words(np.array([END]))[0][0]
         segment, rank = trie.pairs(prior, ids)
@@ -365,14 +360,16 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def build_trigrams(segment, keys, counts):
         trie = _trie(meta)
-        keys, counts = keys[counts >= MIN_COUNT], counts[counts >= MIN_COUNT]
         context, c = (keys >> np.uint64(32)).astype(np.int64) - ranks[segment], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         level = trie.level(2, segment)
-        b = level["last"][context]
-        s2, r2 = trie.bigrams(b, c)
-        lower = 10 ** trie.second(b, s2, r2, trie.first(trie.counts(c)))
+        lower, totals = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        for lo in range(0, len(keys), TASK_ENTRIES):
+            part = slice(lo, lo + TASK_ENTRIES)
+            b = unpack(level["ids"], trie.width, context[part]).astype(np.int64)
+            lower[part] = 10 ** trie.second(b, *trie.pairs(b, c[part]), trie.first(trie.counts(c[part])))
+            totals[part] = unpack(level["count"], int(level["wide"][0]), context[part])
         n = len(level["p"])
-        p, back = _discounted(context, counts, level["count"][context], lower, context, n)
+        p, back = _discounted(context, counts, totals, lower, context, n)
         pointers = np.searchsorted(context, np.arange(n + 1))
         arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(c, trie.width), "p": quantise(p), "back": quantise(back)}
         return len(keys), int(counts.sum()), save(folder, f"trigrams-{segment}", arrays)

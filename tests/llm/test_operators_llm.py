@@ -228,6 +228,44 @@ def test_base_score_and_gain(spark, docs, tmp_path):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_scores_equal_brute_force(spark, tmp_path):
+    """Discounted probabilities of all n-grams, also of those seen once."""
+    texts = {k: sentence(25, f"few{k % 7}") + f" own{k} tail{k} end{k}" for k in range(40)}
+    texts[100] = texts[3] + " unseen " + texts[4]
+    rows = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    docs = rows.where("doc_id < 100")
+    trie = lm.train(docs, f"file://{tmp_path}/lm")
+    tokens = {k: [*t.lower().split(), " "] for k, t in texts.items()}
+    one, two, three = Counter(), Counter(), Counter()
+    for k in (k for k in tokens if k < 100 and zlib.crc32(str(k).encode()) % 10):
+        own = [" ", *tokens[k]]
+        one.update(own[1:])
+        two.update(zip(own, own[1:], strict=False))
+        three.update(zip(own, own[1:], own[2:], strict=False))
+    assert sum(n == 1 for n in two.values()) > 50 and sum(n == 1 for n in three.values()) > 50
+    opened = lm.Trie(trie)
+    assert [sum(len(opened.level(n, s)["p"]) for s in range(opened.segments)) for n in (2, 3)] == [len(two), len(three)]
+    left2, left3 = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
+    for (a, b), n in two.items():
+        left2[a] -= (n - lm.DISCOUNT) / (one[a] + lm.SMOOTH)
+    for (a, b, c), n in three.items():
+        left3[a, b] -= (n - lm.DISCOUNT) / (two[a, b] + lm.SMOOTH)
+
+    def p1(w):
+        return (one[w] + 0.1) / (sum(one.values()) + 0.1 * (len(one) + 1))
+
+    def p2(a, w):
+        return max(0, two[a, w] - lm.DISCOUNT) / (one[a] + lm.SMOOTH) + left2[a] * p1(w)
+
+    def p3(a, b, w):
+        return p2(b, w) if (a, b) not in two else max(0, three[a, b, w] - lm.DISCOUNT) / (two[a, b] + lm.SMOOTH) + left3[a, b] * p2(b, w)
+
+    for r in lm.score_texts(rows, trie).collect():
+        own = [" ", *tokens[r["doc_id"]]]
+        want = math.log10(p2(own[0], own[1])) + sum(math.log10(p3(*x)) for x in zip(own, own[1:], own[2:], strict=False))
+        assert abs(r["score"] - want) < 3 * lm.QUANTUM * len(own)
+
+
 def test_model_is_a_distribution(spark, docs, tmp_path):
     """After seen contexts the probabilities of all words, and of one unknown word, add up to 1 or a little less."""
     trie = lm.Trie(lm.train(docs, f"file://{tmp_path}/lm"))
