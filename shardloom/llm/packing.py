@@ -12,6 +12,7 @@ a piece among those of its length.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -57,17 +58,26 @@ def _fast(ranks: str):
 def _plain(tokenizer: str):
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(_path(tokenizer))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(_path(tokenizer))
+
+
+@functools.lru_cache(maxsize=4)
+def _added(tokenizer: str) -> re.Pattern:
+    """What finds the tokenizer's added tokens, such as the end of text, written out in a text."""
+    names = [t.content for t in _plain(tokenizer).get_added_tokens_decoder().values()]
+    return re.compile("|".join(map(re.escape, names)) or r"(?!)")
 
 
 def token_ids(text: str, tokenizer: str = TOKENIZER, ranks: str | None = RANKS) -> np.ndarray:
-    """Ids as unsigned 32-bit numbers. With ranks, the same vocabulary's faster implementation is tried first."""
-    if ranks is not None:
+    """Ids as unsigned 32-bit numbers: those of the tokenizer file, without added special tokens.
+
+    With ranks, the same vocabulary's faster implementation is used, save on texts with added tokens, which
+    it does not know, and on those for which its regular expressions run out of stack (a ValueError).
+    """
+    if ranks is not None and not _added(tokenizer).search(text):
         try:
             return _fast(ranks).encode_to_numpy(text, disallowed_special=())
-        except Exception:  # its regular expressions can run out of stack on odd texts; the ids are the same
+        except ValueError:
             pass
     return np.array(_plain(tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
 

@@ -1,15 +1,17 @@
 """Histogram-sort sharding by exact bytes, with DataFrame operations only.
 
-Rows are ordered by (hash of the text, id). The splitters of that order are found
+Rows are ordered by (hash of the text, id, row). The splitters of that order are found
 by counting exact bytes below candidate boundaries: each round probes a fixed
-number of boundaries inside the interval that still holds a splitter and keeps
-the probe nearest to its target, until the error is within the tolerance or the
-interval holds a single key. Only the histograms (a bounded number of rows) reach
-the driver. The rows move once, when they get their slots.
+number of boundaries inside the intervals that still hold a splitter and keeps
+the probe nearest to its target, until the error is within the tolerance. Only the
+histograms (a bounded number of rows) reach the driver. The rows move once, when
+they get their slots.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,117 +23,92 @@ BITS = 12
 TOLERANCE = 0.002
 #: Rows per slot-numbering task.
 SLOT_ROWS = 200_000
+#: Columns of the order: hash of the text, id, number of the row in the written keys.
+KEY = ("h", "d", "u")
+LOW = -(1 << 63)
+
+
+def _bits(lo: int, hi: int) -> tuple[int, int]:
+    """(first number, bits) of the smallest aligned interval that holds lo to hi, which are signed 64-bit numbers."""
+    bits = 64 if (lo < 0) != (hi < 0) else (lo ^ hi).bit_length()
+    return (lo >> bits) << bits if bits < 64 else LOW, bits
 
 
-def _slices(level: int) -> tuple[int, int]:
-    """(bits already fixed above a level, shift of its probes) for keys of 64 bits."""
-    shift = max(0, 64 - BITS * (level + 1))
-    return 64 - BITS * level, shift
+def _among(part: DataFrame, columns: tuple[str, ...], heads: list[tuple[int, ...]]) -> DataFrame:
+    """Rows whose first columns have one of a few combinations of values."""
+    return part.where(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(columns, head, strict=False)]) for head in heads]))
 
 
-def _find_splitters(keyed: DataFrame, shards: int, total: int, tolerance: float) -> list[tuple[int, int | None]]:
-    """Boundaries (h, d): rows with key h' < h, or h' = h and id < d, are below; d None: the whole key h is above.
+def _find_splitters(keyed: DataFrame, shards: int, total: int, tolerance: float) -> list[tuple[int, ...]]:
+    """Boundaries of the order by KEY: rows whose key is not below a boundary, a tuple of the key's first columns, are above it.
 
-    keyed: h long (any), d long (id), size long. Keys are compared as unsigned numbers
-    h - min(long), so that probes are equal slices of the key range.
+    A column is searched by halves of powers of two: each round counts exact bytes in 2^BITS equal slices of
+    the intervals that still hold a splitter. Where one value holds more than a splitter may be off, the next
+    column of the key goes on inside it; the last one tells all rows apart.
     """
-    low = -(1 << 63)
     allowed = tolerance * total / shards
-    #: splitter -> (first key of its interval, bytes below that key)
-    open_ = {j: (0, 0) for j in range(1, shards)}
-    done: dict[int, tuple[int, int | None]] = {}
-    level = 0
-    while open_ and BITS * level < 64:
-        above, shift = _slices(level)
-        starts = sorted({k for k, _ in open_.values()})
-        if level == 0:
-            part = keyed
+    done: dict[int, tuple[int, ...]] = {}
+    #: splitter -> (values of the columns before, bytes below them)
+    todo: dict[int, tuple[tuple[int, ...], int]] = {j: ((), 0) for j in range(1, shards)}
+    for depth, column in enumerate(KEY):
+        if not todo:
+            break
+        heads = sorted({head for head, _ in todo.values()})
+        part = _among(keyed, KEY, heads) if depth else keyed
+        if depth:
+            ends = part.groupBy(*KEY[:depth]).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+            span = {tuple(int(r[c]) for c in KEY[:depth]): _bits(int(r["lo"]), int(r["hi"])) for r in ends}
         else:
-            ranges = [(F.col("h") >= F.lit(k + low)) & (F.col("h") <= F.lit(k + (1 << above) - 1 + low)) for k in starts]
-            cond = ranges[0]
-            for r in ranges[1:]:
-                cond = cond | r
-            part = keyed.where(cond)
-        hist: dict[int, int] = {}
-        for row in part.groupBy(F.shiftright("h", shift).alias("p")).agg(F.sum("size").alias("b")).collect():
-            hist[(row["p"] << shift) - low] = int(row["b"])
-        probes = sorted(hist)
-        next_open = {}
-        for j, (start, below) in open_.items():
-            target = total * j / shards
-            seen, here = below, start
-            for p in probes:
-                if not start <= p < start + (1 << above):
-                    continue
-                if seen + hist[p] > target:
-                    here = p
-                    break
-                seen += hist[p]
-                here = p + (1 << shift)
-            after = seen + hist.get(here, 0)
-            if target - seen <= allowed or here >= start + (1 << above):
-                done[j] = (here, None)
-            elif after - target <= allowed:
-                done[j] = (here + (1 << shift), None)
-            elif shift == 0:
-                next_open[j] = (here, seen)
-            else:
-                next_open[j] = (here, seen)
-        open_ = next_open
-        level += 1
-    if open_:  # one key holds more than a splitter may be off: cut it by id
-        done.update(_cut_keys(keyed, open_, shards, total, allowed))
-    top = 1 << 64
-    return [(done[j][0] + low if done[j][0] < top else None, done[j][1]) for j in sorted(done)]
-
-
-def _cut_keys(keyed: DataFrame, open_: dict, shards: int, total: int, allowed: float) -> dict:
-    low = -(1 << 63)
-    out = {}
-    heavy = sorted({k for k, _ in open_.values()})
-    part = keyed.where(F.col("h").isin([k + low for k in heavy]))
-    span = {int(r["h"]) - low: (r["lo"], r["hi"]) for r in part.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect()}
-    todo = {j: (k, int(span[k][0] or 0), int(span[k][1] or 0), below) for j, (k, below) in open_.items()}
-    while todo:
-        intervals = sorted({(k, lo, hi) for k, lo, hi, _ in todo.values()})
-        probe, cond = F.lit(None).cast("long"), None
-        for n, (k, lo, hi) in enumerate(intervals):
-            step = max(1, -(-(hi - lo + 1) // (1 << BITS)))
-            inside = (F.col("h") == F.lit(k + low)) & F.col("d").between(lo, hi)
-            cond = inside if cond is None else cond | inside
-            probe = F.when(inside, F.lit(n * (1 << (BITS + 1))) + F.expr(f"(d - {lo}L) div {step}L")).otherwise(probe)
-        hist = {int(r["p"]): int(r["b"]) for r in part.where(cond).groupBy(probe.alias("p")).agg(F.sum("size").alias("b")).collect()}
-        later = {}
-        for j, (k, lo, hi, below) in todo.items():
-            n = intervals.index((k, lo, hi))
-            step = max(1, -(-(hi - lo + 1) // (1 << BITS)))
-            target, seen, cut = total * j / shards, below, hi + 1
-            for p in sorted(x - n * (1 << (BITS + 1)) for x in hist if x // (1 << (BITS + 1)) == n):
-                b = hist[p + n * (1 << (BITS + 1))]
-                if seen + b > target:
-                    cut = lo + p * step
-                    break
-                seen += b
-            else:
-                out[j] = (k, cut)
-                continue
-            if target - seen <= allowed or step == 1:
-                b = hist[(cut - lo) // step + n * (1 << (BITS + 1))]
-                out[j] = (k, cut + 1 if step == 1 and seen + b - target < target - seen else cut)
-            else:
-                later[j] = (k, cut, min(hi, cut + step - 1), seen)
-        todo = later
-    return out
-
-
-def _shard_of(splitters: list[tuple[int | None, int | None]]) -> Column:
-    shard = F.lit(0)
-    for h, d in splitters:
-        if h is None:
-            continue
-        over = F.col("h") >= F.lit(h) if d is None else (F.col("h") > F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("d") >= F.lit(d)))
-        shard = shard + F.when(over, 1).otherwise(0)
-    return shard
+            span = {(): (LOW, 64)}
+        #: splitter -> (values before, first number and bits of its interval, bytes below)
+        open_ = {j: (head, *span[head], below) for j, (head, below) in todo.items()}
+        todo = {}
+        while open_:
+            intervals = sorted({x[:3] for x in open_.values()})
+            probe = F.lit(None).cast("long")
+            for n, (head, base, bits) in enumerate(intervals):
+                shift = max(0, bits - BITS)
+                inside = F.col(column).between(F.lit(base), F.lit(base + (1 << bits) - 1))
+                for c, v in zip(KEY, head, strict=False):
+                    inside = inside & (F.col(c) == F.lit(v))
+                probe = F.when(inside, F.lit(n << BITS + 1) + F.shiftright(column, shift) - F.lit(base >> shift)).otherwise(probe)
+            found: dict[int, dict[int, int]] = {n: {} for n in range(len(intervals))}
+            for r in part.select(probe.alias("p"), "size").where("p is not null").groupBy("p").agg(F.sum("size").alias("b")).collect():
+                found[int(r["p"]) >> BITS + 1][int(r["p"]) & (1 << BITS + 1) - 1] = int(r["b"])
+            later = {}
+            for j, (head, base, bits, below) in open_.items():
+                shift, target, seen = max(0, bits - BITS), total * j / shards, below
+                for p, b in sorted(found[intervals.index((head, base, bits))].items()):
+                    first = base + (p << shift)
+                    after = first + (1 << shift)  # past the last number: no row of this head is above
+                    if seen + b > target:
+                        if target - seen <= allowed:
+                            done[j] = (*head, first)
+                        elif seen + b - target <= allowed:
+                            done[j] = (*head, after)
+                        elif shift:
+                            later[j] = (head, first, shift, seen)
+                        elif depth + 1 < len(KEY):
+                            todo[j] = ((*head, first), seen)
+                        else:  # one row: the nearer side
+                            done[j] = (*head, after if seen + b - target < target - seen else first)
+                        break
+                    seen += b
+                else:
+                    done[j] = (*head, base + (1 << bits))
+            open_ = later
+    return [done[j] for j in sorted(done)]
+
+
+def _above(boundary: tuple[int, ...], columns: tuple[str, ...] = KEY) -> Column:
+    value, column = boundary[0], F.col(columns[0])
+    if len(boundary) > 1:
+        return (column > F.lit(value)) | ((column == F.lit(value)) & _above(boundary[1:], columns[1:]))
+    return column >= F.lit(value) if value < -LOW else F.lit(False)
+
+
+def _shard_of(splitters: list[tuple[int, ...]]) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(_above(s), 1).otherwise(0) for s in splitters], F.lit(0))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
@@ -142,14 +119,17 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     only where a boundary must fall inside it. Slots are gapless from 0 in each shard.
 
     Defined cases: a null text has size 1 and crc32 0, and sorts with the empty text; a
-    null id sorts as the smallest; rows that repeat text and id stay together; an
-    empty table gives an empty result; columns other than the two named are ignored.
+    null id sorts as the smallest long; rows that repeat text and id are cut only where a
+    boundary must fall inside them; a text longer than a shard makes its shard larger, as
+    rows are whole; an empty table gives an empty result; columns other than the two named
+    are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = materialise(
         docs.select(
             F.col(id_col).alias("id"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("d"),
+            F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("d"),
+            F.monotonically_increasing_id().alias("u"),
             (F.octet_length(text).cast("long") + 1).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
@@ -159,11 +139,11 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     whole = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     splitters = _find_splitters(keyed, shards, int(whole["b"]), tolerance) if whole["b"] else []
     parts = max(1, -(-int(whole["n"]) // SLOT_ROWS)) * 8
-    placed = keyed.select("id", "d", "h", "size", "text_crc32", _shard_of(splitters).cast("int").alias("shard"), F.pmod(F.xxhash64("d", "h"), F.lit(parts)).cast("int").alias("part"))
+    placed = keyed.select("id", *KEY, "size", "text_crc32", _shard_of(splitters).cast("int").alias("shard"), F.pmod(F.xxhash64(*KEY), F.lit(parts)).cast("int").alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("shard", "part").orderBy("h", "d")
+    within = Window.partitionBy("shard", "part").orderBy(*KEY)
     ranked = placed.withColumn("r", F.row_number().over(within).cast("long"))
     return ranked.join(offsets, ["shard", "part"]).select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("base") + F.col("r") - 1).alias("slot"))
 

@@ -23,6 +23,8 @@ from .common import materialise, split_fs, work_root
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 #: Frame and bundle sizes in uncompressed and compressed bytes.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
+#: Uncompressed bytes that one task reads, where there are more tasks than cores.
+READ_BYTES = 512 << 20
 #: Payloads of at least so many bytes are revisited rather than repeated.
 REVISIT_BYTES = 0
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public URL name space
@@ -194,8 +196,15 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
 
 
 def read_archives(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """All records of the bundles that the index names, one row each (READ_SCHEMA); digests are verified."""
-    bundles = index.select("bundle").distinct()
+    """All records of the bundles that the index names, one row each (READ_SCHEMA); digests are verified.
+
+    Bundles are dealt to a number of tasks that follows from their bytes, whatever the few bytes of
+    their names would suggest to adaptive execution.
+    """
+    named = materialise(index.groupBy("bundle").agg(F.sum("length").alias("bytes")), "warc-bundles")
+    n, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = min(n, max(index.sparkSession.sparkContext.defaultParallelism, -(-int(size) // READ_BYTES)))
+    bundles = named.select("bundle").repartition(max(1, tasks))
 
     def read(batches):
         rows = []
