@@ -155,13 +155,27 @@ def test_decontaminate_odd_and_empty(spark, odd, empty):
     assert all(r["n_hit"] == 0 for r in decontaminate.decontaminate(odd, items.limit(0)).collect())
 
 
-def test_decontaminate_without_broadcast(spark, monkeypatch, docs):
+def test_decontaminate_in_passes(spark, monkeypatch, docs):
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
     want = sorted(decontaminate.decontaminate(docs, items).collect())
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate, "PASS_PREFIXES", 20)
     assert sorted(decontaminate.decontaminate(docs, items).collect()) == want
 
 
+def test_decontaminate_repeated_words(spark):
+    """Long runs of one word, or of two, take time in proportion to their length."""
+    items = [(1, "a " * 400), (2, "a b " * 200), (3, "b " * 12)]
+    texts = [(1, "a " * 4000), (2, "a b " * 3000), (3, "x " * 50 + "b " * 12), (4, "c " * 20_000)]
+    got = decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["n_hit"], r["n_items"], r["longest"]) for r in got.collect()) == [(1, 4000, 1, 13), (2, 6000, 1, 13), (3, 12, 1, 12), (4, 0, 0, 0)]
+
+
+def test_decontaminate_clashing_benchmark_columns(spark, docs):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    more = items.withColumns({c: F.lit("clash") for c in ("item", "w", "win", "wid", "len", "k", "t", "j", "doc_id", "uid", "pos", "word")})
+    assert sorted(decontaminate.decontaminate(docs, more).collect()) == sorted(decontaminate.decontaminate(docs, items).collect())
+
+
 # 3 quality rules
 def test_quality_rules_odd(odd, empty):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(odd).collect()}
