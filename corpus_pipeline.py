@@ -41,9 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are not contaminated by the benchmark."""
+    """Rows without a passage of the benchmark: none of its whole windows, however long the text around it.
+
+    Items shorter than a window, which may be common words, count only where the operator calls the
+    document contaminated.
+    """
     found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = materialise(found.where("contaminated").select(F.col("doc_id").alias("decontamination_bad")).distinct(), "decontaminated-ids")
+    bad = materialise(found.where(F.col("contaminated") | (F.col("longest") >= decontaminate.WINDOW)).select(F.col("doc_id").alias("decontamination_bad")).distinct(), "decontaminated-ids")
     return docs.join(sized(bad), F.col("doc_id").eqNullSafe(F.col("decontamination_bad")), "left_anti")
 
 
