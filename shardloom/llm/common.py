@@ -25,7 +25,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 #: A narrow table of at most so many rows (a few longs each) is broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

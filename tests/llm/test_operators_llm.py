@@ -468,7 +468,7 @@ def test_shards_of_one_text_with_any_ids(spark, ids):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_shards_are_near_the_wanted_bytes(spark, seed):
+def test_shards_have_the_wanted_bytes(spark, seed):
     """Every splitter is off by the tolerance or by one row at most."""
     rng = random.Random(seed)
     rows = [(rng.choice([None, rng.randint(-50, 50), rng.randint(-(1 << 63), (1 << 63) - 1)]), rng.choice(["", None, "a" * rng.randint(1, 40), f"own {rng.random()}"])) for _ in range(700)]
@@ -478,11 +478,13 @@ def test_shards_are_near_the_wanted_bytes(spark, seed):
 
 
 # 10 near duplicates
+def word_set(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+
+
 def brute_components(texts, percent=85, size=5):
-    sets = {}
-    for k, t in texts:
-        w = (t or "").encode().lower().split()
-        sets[k] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
+    sets = {k: word_set(t, size) for k, t in texts}
     root = {k: k for k in sets}
 
     def top(k):
@@ -509,23 +511,48 @@ def family(rng, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 4])
-def test_near_duplicates_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,percent", [(1024, 85), (4, 85), (8, 80)])
+def test_near_duplicates_brute_force(spark, monkeypatch, block, percent):
     """Families whose members are at and around the limit, so that hubs do not reach all of them."""
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block * 500)
     monkeypatch.setattr(neardup, "PAIR_ROWS", block)
     monkeypatch.setattr(neardup, "HUB_ROWS", 8)
-    monkeypatch.setattr(neardup, "BLOCK_SETS", 3)
     rng = random.Random(8)
     texts = [t for f in range(6) for t in family(rng, sentence(100, f), 25, 3)] + [t for f in range(3) for t in family(rng, sentence(60, f"s{f}"), 12, 1)]
     texts += ["", None, "one two", "one two", "One TWO", "a b c d e", "a b c d e"] + texts[:10]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, percent)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with several texts has the links of all of them, and joins their components."""
+    a, b, c = sentence(60, "ra"), sentence(60, "rb"), sentence(60, "rc")
+    rows = [(5, a), (5, b), (9, b + " more"), (3, a + " tail"), (7, c), (8, c), (8, "quite another text of six words"), (6, None), (6, "quite another text of six words"), (1, "alone")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {k: v for (k, n), v in got.items() if n} == {5: 3, 9: 3, 3: 3, 7: 6, 8: 6, 6: 6, 1: 1} and got[6, 0] == 6
+
+
+def test_near_duplicates_recall_on_documents(spark):
+    """All true links of the ids divisible by 100, found by brute force against all rows, lie inside components."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: word_set(r["text"]) for r in docs.collect()}
+    comp = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    links = [(a, b) for a in sets if a % 100 == 0 for b in sets if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert sum(comp[a] == comp[b] for a, b in links) == len(links)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_shape_misses_few(percent):
+    rows, least = neardup.shape(percent)
+    p = percent / 100
+    assert (1 - p**rows) ** (120 // rows) <= 1e-5 and 120 % rows == 0
+    assert sum(math.comb(120, k) * p**k * (1 - p) ** (120 - k) for k in range(least)) <= 1e-5
+
+
 def test_near_duplicates_odd_and_empty(odd, empty):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows())
