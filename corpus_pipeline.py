@@ -14,6 +14,8 @@ from shardloom.llm import decontaminate, neardup, packing, quality_model, qualit
 from shardloom.llm.common import materialise, read_table, sized
 
 LEAST_QUALITY = 0.3
+#: The general rule for near-duplicate stages, in hundredths.
+NEAR_PERCENT = 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +30,22 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each near-duplicate class. Rows that repeat an id are one; rows without an id stay."""
-    found = neardup.near_duplicates(docs).where("doc_id is not null")
-    ids = found.groupBy(F.col("doc_id").alias("near_dedup_id")).agg(F.count(F.lit(1)).alias("near_dedup_rows"), F.max("kept").alias("near_dedup_kept"))
-    ids = materialise(ids.where("near_dedup_rows > 1 or not near_dedup_kept"), "near-dedup-ids")
+    """The row with the smallest id of each near-duplicate class, links taken from NEAR_PERCENT on.
+
+    Rows that repeat an id are one document, of which the row with the smallest text stays; rows
+    without an id stay.
+    """
+    found = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("doc_id is not null")
+    ids = found.groupBy(F.col("doc_id").alias("near_dedup_id")).agg(F.count(F.lit(1)).alias("near_dedup_rows"), F.min("component_id").alias("near_dedup_component"))
+    kept = F.col("near_dedup_component") == F.col("near_dedup_id")
+    ids = materialise(ids.where((F.col("near_dedup_rows") > 1) | ~kept).select("near_dedup_id", kept.alias("near_dedup_kept")), "near-dedup-ids")
     same = F.col("doc_id") == F.col("near_dedup_id")
     single = docs.join(sized(ids.select("near_dedup_id")), same, "left_anti")
     repeated = ids.where("near_dedup_kept").select("near_dedup_id")
     if repeated.isEmpty():
         return single
-    return single.unionByName(docs.join(sized(repeated), same, "left_semi").dropDuplicates(["doc_id"]))
+    several = docs.join(sized(repeated), same, "left_semi").groupBy(F.col("doc_id").alias("near_dedup_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("near_dedup_row"))
+    return single.unionByName(several.select("near_dedup_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
