@@ -159,7 +159,7 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> str:
 
 
 def load(url: str) -> dict[str, np.ndarray]:
-    """Arrays of a file: mapped if its file system is local, else read."""
+    """Arrays of a file: mapped if its file system is local, else read. Also "mapped", which of the two, and its "bytes"."""
     from pyarrow.fs import LocalFileSystem
 
     fs, path = split_fs(url)
@@ -170,7 +170,7 @@ def load(url: str) -> dict[str, np.ndarray]:
             data = np.frombuffer(f.read(), np.uint8)
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
-    out = {}
+    out: dict = {"mapped": isinstance(fs, LocalFileSystem), "bytes": len(data)}
     for key, (kind, n, at) in head.items():
         at += 8 + size
         out[key] = np.frombuffer(data, kind, n, at) if n else np.zeros(0, kind)

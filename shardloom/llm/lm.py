@@ -1,19 +1,23 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The trie lies in segments, by the hash of the first word of an n-gram, in the shared
-folder. A segment's levels are
- 1. words: an Elias-Fano list of hashes, and exact counts;
- 2. bigrams: for each word an Elias-Fano pointer to its successors, whose word ids are
-    packed in order, with quantised probabilities;
- 3. trigrams: the same below bigrams.
-A lookup searches the successors of its context. Counts are exact and over all training
-rows. Each level is counted in one pass: tasks sum n-grams in memory and send sorted
-blocks, which are merged by segment. All n-grams are kept, from count 1 on.
+The trie lies in files in the shared folder.
+ 1. words: by slices of the hash range, an Elias-Fano list of hashes, and exact counts; a
+    word's id is its rank among all hashes;
+ 2. bigrams: for each word an Elias-Fano pointer to its successors, whose ids are packed in
+    order, with quantised probabilities;
+ 3. trigrams: the same below bigrams. A successor c of (a, b) is named by its place among
+    the successors of b, so its number is small.
+Levels 2 and 3 are cut into pieces of about equal tokens, ranges of (context, successor): a
+context that alone has more is cut by successors. A lookup searches the successors of its
+context. Counts are exact and over all training rows. Each level is counted in one pass:
+tasks sum n-grams in memory and send sorted blocks, which are merged by piece. All n-grams
+are kept, from count 1 on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,12 @@ from .words import hashed
 DISCOUNT = 0.9
 #: Weight of a context's lower order beside its count: seen contexts of few tokens say little.
 SMOOTH = 1.0
-#: Text bytes of a segment, entries that a task sums before it sends them.
-SEGMENT_BYTES, TASK_ENTRIES = 48 << 20, 1 << 20
+#: Text bytes whose tokens make a piece, as long as there are fewer than MOST pieces; entries that a task sums before it sends them.
+PIECE_BYTES, MOST, TASK_ENTRIES = 24 << 20, 1 << 18, 1 << 21
+#: Text bytes of a token, to turn bytes into tokens; bytes of files that a worker keeps where they cannot be mapped.
+TOKEN_BYTES, KEPT_BYTES = 6, 512 << 20
+#: Bits of a key of context and successor; a level with wider ones is counted in several passes over ranges of contexts.
+KEY_BITS = 63
 #: Probabilities are kept as -log10, rounded up to this part.
 QUANTUM = 1 / 4096
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -43,11 +51,61 @@ def logs(q: np.ndarray) -> np.ndarray:
     return q.astype(np.float64) * -QUANTUM
 
 
+@dataclass
+class Pieces:
+    """Pieces of a level, in order. Piece s begins at successor sub[s] of context ctx[s] and has the ranks from offset[s] on.
+
+    parent: the file of the level above that has its contexts. A context that is cut has pieces of its own.
+    """
+
+    ctx: np.ndarray
+    sub: np.ndarray
+    parent: np.ndarray
+    contexts: int
+    offset: np.ndarray | None = None
+
+    def __post_init__(self):
+        last = np.append(self.ctx[1:], self.contexts)
+        self.split = np.unique(self.ctx[self.ctx == last])
+        self.size = np.where(np.isin(self.ctx, self.split), 1, last - self.ctx)
+
+    def of(self, ctx: np.ndarray, sub: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.ctx, ctx, "right") - 1
+        if len(self.split):
+            cut = np.flatnonzero(np.isin(ctx, self.split))
+            for at, c in _groups(ctx[cut]):
+                first = int(np.searchsorted(self.ctx, c))
+                own = self.sub[first : int(out[cut[at[0]]]) + 1]
+                out[cut[at]] = first + np.searchsorted(own, sub[cut[at]], "right") - 1
+        return out
+
+    def of_rank(self, rank: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offset, rank, "right") - 1
+
+
+@dataclass
+class Grams:
+    """Distinct words, bigrams and trigrams of a run of texts, in the order of their keys, and where each token has them.
+
+    prior: the bigram that ends at the token before; -1 at a text's first token.
+    """
+
+    ids: np.ndarray
+    counts: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    times: np.ndarray
+    pair: np.ndarray
+    prior: np.ndarray
+
+
 class Trie:
-    """Levels of all segments, opened when first used. meta: segments, counts and file of each (level, segment)."""
+    """Levels of all files, opened when first used. meta: level 1's segments and offsets, Pieces and files by level."""
 
     def __init__(self, meta: dict):
-        self.segments, self.total, self.offsets, self.files = meta["segments"], meta["total"], np.array(meta["offsets"]), meta["files"]
+        self.segments, self.total, self.offsets = meta["segments"], meta["total"], np.array(meta["offsets"])
+        self.files, self.pieces = meta["files"], meta["pieces"]
         self._open: dict[tuple[int, int], dict] = {}
         self.vocabulary = int(self.offsets[-1])
         self.width = max(1, self.vocabulary.bit_length())
@@ -58,15 +116,15 @@ class Trie:
             a = load(self.files[n][segment])
             a["list"] = EliasFano.read(a, "list")
             self._open[key] = a
+            read = [k for k, v in self._open.items() if not v["mapped"]]
+            while len(read) > 1 and sum(self._open[k]["bytes"] for k in read) > KEPT_BYTES:
+                del self._open[read.pop(0)]
         return self._open[key]
 
-    def segment_of(self, hashes: np.ndarray) -> np.ndarray:
-        return segment_of(hashes, self.segments)
-
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or -1, count or 0) of words."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for at, s in _groups(self.segment_of(hashes)):
+        for at, s in _groups(segment_of(hashes, self.segments)):
             level = self.level(1, s)
             found = level["list"].find(hashes[at])
             ok = found >= 0
@@ -74,96 +132,101 @@ class Trie:
             counts[at[ok]] = level["count"][found[ok]]
         return ids, counts
 
-    def tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """words(), with each distinct one looked up once."""
-        keys, where = np.unique(hashes, return_inverse=True)
+    def grams(self, tokens: np.ndarray, starts: np.ndarray) -> Grams:
+        """tokens: hashes with END after each text; starts: first tokens of texts, before which END is taken to stand."""
+        keys, word = np.unique(tokens, return_inverse=True)
         ids, counts = self.words(keys)
-        return ids[where], counts[where]
-
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """bigrams(), with each distinct pair of known ids looked up once."""
-        segment, rank = np.zeros(len(a), np.int64), np.full(len(a), -1, np.int64)
-        known = np.flatnonzero((a >= 0) & (b >= 0))
-        keys, where = np.unique(a[known].astype(np.uint64) << np.uint64(32) | b[known].astype(np.uint64), return_inverse=True)
-        s, r = self.bigrams((keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        segment[known], rank[known] = s[where], r[where]
-        return segment, rank
-
-    def segment_of_id(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, ids, "right") - 1
+        prior = np.roll(word, 1)
+        prior[starts] = np.searchsorted(keys, END)
+        both, pair, times = np.unique(prior * len(keys) + word, return_inverse=True, return_counts=True)
+        last = np.roll(pair, 1)
+        last[starts] = -1
+        return Grams(ids, counts, word, both // len(keys), both % len(keys), times, pair, last)
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
-        for at, s in _groups(self.segment_of_id(ids)):
+        for at, s in _groups(np.searchsorted(self.offsets, ids, "right") - 1):
             out[at] = self.level(1, s)["count"][ids[at] - self.offsets[s]]
         return out
 
-    def successor(self, n: int, segment: int, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Rank in level n, or -1, of the n-grams of a context (rank in level n - 1) and a word id."""
-        level = self.level(n, segment)
-        own, back = np.unique(context, return_inverse=True)
-        begin, end = (level["list"].get(own + k).astype(np.int64)[back] for k in (0, 1))
-        wanted = ids.astype(np.uint64)
-        get = lambda i: unpack(level["ids"], self.width, i)
-        at = lower_bound(get, begin, end, wanted)
-        hit = at < end
-        hit[hit] = get(at[hit]) == wanted[hit]
-        return np.where(hit, at, -1)
-
-    def bigrams(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segment, rank in its level 2 or -1) of pairs of word ids; -1 ids are not found."""
-        segment, rank = np.zeros(len(a), np.int64), np.full(len(a), -1, np.int64)
-        known = np.flatnonzero((a >= 0) & (b >= 0))
-        segment[known] = self.segment_of_id(a[known])
-        for at, s in _groups(segment[known]):
+    def find(self, n: int, ctx: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank in level n or -1, place among the successors of the context) of contexts with successors; negative ones are not found."""
+        rank, place = np.full(len(ctx), -1, np.int64), np.full(len(ctx), -1, np.int64)
+        known, pieces = np.flatnonzero((ctx >= 0) & (sub >= 0)), self.pieces[n]
+        for at, s in _groups(pieces.of(ctx[known], sub[known])):
+            at, level = known[at], self.level(n, s)
+            own, back = np.unique(ctx[at] - pieces.ctx[s], return_inverse=True)
+            begin, end = (level["list"].get(own + k).astype(np.int64)[back] for k in (0, 1))
+            width = int(level["wide"][0])
+            wanted = sub[at].astype(np.uint64)
+            get = lambda i: unpack(level["ids"], width, i)  # noqa: B023, E731
+            found = lower_bound(get, begin, end, wanted)
+            hit = found < end
+            hit[hit] = get(found[hit]) == wanted[hit]
+            rank[at[hit]] = found[hit] + pieces.offset[s]
+            # in a piece of a cut context, the places begin in its first piece
+            first = pieces.offset[s] - pieces.offset[int(np.searchsorted(pieces.ctx, pieces.ctx[s]))]
+            place[at[hit]] = found[hit] - begin[hit] + first
+        return rank, place
+
+    def first_rank(self, n: int, ctx: np.ndarray) -> np.ndarray:
+        """Rank in level n of each context's first successor."""
+        out, pieces = np.zeros(len(ctx), np.int64), self.pieces[n]
+        for at, s in _groups(pieces.of(ctx, np.zeros(len(ctx), np.int64))):
+            out[at] = self.level(n, s)["list"].get(ctx[at] - pieces.ctx[s]).astype(np.int64) + pieces.offset[s]
+        return out
+
+    def of_rank(self, n: int, rank: np.ndarray, what: str) -> np.ndarray:
+        """Probabilities (p) or successors (ids) of n-grams by rank."""
+        out, pieces = np.zeros(len(rank), np.float64 if what == "p" else np.int64), self.pieces[n]
+        for at, s in _groups(pieces.of_rank(rank)):
+            level, own = self.level(n, s), rank[at] - pieces.offset[s]
+            out[at] = logs(level["p"][own]) if what == "p" else unpack(level["ids"], int(level["wide"][0]), own)
+        return out
+
+    def left(self, n: int, ctx: np.ndarray) -> np.ndarray:
+        """log10 of the mass that contexts leave to lower orders; 0 for negative ones."""
+        out, pieces = np.zeros(len(ctx)), self.pieces[n]
+        known = np.flatnonzero(ctx >= 0)
+        for at, s in _groups(pieces.of(ctx[known], np.zeros(len(known), np.int64))):
             at = known[at]
-            rank[at] = self.successor(2, s, a[at] - self.offsets[s], b[at])
-        return segment, rank
+            out[at] = logs(self.level(n, s)["back"][ctx[at] - pieces.ctx[s]])
+        return out
 
     def first(self, counts: np.ndarray) -> np.ndarray:
         """log10 probability of words by their counts."""
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
 
-    def second(self, a: np.ndarray, segment: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of words after the words a (ids), found bigrams by (segment, rank)."""
-        out = first.copy()
-        known = np.flatnonzero(a >= 0)
-        own = self.segment_of_id(a[known])
-        for at, s in _groups(own):
-            at = known[at]
-            level = self.level(2, s)
-            hit = rank[at] >= 0
-            out[at[hit]] = logs(level["p"][rank[at[hit]]])
-            rest = at[~hit]
-            out[rest] += logs(level["back"][a[rest] - self.offsets[s]])
-        return out
+    def bigrams(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
+        return self.find(2, g.ids[g.before], g.ids[g.after])
+
+    def trigrams(self, g: Grams, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens that have one, which, its context's rank, its successor's place) of distinct trigrams whose bigrams are known."""
+        at = np.flatnonzero(g.prior >= 0)
+        at = at[(rank[g.prior[at]] >= 0) & (rank[g.pair[at]] >= 0)]
+        keys, which = np.unique(g.prior[at] * len(rank) + g.pair[at], return_inverse=True)
+        return at, which, rank[keys // len(rank)], place[keys % len(rank)]
 
     def score(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token (base log10, model log10, known) of token hashes, END after each text; starts: first tokens of texts."""
-        ids, counts = self.tokens(hashes)
-        base = self.first(counts)
-        end_id = self.words(np.array([END]))[0][0]
-        # the token before the first of a text is END
-        prior = np.concatenate([[end_id], ids[:-1]])
-        prior[starts] = end_id
-        segment, rank = self.pairs(prior, ids)
-        model = self.second(prior, segment, rank, base)
-        # trigrams: the bigram before, unless the text begins here
-        s1, r1 = np.roll(segment, 1), np.roll(rank, 1)
-        r1[starts] = -1
-        use = np.flatnonzero((r1 >= 0) & (ids >= 0))
-        for at, s in _groups(s1[use]):
-            at = use[at]
-            level = self.level(3, s)
-            found = self.successor(3, s, r1[at], ids[at])
-            hit = found >= 0
-            model[at[hit]] = logs(level["p"][found[hit]])
-            model[at[~hit]] += logs(level["back"][r1[at[~hit]]])
-        unknown = np.flatnonzero((r1 >= 0) & (ids < 0))
-        for at, s in _groups(s1[unknown]):
-            at = unknown[at]
-            model[at] += logs(self.level(3, s)["back"][r1[at]])
-        return base, model, counts > 0
+        g = self.grams(hashes, starts)
+        base = self.first(g.counts)
+        rank, place = self.bigrams(g)
+        hit = rank >= 0
+        pairs = base[g.after] + self.left(2, g.ids[g.before])
+        pairs[hit] = self.of_rank(2, rank[hit], "p")
+        model = pairs[g.pair]
+        below = np.flatnonzero(g.prior >= 0)
+        used = np.zeros(len(rank), bool)
+        used[g.prior[below]] = True
+        model[below] += self.left(3, np.where(used, rank, -1))[g.prior[below]]
+        at, which, ctx, sub = self.trigrams(g, rank, place)
+        found, _ = self.find(3, ctx, sub)
+        hit = found >= 0
+        p = np.zeros(len(found))
+        p[hit] = self.of_rank(3, found[hit], "p")
+        model[at[hit[which]]] = p[which[hit[which]]]
+        return base[g.word], model, (g.counts > 0)[g.word]
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
@@ -196,10 +259,11 @@ class _Sums:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """keys: sorted and distinct."""
         if len(keys):
-            self.parts.append(np.unique(keys, return_counts=True))
-            self.size += len(self.parts[-1][0])
+            self.parts.append((keys, counts))
+            self.size += len(keys)
             if self.size > 2 * TASK_ENTRIES:
                 self.merge()
 
@@ -247,17 +311,40 @@ def decode(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ((places - at).astype(np.uint64) << np.uint64(low_bits)) | unpack(low, low_bits, at), unpack(packed, width, at).astype(np.int64)
 
 
-def _merged(blocks: DataFrame, segments: int, build, schema: str = "segment int, n long, total long, file string") -> dict[int, tuple]:
-    """Blocks by segment, each summed and handed to build(segment, keys, counts) -> (n, total, file); empty segments too."""
-    every = blocks.sparkSession.range(segments).select(F.col("id").cast("int").alias("segment"), F.lit(None).cast("binary").alias("block"))
-    dealt = blocks.unionByName(every).repartition(segments, "segment").sortWithinPartitions("segment")
+def _cuts(weights: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first context of each piece, its weight if it is one context of more than target, else 0)."""
+    if not len(weights):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heavy = weights > target
+    light = np.where(heavy, 0, weights)
+    group = (np.cumsum(light) - light) // target
+    begins = np.ones(len(weights), bool)
+    begins[1:] = heavy[1:] | heavy[:-1] | (group[1:] != group[:-1])
+    at = np.flatnonzero(begins)
+    return at, np.where(heavy, weights, 0)[at]
+
+
+_RESULT = "segment int, n long, total long, file string, starts array<long>, heavy array<long>"
+
+
+def _result(segment: int, n: int, total: int, file: str, cuts) -> pa.RecordBatch:
+    starts, heavy = (pa.array([x.tolist()], pa.list_(pa.int64())) for x in cuts)
+    return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([file], pa.string()), starts, heavy], names=["segment", "n", "total", "file", "starts", "heavy"])
+
+
+_NO_CUTS = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _merged(blocks: DataFrame, segments: list[int], build) -> dict[int, dict]:
+    """Blocks by segment, each summed and handed to build(segment, keys, counts) -> (n, total, file, cuts); empty segments too."""
+    every = blocks.sparkSession.range(segments[0], segments[-1] + 1).select(F.col("id").cast("int").alias("segment"), F.lit(None).cast("binary").alias("block"))
+    dealt = blocks.unionByName(every).repartition(len(segments), "segment").sortWithinPartitions("segment")
 
     def run(batches):
         now, parts = None, []
 
         def done():
-            n, total, file = build(now, *(summed(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64()), pa.array([file], pa.string())], names=["segment", "n", "total", "file"])
+            return _result(now, *build(now, *(summed(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))))
 
         for batch in batches:
             for segment, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -272,110 +359,153 @@ def _merged(blocks: DataFrame, segments: int, build, schema: str = "segment int,
         if now is not None:
             yield done()
 
-    return {int(r["segment"]): (int(r["n"]), int(r["total"]), r["file"]) for r in dealt.mapInArrow(run, schema).collect()}
+    return {int(r["segment"]): r.asDict() for r in dealt.mapInArrow(run, _RESULT).collect()}
 
 
 def _counted(texts: DataFrame, keys_of, segment_of_keys) -> DataFrame:
-    """Blocks of the keys that keys_of(tokens, starts) gives for all texts."""
+    """Blocks of the keys, sorted and distinct, and counts that keys_of(tokens, starts) gives for all texts."""
 
     def run(batches):
         sums = _Sums(segment_of_keys)
         for batch in batches:
             for _, words, counts in hashed(batch.column(0)):
-                sums.add(keys_of(*_with_end(words, counts)))
+                sums.add(*keys_of(*_with_end(words, counts)))
                 yield from sums.blocks(False)
         yield from sums.blocks(True)
 
     return texts.mapInArrow(run, "segment int, block binary")
 
 
-def _discounted(context: np.ndarray, counts: np.ndarray, totals: np.ndarray, lower: np.ndarray, lower_at: np.ndarray, n_contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(probability of each n-gram, mass left to each context's lower order).
-
-    context, counts: of the n-grams; totals, lower_at: count and rank of each n-gram's context;
-    lower: probability of its last word by the lower order.
-    """
-    own = (counts - DISCOUNT) / (totals + SMOOTH)
-    left = 1 - np.bincount(context, own, n_contexts)
-    return own + left[context] * lower, np.clip(left, 1e-12, 1.0)
-
-
-def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> dict:
-    """Count, smooth and write the trie of all rows that are not held out; returns its meta data (a few numbers a segment)."""
+def _pieces(above: dict[int, dict], offset: np.ndarray, target: int, successors) -> Pieces:
+    """Pieces below a level whose files are above; successors(contexts): how many the cut ones can have at most."""
+    ctx, sub, parent = [], [], []
+    for s in sorted(above):
+        for start, weight in zip(above[s]["starts"], above[s]["heavy"], strict=True):
+            parts = -(-weight // target) if weight else 1
+            cuts = sorted({k * successors(offset[s] + start) // parts for k in range(parts)}) if parts > 1 else [0]
+            ctx += [offset[s] + start] * len(cuts)
+            sub += cuts
+            parent += [s] * len(cuts)
+    if not ctx:
+        ctx, sub, parent = [0], [0], [0]
+    return Pieces(np.array(ctx, np.int64), np.array(sub, np.int64), np.array(parent, np.int64), int(offset[-1]))
+
+
+def _finish(trie: Trie, n: int, s: int, folder: str, ctx: np.ndarray, sub: np.ndarray, counts: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> str:
+    """Write piece s of level n. total, distinct: tokens and successors of its contexts, in all pieces."""
+    left = 1 - (total - DISCOUNT * distinct) / (total + SMOOTH)
+    p = np.zeros(len(counts))
+    for lo in range(0, len(counts), 1 << 20):
+        part = slice(lo, lo + (1 << 20))
+        own, c = ctx[part], sub[part]
+        if n == 2:
+            lower = trie.first(trie.counts(c))
+        else:  # the bigram below (a, b, c) is the one at c's place among the successors of b
+            b, where = np.unique(trie.of_rank(2, trie.pieces[3].ctx[s] + own, "ids"), return_inverse=True)
+            lower = trie.of_rank(2, trie.first_rank(2, b)[where] + c, "p")
+        p[part] = (counts[part] - DISCOUNT) / (total[own] + SMOOTH) + left[own] * 10**lower
+    pointers = np.searchsorted(ctx, np.arange(len(total) + 1))
+    wide = max(1, int(sub.max(initial=0)).bit_length())
+    arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(sub, wide), "wide": np.array([wide]), "p": quantise(p), "back": quantise(np.clip(left, 1e-12, 1.0))}
+    return save(folder, f"level{n}-{s}", arrays)
+
+
+def _level(spark, texts: DataFrame, meta: dict, n: int, folder: str, above: dict[int, dict], target: int) -> dict[int, dict]:
+    """Count, smooth and write level n (2 or 3) below the files above; adds it to meta."""
+    offset = np.array(meta["offsets"]) if n == 2 else meta["pieces"][2].offset
+    pieces = _pieces(above, offset, target, lambda ctx: meta["offsets"][-1] if n == 2 else _successors(_trie(meta), ctx))
+    width = max(1, int(meta["offsets"][-1]).bit_length())
+    done: dict[int, dict] = {}
+    meta = {**meta, "pieces": {**meta["pieces"], n: pieces}}
+
+    def keys_of(tokens, starts, base, end):
+        """Keys of the n-grams with contexts from base to end; packed in 64 bits, the context above the successor."""
+        trie = _trie(meta)
+        g = trie.grams(tokens, starts)
+        if n == 2:
+            ctx, sub, times = g.ids[g.before], g.ids[g.after], g.times
+        else:
+            _, which, ctx, sub = trie.trigrams(g, *trie.bigrams(g))
+            times = np.bincount(which, minlength=len(ctx))
+        ok = (ctx >= base) & (ctx < end) & (sub >= 0)
+        if not ok.all():
+            ctx, sub, times = ctx[ok], sub[ok], times[ok]
+        return (ctx - base).astype(np.uint64) << np.uint64(width) | sub.astype(np.uint64), times
+
+    def parts_of(keys):
+        return (keys >> np.uint64(width)).astype(np.int64), (keys & np.uint64((1 << width) - 1)).astype(np.int64)
+
+    def pass_of(first: int, last: int) -> dict[int, dict]:
+        base = int(pieces.ctx[first])
+        end = int(pieces.ctx[last] + pieces.size[last])
+
+        def build(s, keys, counts):
+            ctx, sub = parts_of(keys)
+            ctx = ctx + base - pieces.ctx[s]
+            cuts = _cuts(counts, target) if n == 2 else _NO_CUTS
+            if pieces.ctx[s] in pieces.split:
+                return len(keys), int(counts.sum()), save(folder, f"counts{n}-{s}", {"sub": sub, "counts": counts}), cuts
+            size = int(pieces.size[s])
+            total, distinct = np.bincount(ctx, counts, size), np.bincount(ctx, minlength=size)
+            return len(keys), int(counts.sum()), _finish(_trie(meta), n, s, folder, ctx, sub, counts, total, distinct), cuts
+
+        def piece_of(keys):
+            ctx, sub = parts_of(keys)
+            return pieces.of(ctx + base, sub)
+
+        return _merged(_counted(texts, lambda tokens, starts: keys_of(tokens, starts, base, end), piece_of), list(range(first, last + 1)), build)
+
+    first = 0
+    while first < len(pieces.ctx):  # one pass, unless keys do not fit in 64 bits
+        last = int(np.searchsorted(pieces.ctx + pieces.size, pieces.ctx[first] + (1 << max(0, KEY_BITS - width)), "right")) - 1
+        done |= pass_of(first, max(first, last))
+        first = max(first, last) + 1
+
+    # contexts in several pieces: their sums are known now
+    cut = {s: int(pieces.ctx[s]) for s in done if pieces.ctx[s] in pieces.split}
+    sums = {c: [sum(done[s][k] for s in cut if cut[s] == c) for k in ("total", "n")] for c in set(cut.values())}
+    pieces.offset = np.concatenate([[0], np.cumsum([done[s]["n"] for s in sorted(done)])]).astype(np.int64)
+    if cut:
+        raw = spark.createDataFrame([(s, done[s]["file"], *sums[c]) for s, c in cut.items()], "segment int, file string, total long, n long").repartition(len(cut))
+
+        def finish(batches):
+            for batch in batches:
+                for s, file, total, distinct in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    a = load(file)
+                    counts = a["counts"]
+                    yield _result(s, len(counts), int(counts.sum()), _finish(_trie(meta), n, s, folder, np.zeros(len(counts), np.int64), a["sub"], counts, np.array([total]), np.array([distinct])), _NO_CUTS)
+
+        for r in raw.mapInArrow(finish, _RESULT).collect():
+            done[int(r["segment"])]["file"] = r["file"]
+    meta["files"][n] = [done[s]["file"] for s in sorted(done)]
+    return meta, done
+
+
+def _successors(trie: Trie, bigram: int) -> int:
+    """How many successors the last word of a bigram, given by rank, has."""
+    b = trie.of_rank(2, np.array([bigram]), "ids")
+    first, end = (int(trie.first_rank(2, b + k)[0]) if int(b[0]) + k < trie.vocabulary else int(trie.pieces[2].offset[-1]) for k in (0, 1))
+    return max(1, end - first)
+
+
+def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", piece_bytes: int = PIECE_BYTES) -> dict:
+    """Count, smooth and write the trie of all rows that are not held out; returns its meta data (a few numbers a piece)."""
     texts = docs.where(crc_mod(id_col, 10) != 0).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    segments = int(min(4096, max(8, -(-size // segment_bytes))))
-
-    def by_offsets(offsets):
-        bounds = np.array(offsets)
-        return lambda keys: np.searchsorted(bounds, (keys >> np.uint64(32)).astype(np.int64), "right") - 1
-
-    def build_words(segment, keys, counts):
-        return len(keys), int(counts.sum()), save(folder, f"words-{segment}", EliasFano.of(keys).arrays("list") | {"count": counts})
+    size = int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    piece_bytes = max(piece_bytes, -(-size // MOST))
+    segments, target = max(8, -(-size // piece_bytes)), max(1, piece_bytes // TOKEN_BYTES)
 
-    meta = {"segments": segments, "files": {}, "total": 0, "offsets": [0] * (segments + 1)}
-    done = _merged(_counted(texts, lambda tokens, starts: tokens, lambda keys: segment_of(keys, segments)), segments, build_words)
-    meta["files"][1] = [done[s][2] for s in range(segments)]
-    meta["total"] = sum(done[s][1] for s in range(segments))
-    meta["offsets"] = [0, *np.cumsum([done[s][0] for s in range(segments)]).tolist()]
+    def words(tokens, starts):
+        return np.unique(tokens, return_counts=True)
 
-    if meta["offsets"][-1] >= 1 << 32:
-        raise ValueError("more than 2^32 distinct words; use a greater SEGMENT_BYTES only with wider keys")
+    def build(segment, keys, counts):
+        return len(keys), int(counts.sum()), save(folder, f"words-{segment}", EliasFano.of(keys).arrays("list") | {"count": counts}), _cuts(counts, target)
 
-    def bigrams(tokens, starts):
-        trie = _trie(meta)
-        ids, _ = trie.tokens(tokens)
-        prior = np.concatenate([[-1], ids[:-1]])
-        prior[starts] = trie.words(np.array([END]))[0][0]
-        ok = (prior >= 0) & (ids >= 0)
-        return prior[ok].astype(np.uint64) << np.uint64(32) | ids[ok].astype(np.uint64)
-
-    def build_bigrams(segment, keys, counts):
-        trie = _trie(meta)
-        a, b = (keys >> np.uint64(32)).astype(np.int64) - trie.offsets[segment], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        n = int(trie.offsets[segment + 1] - trie.offsets[segment])
-        totals = trie.level(1, segment)["count"]
-        p, back = _discounted(a, counts, totals[a], 10 ** trie.first(trie.counts(b)), a, n)
-        pointers = np.searchsorted(a, np.arange(n + 1))
-        wide = int(counts.max(initial=0)).bit_length()
-        arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(b, trie.width), "p": quantise(p), "back": quantise(back), "count": pack(counts, wide), "wide": np.array([wide])}
-        return len(keys), int(counts.sum()), save(folder, f"bigrams-{segment}", arrays)
-
-    done = _merged(_counted(texts, bigrams, by_offsets(meta["offsets"])), segments, build_bigrams)
-    meta["files"][2] = [done[s][2] for s in range(segments)]
-    ranks = np.concatenate([[0], np.cumsum([done[s][0] for s in range(segments)])]).astype(np.int64)
-    if ranks[-1] >= 1 << 32:
-        raise ValueError("more than 2^32 bigrams; their ranks need wider keys")
-
-    def trigrams(tokens, starts):
-        trie = _trie(meta)
-        ids, _ = trie.tokens(tokens)
-        prior = np.concatenate([[-1], ids[:-1]])
-        prior[starts] = trie.words(np.array([END]))[0][0]
-        segment, rank = trie.pairs(prior, ids)
-        before = np.where(np.roll(rank, 1) >= 0, ranks[np.roll(segment, 1)] + np.roll(rank, 1), -1)
-        before[starts] = -1
-        ok = (before >= 0) & (rank >= 0)
-        return before[ok].astype(np.uint64) << np.uint64(32) | ids[ok].astype(np.uint64)
-
-    def build_trigrams(segment, keys, counts):
-        trie = _trie(meta)
-        context, c = (keys >> np.uint64(32)).astype(np.int64) - ranks[segment], (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        level = trie.level(2, segment)
-        lower, totals = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        for lo in range(0, len(keys), TASK_ENTRIES):
-            part = slice(lo, lo + TASK_ENTRIES)
-            b = unpack(level["ids"], trie.width, context[part]).astype(np.int64)
-            lower[part] = 10 ** trie.second(b, *trie.pairs(b, c[part]), trie.first(trie.counts(c[part])))
-            totals[part] = unpack(level["count"], int(level["wide"][0]), context[part])
-        n = len(level["p"])
-        p, back = _discounted(context, counts, totals, lower, context, n)
-        pointers = np.searchsorted(context, np.arange(n + 1))
-        arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(c, trie.width), "p": quantise(p), "back": quantise(back)}
-        return len(keys), int(counts.sum()), save(folder, f"trigrams-{segment}", arrays)
-
-    done = _merged(_counted(texts, trigrams, by_offsets(ranks)), segments, build_trigrams)
-    meta["files"][3] = [done[s][2] for s in range(segments)]
+    done = _merged(_counted(texts, words, lambda keys: segment_of(keys, segments)), list(range(segments)), build)
+    offsets = [0, *np.cumsum([done[s]["n"] for s in range(segments)]).tolist()]
+    meta = {"segments": segments, "files": {1: [done[s]["file"] for s in range(segments)]}, "pieces": {}, "total": sum(done[s]["total"] for s in range(segments)), "offsets": offsets}
+    for n in (2, 3):
+        meta, done = _level(docs.sparkSession, texts, meta, n, folder, done, target)
     return meta
 
 
@@ -388,15 +518,16 @@ def _trie(meta: dict) -> Trie:
     if key not in _tries:
         _tries.clear()
         _tries[key] = Trie(meta)
+    _tries[key].pieces = meta["pieces"]
     return _tries[key]
 
 
 def score_texts(docs: DataFrame, meta: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    Defined cases: null and empty texts are one end token; null ids are passed on; repeated
-    rows give repeated results; without training rows all tokens are unknown and scores
-    are 0; other columns are ignored.
+    Defined cases: null and empty texts are one end token; a text of any length is read whole, in
+    parts; null ids are passed on; repeated rows give repeated results; without training rows all
+    tokens are unknown and scores are 0; other columns are ignored.
     """
     kind, total = docs.schema[id_col].dataType.simpleString(), meta["total"]
 

@@ -237,7 +237,7 @@ def test_language_same_in_parts(docs, net, monkeypatch):
 
 # 5 language model
 def test_base_score_and_gain(spark, docs, tmp_path):
-    got = {r["doc_id"]: r for r in lm.score_texts(docs, lm.train(docs, f"file://{tmp_path}/lm", segment_bytes=100_000)).collect()}
+    got = {r["doc_id"]: r for r in lm.score_texts(docs, lm.train(docs, f"file://{tmp_path}/lm", piece_bytes=100_000)).collect()}
     tokens = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b" "] for r in docs.collect()}
     trained = {k for k in tokens if zlib.crc32(str(k).encode()) % 10}
     counts = Counter(w for k in trained for w in tokens[k])
@@ -251,13 +251,15 @@ def test_base_score_and_gain(spark, docs, tmp_path):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_scores_equal_brute_force(spark, tmp_path):
-    """Discounted probabilities of all n-grams, also of those seen once."""
-    texts = {k: sentence(25, f"few{k % 7}") + f" own{k} tail{k} end{k}" for k in range(40)}
+@pytest.mark.parametrize("piece_bytes,bits", [(1 << 20, 63), (120, 63), (120, 13)])
+def test_scores_equal_brute_force(spark, tmp_path, monkeypatch, piece_bytes, bits):
+    """Discounted probabilities of all n-grams, also of those seen once, in contexts that are cut, and counted in passes."""
+    monkeypatch.setattr(lm, "KEY_BITS", bits)
+    texts = {k: "alpha beta " + sentence(25, f"few{k % 7}") + f" own{k} tail{k} end{k}" for k in range(40)}
     texts[100] = texts[3] + " unseen " + texts[4]
     rows = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     docs = rows.where("doc_id < 100")
-    trie = lm.train(docs, f"file://{tmp_path}/lm")
+    trie = lm.train(docs, f"file://{tmp_path}/lm", piece_bytes=piece_bytes)
     tokens = {k: [*t.lower().split(), " "] for k, t in texts.items()}
     one, two, three = Counter(), Counter(), Counter()
     for k in (k for k in tokens if k < 100 and zlib.crc32(str(k).encode()) % 10):
@@ -267,7 +269,9 @@ def test_scores_equal_brute_force(spark, tmp_path):
         three.update(zip(own, own[1:], own[2:], strict=False))
     assert sum(n == 1 for n in two.values()) > 50 and sum(n == 1 for n in three.values()) > 50
     opened = lm.Trie(trie)
-    assert [sum(len(opened.level(n, s)["p"]) for s in range(opened.segments)) for n in (2, 3)] == [len(two), len(three)]
+    assert [sum(len(opened.level(n, s)["p"]) for s in range(len(opened.files[n]))) for n in (2, 3)] == [len(two), len(three)]
+    if piece_bytes < 1000:
+        assert all(len(opened.pieces[n].split) for n in (2, 3))
     left2, left3 = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
     for (a, b), n in two.items():
         left2[a] -= (n - lm.DISCOUNT) / (one[a] + lm.SMOOTH)
