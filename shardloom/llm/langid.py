@@ -1,14 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes in both directions and gives every position a
+The network reads a text's bytes in both directions and gives every position a
 distribution over the languages; a text's distribution is the normalised geometric mean of
-those of all its positions. It is trained in numpy by backpropagation through time. A
-state begins at each word, so a word's result does not depend on its place, and is
-computed once for all its occurrences that a worker sees.
+those of all its positions. It is trained in numpy by backpropagation through time. Texts
+of any length are read in windows: each labels its own bytes, after the states have run
+through some bytes of its neighbours on both sides, so nothing begins anew at blanks or
+inside words, and memory is bounded.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,21 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod
-from .words import chunks, hash_spans
-
-#: At most so many labelled rows, and evenly spaced words of each, are learned from.
-SAMPLE_ROWS, SAMPLE_WORDS = 4000, 48
-#: Languages that can be learned, the most frequent ones.
-LANGUAGES = 1000
-#: Sizes of the network, longest piece of a word in bytes, training steps and words in a step.
-EMBED, HIDDEN, PIECE, STEPS, BATCH = 12, 20, 24, 700, 320
-#: Results kept by a worker.
-MEMO = 400_000
+from .words import columns_bytes
+
+#: At most so many labelled rows are learned from (one of each language, if there are more languages), by stretches drawn from all of a row's text.
+SAMPLE_ROWS, DRAWS, STRETCH = 4000, 24, 40
+#: Bytes that a window labels, and bytes read before and after them.
+WINDOW, AROUND = 192, 24
+#: Sizes of the network, training steps, stretches in a step, windows computed together.
+EMBED, HIDDEN, STEPS, BATCH, TOGETHER = 12, 16, 400, 96, 2048
 UNKNOWN = "und"
-
-
-def _lower(raw: bytes) -> bytes:
-    return raw.lower()
+_LETTER = re.compile(r"[^\W\d_]")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 @dataclass
@@ -40,20 +40,56 @@ class Network:
     langs: tuple[str, ...]
     w: dict[str, np.ndarray]
 
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """Log probabilities (words, positions, languages) for words of one length, as byte rows."""
-        n, t = x.shape
-        h = []
-        for d in "fb":
-            gates = (self.w["E"] @ self.w["X" + d] + self.w["B" + d])[x if d == "f" else x[:, ::-1]]
-            state, out = np.zeros((n, HIDDEN), np.float32), np.empty((n, t, HIDDEN), np.float32)
-            for k in range(t):
-                state = _step(gates[:, k], state, self.w["H" + d])[0]
-                out[:, k] = state
-            h.append(out if d == "f" else out[:, ::-1])
-        z = np.concatenate(h, axis=2) @ self.w["O"] + self.w["C"]
-        z -= z.max(axis=2, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=2, keepdims=True))
+    def label(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums (windows, languages) of the log probabilities of positions first to last (exclusive) of windows begin to end.
+
+        Features stand in rows and windows in columns; windows that have ended drop out of the step.
+        """
+        order = np.argsort(begin - end, kind="stable")
+        begin, end, first, last = begin[order], end[order], first[order], last[order]
+        length = end - begin
+        steps = int(length[0])
+        running = np.searchsorted(-length, -np.arange(steps), "left")  # windows longer than k
+        z = [np.zeros((steps, len(self.langs), len(begin)), np.float32) for _ in "fb"]
+        for d, out in zip("fb", z, strict=True):
+            table, u = np.ascontiguousarray((self.w["E"] @ self.w["X" + d] + self.w["B" + d]).T), np.ascontiguousarray(self.w["H" + d].T)
+            half = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
+            read = np.ascontiguousarray(self.w["O"][half].T)
+            state = np.zeros((HIDDEN, len(begin)), np.float32)
+            for k in range(steps):
+                n = int(running[k])
+                if n < state.shape[1]:
+                    state = np.ascontiguousarray(state[:, :n])
+                at = begin[:n] + k if d == "f" else end[:n] - 1 - k
+                state = _column_step(table.take(data[at], axis=1), state, u)
+                out[k, :, :n] = read @ state
+        place = np.arange(steps)[:, None]
+        back = np.clip(length[None] - 1 - place, 0, None)
+        both = z[0] + np.take_along_axis(z[1], back[:, None, :], axis=0) + self.w["C"][None, :, None]
+        both -= both.max(axis=1, keepdims=True)
+        both -= np.log(np.exp(both).sum(axis=1, keepdims=True))
+        own = (place >= first - begin) & (place < last - begin)
+        sums = np.empty((len(begin), len(self.langs)))
+        sums[order] = np.einsum("tln,tn->nl", both, own.astype(np.float32))
+        return sums
+
+
+def _column_step(gates: np.ndarray, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """_step without what training keeps, with windows in columns; changes its arguments."""
+    s = u @ state
+    zr, c = gates[: 2 * HIDDEN], s[2 * HIDDEN :]
+    zr += s[: 2 * HIDDEN]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr += 1
+    zr *= 0.5
+    c *= zr[HIDDEN:]
+    c += gates[2 * HIDDEN :]
+    np.tanh(c, out=c)
+    state -= c
+    state *= zr[:HIDDEN]
+    state += c
+    return state
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,16 +165,16 @@ def _gradients(net: Network, x: np.ndarray, lengths: np.ndarray, y: np.ndarray)
     return g, loss
 
 
-def pad(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(x) for x in words])
-    out = np.zeros((len(words), lengths.max()), np.uint8)
-    for k, x in enumerate(words):
+def pad(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(x) for x in stretches])
+    out = np.zeros((len(stretches), lengths.max()), np.uint8)
+    for k, x in enumerate(stretches):
         out[k, : len(x)] = np.frombuffer(x, np.uint8)
     return out, lengths
 
 
 def fit(samples: dict[str, list[bytes]], steps: int = STEPS, batch: int = BATCH, seed: int = 11) -> Network:
-    """Train with Adam on word pieces; every language has the same part of each step."""
+    """Train with Adam on stretches of text; every language has the same part of each step."""
     langs = tuple(sorted(k for k, v in samples.items() if v))
     rng = np.random.default_rng(seed)
     net = _start(langs, rng)
@@ -148,12 +184,12 @@ def fit(samples: dict[str, list[bytes]], steps: int = STEPS, batch: int = BATCH,
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
     each = max(1, batch // len(langs))
     for k in range(1, steps + 1):
-        words, y = [], []
+        chosen, y = [], []
         for i, lang in enumerate(langs):
             own = samples[lang]
-            words += [own[j] for j in rng.integers(0, len(own), each)]
+            chosen += [own[j] for j in rng.integers(0, len(own), each)]
             y += [i] * each
-        x, lengths = pad(words)
+        x, lengths = pad(chosen)
         g, _ = _gradients(net, x, lengths, np.array(y))
         norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
         rate = 0.01 * (0.1 ** (k / steps))
@@ -165,108 +201,88 @@ def fit(samples: dict[str, list[bytes]], steps: int = STEPS, batch: int = BATCH,
     return net
 
 
-def pieces(word: bytes) -> list[bytes]:
-    return [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Network:
+    """Learn from at most rows documents that are not held out and have a language, the same number of each language.
 
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, words: int = SAMPLE_WORDS) -> Network:
-    """Learn from at most rows documents that are not held out and have a language; a bounded number of words reaches the driver."""
+    Only DRAWS short stretches of each, from places drawn out of the whole text, reach the driver.
+    """
     picked = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, 3) != 1))
-    picked = picked.select(F.col(id_col).alias("i"), F.col(lang_col).alias("y"), F.pmod(F.xxhash64(id_col, lang_col), F.lit(1 << 30)).alias("h"))
+    # rows that repeat id and text are alike
+    key = F.pmod(F.xxhash64(F.col(id_col), F.col(lang_col), F.col(text_col)), F.lit(1 << 40))
+    picked = picked.select(F.col(lang_col).alias("y"), key.alias("h"))
     # rows of each language alike, so that rare ones are learned too: by their counts, about twice
     # the wanted rows pass a bound on the hash, and the smallest hashes of those are taken
-    counts = picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES).collect()
+    counts = picked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return Network((), {})
     each = max(1, rows // len(counts))
-    bounds = docs.sparkSession.createDataFrame([(r["y"], int((1 << 30) * min(1.0, (2 * each + 50) / r["n"]))) for r in counts], "y string, bound long")
-    near = picked.join(F.broadcast(bounds), "y").where("h <= bound")
-    ids = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "i"))).where(F.col("r") <= each).select("i", "y")
-    sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(ids), (F.col("d") == F.col("i")) & (F.col("l") == F.col("y")))
+    bounds = docs.sparkSession.createDataFrame([(r["y"], int((1 << 40) * min(1.0, (2 * each + 50) / r["n"]))) for r in counts], "y string, bound long")
+    near = picked.join(F.broadcast(bounds), "y").where("h <= bound").select("y", "h").distinct()
+    keys = near.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("r") <= each).select("y", "h")
+    sample = docs.where(crc_mod(id_col, 3) != 1).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l"), key.alias("k"))
+    sample = sample.join(F.broadcast(keys), (F.col("k") == F.col("h")) & (F.col("l") == F.col("y"))).dropDuplicates(["l", "k"])
 
     def cut(batches):
         for batch in batches:
             langs, out = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = _lower(text.as_py().encode()).split()
-                own = [own[k] for k in np.unique(np.linspace(0, len(own) - 1, words).astype(int))] if own else []
-                own = [p for w in own for p in pieces(w[: 4 * PIECE])]
-                langs += [lang] * len(own)
-                out += own
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "word"])
-
-    got = sample.select("l", "t").mapInArrow(cut, "lang string, word binary").toArrow()
+            data, at = columns_bytes(batch.column(1))
+            for lang, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                rng = np.random.default_rng(zlib.crc32(data[a:b]))
+                places = a + rng.integers(0, max(1, b - a - STRETCH + 1), DRAWS if b > a else 0)
+                langs += [lang] * len(places)
+                out += [_LOWER[data[p : min(b, p + STRETCH)]].tobytes() for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "stretch"])
+
+    got = sample.select("l", "t").mapInArrow(cut, "lang string, stretch binary").toArrow()
     samples: dict[str, list[bytes]] = {}
-    for lang, word in sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)):
-        samples.setdefault(lang, []).append(word)
+    for lang, stretch in sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)):
+        samples.setdefault(lang, []).append(stretch)
     return fit(samples)
 
 
-class Labeller:
-    """Sums of the positions' log probabilities of words, remembered by word hash."""
-
-    def __init__(self, net: Network):
-        self.net = net
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(net.langs)), np.float32)
-
-    def _new(self, words: list[bytes]) -> np.ndarray:
-        cut = [(k, p) for k, w in enumerate(words) for p in pieces(w)]
-        out = np.zeros((len(words), len(self.net.langs)), np.float32)
-        lengths = np.array([len(p) for _, p in cut])
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            for lo in range(0, len(at), 4096):
-                part = at[lo : lo + 4096]
-                x = np.frombuffer(b"".join(cut[i][1] for i in part), np.uint8).reshape(len(part), n)
-                np.add.at(out, [cut[i][0] for i in part], self.net.label(x).sum(axis=1))
-        return out
-
-    def texts(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sums of log probabilities, positions) of each text."""
-        hashes, first, last, counts = hash_spans(data, starts)
-        out, places = np.zeros((len(starts), len(self.net.langs))), np.zeros(len(starts), np.int64)
-        if not len(hashes):
-            return out, places
-        keys, at, where = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > MEMO:
-            self.keys, self.sums = self.keys[:0], self.sums[:0]
-        new = ~np.isin(keys, self.keys, assume_unique=True)
-        if new.any():
-            raw = data.tobytes()
-            words = [_lower(raw[first[i] : last[i]]) for i in at[new]]
-            keys_all = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(keys_all)
-            self.keys, self.sums = keys_all[order], np.concatenate([self.sums, self._new(words)])[order]
-        values = self.sums[np.searchsorted(self.keys, keys)][where.ravel()]
-        doc = np.repeat(np.arange(len(starts)), counts)
-        for k in range(out.shape[1]):
-            out[:, k] = np.bincount(doc, values[:, k], len(starts))
-        return out, np.bincount(doc, last - first, len(starts)).astype(np.int64)
+def label_texts(net: Network, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Mean log probabilities (texts, languages) over all positions of the texts data[at[k] : at[k + 1]]; 0 for empty ones."""
+    size = np.diff(at)
+    count = -(-size // WINDOW)
+    text = np.repeat(np.arange(len(size)), count)
+    first = at[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    last = np.minimum(first + WINDOW, at[text + 1])
+    begin, end = np.maximum(first - AROUND, at[text]), np.minimum(last + AROUND, at[text + 1])
+    order = np.argsort(begin - end, kind="stable")  # windows of about one length are computed together
+    sums = np.zeros((len(size), len(net.langs)))
+    for lo in range(0, len(order), TOGETHER):
+        part = order[lo : lo + TOGETHER]
+        low, high = int(begin[part].min()), int(end[part].max())
+        near = high - low <= 4 * len(part) * WINDOW  # else bytes are copied window by window below
+        own = _LOWER[data[low:high]] if near else None
+        if own is None:
+            widths = end[part] - begin[part]
+            starts = np.cumsum(widths) - widths
+            own = _LOWER[data[np.repeat(begin[part] - starts, widths) + np.arange(int(widths.sum()))]]
+            moved = starts - begin[part]
+        else:
+            moved = np.full(len(part), -low)
+        np.add.at(sums, text[part], net.label(own, begin[part] + moved, end[part] + moved, first[part] + moved, last[part] + moved))
+    return sums / np.maximum(size, 1)[:, None]
 
 
 def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred, score for every row, from its whole text alone.
 
     Defined cases: null texts and texts without a letter are UNKNOWN with score 0, as is every
-    text if no language was learned; null ids are passed on; repeated rows give repeated
+    text if no language was learned; of equal probabilities the first language in order of names
+    wins; a text of any length is read whole; null ids are passed on; repeated rows give repeated
     results; an empty table gives an empty result; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        labeller = Labeller(net) if net.langs else None
         for batch in batches:
             n = batch.num_rows
-            sums, places = np.zeros((n, max(1, len(net.langs)))), np.zeros(n, np.int64)
-            if labeller:
-                for row, data, starts in chunks(batch.column(2)):
-                    s, p = labeller.texts(data, starts)
-                    sums[row : row + len(starts)] += s
-                    places[row : row + len(starts)] += p
-            mean = sums / np.maximum(places, 1)[:, None]
+            mean = label_texts(net, *columns_bytes(batch.column(2))) if net.langs else np.zeros((n, 1))
             prob = np.exp(mean - mean.max(axis=1, keepdims=True))
             prob /= prob.sum(axis=1, keepdims=True)
-            known = np.array([bool(labeller) and any(c.isalpha() for c in t.as_py() or "") for t in batch.column(2)], bool)
+            known = np.array([bool(net.langs) and bool(_LETTER.search(t.as_py() or "")) for t in batch.column(2)], bool)
             pred = [net.langs[k] if ok else UNKNOWN for k, ok in zip(prob.argmax(axis=1), known, strict=True)]
             score = np.where(known, prob.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])

@@ -227,12 +227,52 @@ def test_language_odd_and_empty(odd, empty, net):
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
-def test_language_same_in_parts(docs, net, monkeypatch):
-    text = docs.where("doc_id = 3").first()["text"]
-    a = langid.Labeller(net).texts(np.frombuffer(text.encode(), np.uint8), np.zeros(1, np.int64))
-    other = langid.Labeller(net)
-    b = [other.texts(np.frombuffer((w + " ").encode(), np.uint8), np.zeros(1, np.int64)) for w in text.split()]
-    assert np.allclose(a[0], sum(x[0] for x in b), rtol=1e-4) and a[1] == sum(x[1] for x in b)
+def plain_labels(net, raw):
+    """Log probabilities of every position of a text, computed byte by byte in each position's own window."""
+    size, out = langid.HIDDEN, []
+    w = {k: v.astype(float) for k, v in net.w.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(part, d):
+        state, states = np.zeros(size), []
+        for byte in part:
+            g, s = w["E"][byte] @ w["X" + d] + w["B" + d], state @ w["H" + d]
+            z, r = sig(g[:size] + s[:size]), sig(g[size : 2 * size] + s[size : 2 * size])
+            n = np.tanh(g[2 * size :] + r * s[2 * size :])
+            state = (1 - z) * n + z * state
+            states.append(state)
+        return states
+
+    raw = raw.lower()
+    for first in range(0, len(raw), langid.WINDOW):
+        last = min(len(raw), first + langid.WINDOW)
+        begin, end = max(0, first - langid.AROUND), min(len(raw), last + langid.AROUND)
+        f, b = run(raw[begin:end], "f"), run(raw[begin:end][::-1], "b")[::-1]
+        for p in range(first - begin, last - begin):
+            z = np.concatenate([f[p], b[p]]) @ w["O"] + w["C"]
+            out.append(z - np.log(np.exp(z).sum()))
+    return out
+
+
+def test_language_equals_a_plain_loop(docs, net):
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(12).collect() if r["text"]] + ["", "A", "日本語 é", "x" * 700, "one two " * 60]
+    texts = [t[:1500] for t in texts]
+    raw = [t.encode() for t in texts]
+    got = langid.label_texts(net, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, row in zip(raw, got, strict=True):
+        assert np.allclose(row, np.mean(plain_labels(net, t), axis=0) if t else 0, atol=2e-3)
+
+
+def test_language_does_not_depend_on_the_batch(docs, net, monkeypatch):
+    texts = pa.array([r["text"] for r in docs.orderBy("doc_id").limit(40).collect()])
+    whole = langid.label_texts(net, *words.columns_bytes(texts))
+    monkeypatch.setattr(langid, "TOGETHER", 7)
+    assert np.allclose(whole, langid.label_texts(net, *words.columns_bytes(texts)), atol=1e-4)
+
+
+def test_all_languages_are_learned(spark):
+    rows = [(k, "".join(chr(97 + (k % 30 + j * j) % 26) for j in range(60)), f"l{k % 30}") for k in range(300)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=10).langs) == 30
 
 
 # 5 language model
