@@ -36,6 +36,13 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def bounded(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """A written sample, or those of its rows with the smallest hashes if it has more than so many."""
+    if df.count() <= rows:
+        return df
+    return materialise(df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(rows), name)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, however often body uses it (also inside lambdas)."""
     return F.element_at(F.transform(F.array(value), body), 1)

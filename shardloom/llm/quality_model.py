@@ -156,7 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(id_col, 5) != 0) & F.col(id_col).isNotNull())
     picked = picked.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i", "y").limit(rows)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).join(F.broadcast(picked), F.col("d") == F.col("i"))
-    table = sample.select("d", features(F.col("t")).alias("f"), "y").select("d", "f.*", "y").toPandas()
+    table = sample.select("d", features(F.col("t")).alias("f"), "y").select("d", "f.*", "y")
+    # ids that documents repeat give more rows than labels: of these too, the smallest hashes
+    table = table.orderBy(F.xxhash64("d"), "d", "y", *FEATURES).limit(rows).toPandas()
     table = table.sort_values(["d", "y", *FEATURES])
     return fit(table[list(FEATURES)].to_numpy(float), table["y"].to_numpy(float))
 
@@ -164,9 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """id_col, held_out, score, predicted for every row.
 
-    Defined cases: null and empty texts are scored by their statistics, all 0; null ids are
-    passed on; repeated rows give repeated results; without labels, or with one class of them,
-    the score is the same for all; other columns are ignored.
+    Defined cases: null and empty texts are scored by their statistics, all 0; a text of any length is
+    read whole; a value at a threshold is below it; null ids are passed on; repeated rows, and ids
+    that labels or documents repeat, are rows of their own; without labels, or with one class of
+    them, the score is the same for all; other columns are ignored.
     """
     scored = docs.select(F.col(id_col), (crc_mod(id_col, 5) == 0).alias("held_out"), score_column(F.col(text_col), model).alias("score"))
     return scored.select(id_col, "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))

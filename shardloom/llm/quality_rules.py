@@ -133,9 +133,10 @@ def kept_column(text: Column, thresholds=THRESHOLDS) -> Column:
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """Statistics and verdict per row: id_col, the counts, base_failed, kept.
 
-    Defined cases: null, empty and blank texts have no words and are not kept; a null
-    id is passed on; repeated rows give repeated results; an empty table gives an
-    empty result; columns other than the two named are ignored.
+    Defined cases: null, empty and blank texts have no words and are not kept; a text of any
+    length is read whole; a ratio at its threshold is kept; a null id is passed on; repeated
+    rows give repeated results; an empty table gives an empty result; columns other than the
+    two named are ignored.
     """
     row = F.struct(F.col(id_col).alias("id"), statistics(F.col(text_col)).alias("s"))
     out = let(
@@ -154,6 +155,18 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: The ratios of `ratios` in SQL.
+_RATIOS_SQL = {
+    "n_words": "n_words",
+    "mean_word_length": "word_chars / greatest(n_words, 1)",
+    "symbol_ratio": "n_symbols / greatest(word_chars, 1)",
+    "caps_ratio": "n_caps / greatest(n_words, 1)",
+    "stop_word_ratio": "n_stop_words / greatest(n_words, 1)",
+    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
+    "mean_line_words": "n_words / greatest(n_lines, 1)",
+    "repeat_ratio": "n_repeat_words / greatest(n_words, 1)",
+}
+_VERDICT_SQL = " AND ".join(f"{_RATIOS_SQL[name]} {sign} {bound}" for name, least, most in THRESHOLDS for sign, bound in ((">=", least), ("<=", most)) if bound is not None)
 _STOP_SQL = ", ".join("'" + w + "'" for w in dict.fromkeys(STOP_WORDS))
 ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -169,13 +182,6 @@ s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''
         len(list_filter(ws, lambda x: lower(x) IN ({_STOP_SQL})))::BIGINT AS n_stop_words
       FROM w LEFT JOIN r ON r.doc_id = w.doc_id),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM s)
-SELECT *, NOT base_failed AND n_words >= 50
-  AND word_chars / greatest(n_words, 1) BETWEEN 2.0 AND 12.0
-  AND n_symbols / greatest(word_chars, 1) <= 0.05
-  AND n_caps / greatest(n_words, 1) <= 0.50
-  AND n_stop_words / greatest(n_words, 1) >= 0.03
-  AND n_dup_lines / greatest(n_lines, 1) <= 0.50
-  AND n_words / greatest(n_lines, 1) >= 1.5
-  AND n_repeat_words / greatest(n_words, 1) <= 0.50 AS kept
+SELECT *, NOT base_failed AND {_VERDICT_SQL} AS kept
 FROM b
 """

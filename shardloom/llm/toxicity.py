@@ -8,8 +8,10 @@ documents only, cancel the matches inside them. The weight found is normalised b
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialise
+from .common import bounded, crc_mod, materialise
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
@@ -78,7 +80,11 @@ def matches(folded: str, entries, exceptions=()) -> list[tuple[int, int]]:
     for end, (p, k, _) in _automaton(tuple(entries), tuple(exceptions)).iter(folded):
         (spans if k < 0 else found).append((end - len(p) + 1, k, end))
     if spans:
-        found = [m for m in found if not any(a <= m[0] and m[2] <= b for a, _, b in spans)]
+        # the furthest end of the phrases that begin at or before a match tells whether one holds it
+        spans.sort()
+        begins, ends = [a for a, _, _ in spans], list(itertools.accumulate((b for _, _, b in spans), max))
+        held = lambda m: (n := bisect.bisect_right(begins, m[0])) and m[2] <= ends[n - 1]
+        found = [m for m in found if not held(m)]
     return [(a, k) for a, k, _ in found]
 
 
@@ -157,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(id_col, 3) != 1) & F.col(id_col).isNotNull())
     picked = picked.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i", "y").limit(rows)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), F.col("d") == F.col("i")).select("y", "t")
-    sample = materialise(sample, "toxic-sample")
+    sample = bounded(materialise(sample, "toxic-sample"), rows, "toxic-sample")
 
     sizes = {int(r["y"]): int(r["n"]) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -273,9 +279,11 @@ def _incidence(sample: DataFrame, entries: list[tuple[str, float]], exceptions:
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", least: float = 0.7) -> DataFrame:
     """id_col, held_out, score, predicted for every row, over whole texts.
 
-    Defined cases: null and empty texts have no matches and the least score; null ids are
-    passed on; repeated rows give repeated results; without labels, or with one class, the
-    lexicon is empty and all scores are equal; other columns are ignored.
+    Defined cases: null and empty texts have no matches and the least score; a text of any length is
+    read whole, in time in proportion to it; matches that overlap all count, and of candidates of
+    equal gain whole words and then longer beginnings win; null ids are passed on; repeated rows, and
+    ids that labels or documents repeat, are rows of their own; without labels, or with one class,
+    the lexicon is empty and all scores are equal; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

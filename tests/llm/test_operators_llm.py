@@ -371,6 +371,56 @@ def test_quality_model(spark):
     assert np.allclose(model.score(table[list(quality_model.FEATURES)].to_numpy(float)), table["s"])
 
 
+def plain_features(text):
+    """The model's statistics in plain Python."""
+    import re
+
+    text = text or ""
+    own = [w for w in re.split("[ \t\n\x0b\f\r]", text) if w]
+    lines = [x for x in text.split("\n") if re.search("[^ \t-\r]", x)]
+    grams = Counter(zip(own, own[1:], own[2:], strict=False))
+    repeated = {i + j for i, g in enumerate(zip(own, own[1:], own[2:], strict=False)) if grams[g] > 1 for j in range(3)}
+    n, chars, find = max(1, len(own)), sum(map(len, own)), lambda p: len(re.findall(p, text))
+    return [
+        math.log1p(len(own)),
+        chars / n,
+        find("[#*$%&|<>]") / max(1, chars),
+        find("[A-ZÀ-ÖØ-Þ]{2,}") / n,
+        sum(w.lower() in quality_rules.STOP_WORDS for w in own) / n,
+        (len(lines) - len(set(lines))) / max(1, len(lines)),
+        len(own) / max(1, len(lines)),
+        len(repeated) / n,
+        len(set(own)) / n,
+        find("[!?]{2,}") / n,
+        find("[0-9]+") / n,
+        find(r"\|") / n,
+    ]
+
+
+def test_quality_scores_equal_plain_rules(spark, docs, labels, odd):
+    """Statistics, rules and weights, all in plain Python, for documents and odd rows."""
+    model = quality_model.train(docs, labels)
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()] + [r[:2] for r in odd_rows()]
+    want = []
+    for k, t in texts:
+        x = plain_features(t)
+        z = model.bias + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if all((x[f] <= at) if below else (x[f] > at) for f, below, at in rule))
+        want.append((k, round(1 / (1 + math.exp(-z)), 6), zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 0))
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    got = [(r["doc_id"], round(r["score"], 6), r["held_out"]) for r in quality_model.score_quality(both, model).collect()]
+    assert Counter(got) == Counter(want) and len(model.rules) > 3
+
+
+def test_labels_that_repeat_ids_and_clash(spark, docs, labels):
+    """Repeated ids in either table and clashing columns crash nothing, and the sample stays bounded."""
+    more = labels.unionByName(labels.limit(20)).withColumns({c: F.lit("clash") for c in ("text", "t", "d", "i", "y", "source", "f", "n_words", "c", "p")})
+    twice = docs.unionByName(docs)
+    model = quality_model.train(twice, more, rows=50)
+    assert quality_model.score_quality(twice, model).count() == 2 * docs.count()
+    lexicon = toxicity.train(twice, more, rows=50)
+    assert toxicity.score_toxicity(twice, lexicon).count() == 2 * docs.count()
+
+
 def test_quality_model_odd_and_empty(odd, empty, no_labels, labels, docs):
     model = quality_model.train(docs, labels)
     got = quality_model.score_quality(odd, model).collect()
@@ -410,6 +460,43 @@ def test_toxicity_learns(spark):
     assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.97 * len(got)
 
 
+def naive_score(text, lexicon):
+    """Every entry and phrase searched at every place of the folded text."""
+    folded = toxicity.fold(text or "")
+    at = lambda p: [i for i in range(len(folded)) if folded.startswith(p, i)]
+    spans = [(i, i + len(p)) for p in lexicon.exceptions if p not in dict(lexicon.entries) for i in at(p)]
+    weight = 0.0
+    for p, w in lexicon.entries:
+        weight += sum(w for i in at(p) if not any(a <= i and i + len(p) <= b for a, b in spans))
+    n = max(1, len(folded.split()))
+    z = lexicon.bias + lexicon.slopes[0] * math.log1p(100 * weight / n) + lexicon.slopes[1] * math.log1p(weight) / (1 + 0.1 * math.log1p(n))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_equals_a_naive_search(spark, docs, labels):
+    learned = toxicity.train(docs, labels)
+    assert learned.entries
+    made = toxicity.Lexicon(((" the ", 1.5), (" win", 2.0), (" sum", 1.0), (" river ", 0.5)), (" the river ", " winter summer ", " summer "), -2.0, (1.0, 0.5))
+    texts = docs.select("doc_id", F.substring("text", 1, 3000).alias("text"))
+    for lexicon in (learned, made):
+        got = {r["doc_id"]: (r["score"], r["predicted"], r["held_out"]) for r in toxicity.score_toxicity(texts, lexicon).collect()}
+        for r in texts.collect():
+            want = naive_score(r["text"], lexicon)
+            assert abs(got[r["doc_id"]][0] - want) < 1e-9 and got[r["doc_id"]][1:] == (int(want >= 0.7), zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_many_matches_in_one_text():
+    """A very long text with as many matches as phrases takes no quadratic time."""
+    assert len(toxicity.matches(" " + "bad can bad " * 60_000, ((" bad ", 1.0),), (" bad can ",))) == 60_000
+
+
+def test_lexicon_of_many_entries_keeps_its_exceptions(spark):
+    """600 entries: a phrase that only clean documents hold still cancels."""
+    entries = [(f" bad{k} ", 2.0) for k in range(600)]
+    rows = [(1, f"x bad{k} y") for k in range(600)] + [(0, f"{sentence(9, k)} bad7 valley") for k in range(5)]
+    assert toxicity._exceptions(spark.createDataFrame(rows, "y int, t string"), entries) == (" bad7 valley ",)
+
+
 def test_lexicon_beside_copies_of_a_long_text(spark):
     """Words of a few toxic texts enter, also where a long toxic text is copied very often."""
     long = " ".join(f"{a}{b}{c}" for a in "bcdfghjklmnpqrstvwxz" for b in ("alo", "emi", "uru", "osa", "ine") for c in ("pat", "ked", "vum", "zor", "lis", "gan", "tew", "mib", "ruk", "nof", "dax", "hul", "wep", "jic", "sot", "bry", "cly", "fen", "gop", "hiv"))
