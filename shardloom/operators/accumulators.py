@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ ARRAY_UNION = Accumulator("array_union", lambda v, _: F.array_sort(F.array_disti
 #: All values, sorted, so that the result does not depend on arrival.
 LIST_APPEND = Accumulator("list_append", lambda v, _: F.array_sort(F.collect_list(v)))
 ARRAY_APPEND = Accumulator("array_append", lambda v, _: F.array_sort(F.flatten(F.collect_list(v))))
+#: Rules whose result has another form than the values they take, with the rule that merges results.
+MERGED_BY = {COUNT.name: SUM, SET_UNION.name: ARRAY_UNION, LIST_APPEND.name: ARRAY_APPEND}
 
 
 def vector_sum(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -52,19 +55,55 @@ def vectors(sums: DataFrame, keys: list[str]) -> DataFrame:
     return sums.groupBy(*keys).agg(F.transform(rows, lambda x: x["total"]).alias("total"))
 
 
+def _ufunc(fold: Callable[[float, float], float] | np.ufunc) -> np.ufunc:
+    return fold if isinstance(fold, np.ufunc) else np.frompyfunc(fold, 2, 1)
+
+
 def user_fold(fold: Callable[[float, float], float]) -> Callable[[Column], Column]:
-    """An aggregate from a commutative and associative Python function of two numbers."""
+    """An aggregate from a commutative and associative Python function of two numbers. All values of a key
+    meet in one task: for many of them use fold_by_key, which folds before it shuffles."""
 
     @F.pandas_udf("double")
     def run(values: pd.Series) -> float:
-        out = None
-        for v in values:
-            out = v if out is None else fold(out, v)
-        return out
+        return float(_ufunc(fold).reduce(values.to_numpy())) if len(values) else None
 
     return run
 
 
-def merge_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Calls, total and mean per key."""
-    return df.groupBy(*keys).agg(F.count(value).alias("calls"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+def fold_by_key(df: DataFrame, keys: list[str], value: str, fold: Callable[[float, float], float] | np.ufunc) -> DataFrame:
+    """(keys, value): a commutative and associative function of two numbers over each key's values.
+
+    Tasks fold every batch by key first, so what is shuffled, and what meets in one task, is a key's
+    partial results. Null values are left out.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+
+    def partial(parts):
+        many = _ufunc(fold)
+        for part in parts:
+            if len(part):
+                group = part.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+                order = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.diff(group[order], prepend=-1))
+                out = part.iloc[order[first]].copy()
+                out[value] = many.reduceat(part[value].to_numpy()[order], first).astype(float)
+                yield out
+
+    return rows.mapInPandas(partial, rows.schema).groupBy(*keys).agg(user_fold(fold)(F.col(value)).alias(value))
+
+
+#: Calls, total and longest of a method, as a keyed table's values.
+STATS = {"calls": SUM, "total": SUM, "longest": MAX}
+
+
+def stats_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One map of statistics: calls, total and longest value by key."""
+    return df.groupBy(*keys).agg(F.count(value).alias("calls"), F.sum(value).alias("total"), F.max(value).alias("longest"))
+
+
+def merge_stats(first: DataFrame, *others: DataFrame, keys: list[str]) -> DataFrame:
+    """The statistics of several maps (stats_of), merged by key, and their mean."""
+    for other in others:
+        first = first.unionByName(other)
+    merged = first.groupBy(*keys).agg(*[rule(name).alias(name) for name, rule in STATS.items()])
+    return merged.withColumn("mean", F.col("total") / F.col("calls"))

@@ -31,6 +31,6 @@ def accumulate(updates: DataFrame, key: str, value: str, acc: Accumulator, size:
 def grid(df: DataFrame, a: tuple[str, int, int], b: tuple[str, int, int], value: Column, default: float = 0.0) -> DataFrame:
     """Sums of value for every cell of two ranges (column, first, last); cells without rows have default."""
     spark = df.sparkSession
-    cells = spark.range(a[1], a[2] + 1).select(F.col("id").alias(a[0])).crossJoin(F.broadcast(spark.range(b[1], b[2] + 1).select(F.col("id").alias(b[0]))))
+    cells = spark.range(a[1], a[2] + 1).select(F.col("id").alias(a[0]), F.explode(F.sequence(F.lit(b[1]).cast("long"), F.lit(b[2]).cast("long"))).alias(b[0]))
     sums = df.groupBy(a[0], b[0]).agg(F.sum(value).alias("total"))
     return cells.join(sums, [a[0], b[0]], "left").select(a[0], b[0], F.coalesce("total", F.lit(default)).alias("total"))

@@ -4,28 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.driver import cut
 
 
-def runs(df: DataFrame, value: Column, order: list[str], group: str, place: str) -> DataFrame:
+def runs_by_range(df: DataFrame, value: Column, order: list[str], group: str, place: str) -> DataFrame:
     """Number runs of equal neighbours in an order (group), and the rows in each (place), both from 0.
 
-    Nothing divides the order, so the first window runs in one task; it holds only the order's
-    columns and the value, and streams.
+    Rows are range-partitioned by the order, tasks number their own runs, and only the last and first
+    value and counts of each task are put in sequence.
     """
-    w = Window.orderBy(*order)
-    marked = df.withColumn("_v", value).withColumn("_new", F.when(F.row_number().over(w) == 1, F.lit(1)).otherwise((~F.col("_v").eqNullSafe(F.lag("_v").over(w))).cast("int")))
-    marked = marked.withColumn(group, (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("long"))
-    first = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return marked.withColumn(place, first.cast("long")).drop("_v", "_new")
-
-
-def runs_by_range(df: DataFrame, value: Column, order: list[str], group: str, place: str) -> DataFrame:
-    """The same numbers without a single task: rows are range-partitioned by the order, tasks number
-    their own runs, and only the last and first value and counts of each task are put in sequence."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # written, as the ranges come from a sample and must be the same wherever they are used
     dealt = cut(df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
@@ -50,18 +42,44 @@ def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sorted_buckets(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Rows with their bucket, dealt by it and sorted by key inside."""
-    return df.withColumn("bucket", F.pmod(F.col(key), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket", key)
+def ranked_in_buckets(df: DataFrame, bucket: Column, *order: str) -> DataFrame:
+    """df with its bucket and its place in the bucket's order (rank, from 1), however many rows a bucket has.
+
+    Rows are range-partitioned by bucket and order, so a bucket is sorted by as many tasks as it needs;
+    only the counts by task and bucket are summed up.
+    """
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(df.withColumn("bucket", bucket).repartitionByRange(n, "bucket", *order).withColumn("_p", F.spark_partition_id()), "buckets")
+    counts = dealt.groupBy("bucket", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("bucket").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("bucket", "_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("bucket", "_p").orderBy(*order))
+    return dealt.withColumn("_own", own).join(counts, ["bucket", "_p"]).select("bucket", *df.columns, (F.col("_own") + F.col("_before")).cast("long").alias("rank"))
 
 
 def global_sort(df: DataFrame, *order: str) -> DataFrame:
     return df.orderBy(*order)
 
 
-def lehmer_keys(n: int, seed: int = 314159625) -> Iterator[int]:
-    """Keys of the public integer-sort benchmark: multiply by 5^13 modulo 2^47, cut to 32 bits."""
-    x = seed
-    for _ in range(n):
-        x = x * 5**13 % 2**47
-        yield x & 0xFFFFFFFF
+#: Fixed values of the public integer-sort benchmark: multiplier, seed, modulus 2^MODULUS, bits of a bucket.
+MULTIPLIER, SEED, MODULUS, BUCKET_BITS = 5**13, 314159625, 47, 16
+
+
+def lehmer_block(first: int, n: int, seed: int = SEED) -> np.ndarray:
+    """Keys first to first + n - 1: powers of the multiplier modulo 2^47, cut to 32 bits. The first power is reached by squaring."""
+    x = np.full(n, MULTIPLIER, np.uint64)
+    x[:1] = seed * pow(MULTIPLIER, first + 1, 1 << MODULUS) % (1 << MODULUS)
+    # products modulo 2^64 have the right bits below 2^47
+    return np.multiply.accumulate(x) & np.uint64((1 << MODULUS) - 1) & np.uint64(0xFFFFFFFF)
+
+
+def lehmer_keys(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
+    """(i, key): the benchmark's first n keys; every task jumps to its own place in the sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # ids of a range are consecutive inside a batch
+            if batch.num_rows:
+                keys = lehmer_block(batch.column(0)[0].as_py(), batch.num_rows, seed)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.astype(np.int64))], names=["i", "key"])
+
+    return spark.range(n).mapInArrow(run, "i long, key long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .accumulators import COUNT, SUM, Accumulator
+from .accumulators import MERGED_BY, Accumulator
 from .sharding import by_hash
 
 
@@ -30,8 +31,8 @@ class TableSpec:
         return [*self.keys, *self.values, *([self.order] if self.order else [])]
 
     def fold(self) -> list[Column]:
-        """Aggregates that merge rows of the table; counts are merged by their sum."""
-        out = [(SUM if acc is COUNT else acc)(v, self.order).alias(v) for v, acc in self.values.items()]
+        """Aggregates that merge rows of the table: counts by their sum, sets by union, lists by appending."""
+        out = [MERGED_BY.get(acc.name, acc)(v, self.order).alias(v) for v, acc in self.values.items()]
         return out + ([F.max(self.order).alias(self.order)] if self.order else [])
 
 
@@ -100,9 +101,13 @@ class KeyedTable:
 
     # writes
     def update(self, updates: DataFrame) -> KeyedTable:
-        """Merge updates by the rules; an absent key takes its first value as it is."""
+        """Merge updates by the rules; an absent key takes its first value as it is.
+
+        Updates of counts, sets and lists are single writes and single elements, merged among
+        themselves first.
+        """
         spec = self.spec
-        if any(acc is COUNT for acc in spec.values.values()):
+        if any(acc.name in MERGED_BY for acc in spec.values.values()):
             updates = KeyedTable.of(spec, updates).df
         both = self.df.select(*spec.columns()).unionByName(updates.select(*spec.columns()))
         return self._with(both.groupBy(*spec.keys).agg(*spec.fold()))
@@ -128,11 +133,28 @@ class KeyedTable:
             df = df.join(other.df.select(*other.spec.keys, *cols), list(self.spec.keys))
         return self._with(df.withColumns(dict(values)).select(*self.spec.columns()))
 
-    def map_shards(self, fn: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str, shards: list[int] | None = None) -> DataFrame:
-        """Opaque code on whole shards, each of which must fit in a task's memory; prefer pmap."""
+    def map_shards(self, fn: Callable[..., pd.DataFrame], schema: str, shards: list[int] | None = None, setup: Callable[[int], object] | None = None) -> DataFrame:
+        """Opaque code on whole shards, each of which must fit in a task's memory; prefer pmap.
+
+        setup(shard) makes what the code needs once for each shard in a worker, which keeps it for later
+        calls; fn(instance, shard, rows) then gets it first. Without setup it is fn(shard, rows).
+        """
         df = self.df.withColumn("_shard", self.spec.shard_column())
         df = df.where(F.col("_shard").isin(shards)) if shards is not None else df
-        return df.groupBy("_shard").applyInPandas(lambda key, pdf: fn(int(key[0]), pdf.drop(columns="_shard")), schema)
+        if setup is None:
+            return df.groupBy("_shard").applyInPandas(lambda key, pdf: fn(int(key[0]), pdf.drop(columns="_shard")), schema)
+        kernel = f"{self.name}-{uuid.uuid4().hex}"
+        return df.groupBy("_shard").applyInPandas(lambda key, pdf: fn(instance(kernel, int(key[0]), setup), int(key[0]), pdf.drop(columns="_shard")), schema)
+
+
+_instances: dict[tuple[str, int], object] = {}
+
+
+def instance(kernel: str, shard: int, setup: Callable[[int], object]) -> object:
+    """What setup made for a kernel and shard in this worker process."""
+    if (kernel, shard) not in _instances:
+        _instances[kernel, shard] = setup(shard)
+    return _instances[kernel, shard]
 
 
 class Registry(dict):

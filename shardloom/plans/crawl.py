@@ -16,6 +16,7 @@ STATUS = {"should_fetch": 0, "fetching": 1, "fetch_done": 2, "parse_done": 3, "d
 FETCH = TableSpec(("key",), {"status": MAX})
 DOMAINS = TableSpec(("host",), {"fetched": SUM, "bytes": SUM})
 COUNTS = TableSpec(("status",), {"n": SUM})
+CRAWLED = TableSpec(("host",), {"at": MAX})
 
 
 def status_of(event: Column, codes: dict[str, int]) -> Column:
@@ -32,11 +33,13 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.where(acceptable_url(F.col("link")))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int) -> tuple[KeyedTable, KeyedTable, KeyedTable]:
-    """(status by key, fetches and bytes by host, updates by status and bytes) after so many frontier steps from seeds (url).
+def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int, gap: int | None = None, step_seconds: int = 60) -> tuple[KeyedTable, KeyedTable, KeyedTable, KeyedTable]:
+    """(status by key, fetches and bytes by host, updates by status and bytes, last crawl by host) after so many frontier steps from seeds (url).
 
     Pages stand for the network: a URL that is not stored is a fetch error; a blocked one counts
-    no bytes.
+    no bytes. A step takes place every step_seconds. With gap, it fetches one due URL of each host,
+    the first by key, and only of hosts whose last crawl is gap seconds ago or more; the others
+    stay due.
     """
     stored = pages.select("url", F.octet_length("html").cast("long").alias("size"))
     out = page_links(pages).select("url", "link")
@@ -45,11 +48,18 @@ def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int) -> t
     spark = pages.sparkSession
     counts = KeyedTable(DOMAINS, spark.createDataFrame([], "host string, fetched long, bytes long"))
     updates = KeyedTable(COUNTS, spark.createDataFrame([], "status int, n long"))
-    for _ in range(steps):
+    times = KeyedTable(CRAWLED, spark.createDataFrame([], "host string, at long"))
+    for k in range(steps):
+        now = k * step_seconds
         due = state.df.where(F.col("status") == STATUS["should_fetch"]).select("key", F.expr("substr(key, instr(key, ' ') + 1)").alias("url"))
+        if gap is not None:
+            ready = times.lookup(due.withColumn("host", host(F.col("url")))).where(F.col("at").isNull() | (F.col("at") <= now - gap))
+            due = ready.groupBy("host").agg(F.min("key").alias("key")).select("key", F.expr("substr(key, instr(key, ' ') + 1)").alias("url"))
         due = cut(due, "due")
         if due.isEmpty():
-            break
+            if gap is None:
+                break
+            continue
         free = not_blocked(due, rules)
         got = free.join(stored, "url", "left")
         result = got.select("key", "url", "size", F.when(F.col("size").isNull(), STATUS["fetch_error"]).otherwise(STATUS["done"]).alias("status"))
@@ -58,9 +68,11 @@ def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int) -> t
         new = seen.where(F.col("status") == STATUS["done"]).join(out, "url").select(name(F.col("link")).alias("key"), F.lit(STATUS["should_fetch"]).alias("status"))
         state = state.update(seen.select("key", "status").unionByName(new.distinct()))
         state = KeyedTable(state.spec, cut(state.df, "state"))
+        fetched = seen.where(F.col("status") != STATUS["robots_blacklist"]).select(host(F.col("url")).alias("host"), F.lit(now).cast("long").alias("at"))
+        times = KeyedTable(CRAWLED, cut(times.update(fetched).df, "times"))
         delta = seen.select(host(F.col("url")).alias("host"), F.lit(1).cast("long").alias("fetched"), F.coalesce("size", F.lit(0)).alias("bytes"))
         counts = KeyedTable(DOMAINS, cut(counts.update(delta).df, "counts"))
         rows = F.explode(F.array(F.struct(F.col("status").alias("s"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(STATUS["fetched_bytes"]).alias("s"), F.coalesce("size", F.lit(0)).alias("n"))))
         delta = seen.select(rows.alias("r")).select(F.col("r.s").alias("status"), F.col("r.n").alias("n"))
         updates = KeyedTable(COUNTS, cut(updates.update(delta).df, "updates"))
-    return state, counts, updates
+    return state, counts, updates, times

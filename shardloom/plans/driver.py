@@ -7,15 +7,21 @@ import json
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..operators.table import KeyedTable
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else one of this machine."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without, and gets one of this machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (base or "file:///tmp/shardloom-work").rstrip("/")
 
 
@@ -55,14 +61,21 @@ def run_one(df: DataFrame, shard: Column) -> DataFrame:
     return run_range(df, shard, [0])
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps: int, every: int = 4, done: Callable[[DataFrame, DataFrame], bool] | None = None) -> DataFrame:
+def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps: int, every: int = 4, done: Callable[[DataFrame, DataFrame], bool] | None = None, snapshots: Snapshots | None = None, seconds: float = 0.0) -> DataFrame:
     """Apply step so often; each reads one version and makes the next. Lineage is cut every few steps.
 
-    done(before, after) may end the loop early.
+    done(before, after) may end the loop early. With snapshots, a version is saved as an epoch whenever
+    the last one is so many seconds old, and a loop that is run again goes on from the last finished
+    epoch.
     """
-    for k in range(steps):
+    first = 0
+    if snapshots is not None and (found := snapshots.restore()) is not None:
+        state, first = found[0]["state"], found[1]["steps"]
+    for k in range(first, steps):
         after = step(state, k)
-        if (k + 1) % every == 0 or done is not None:
+        if snapshots is not None and snapshots.due(seconds):
+            after = snapshots.restore(snapshots.save({"state": after}, {"steps": k + 1}))[0]["state"]
+        elif (k + 1) % every == 0 or done is not None:
             after = cut(after)
         if done is not None and done(state, after):
             return after
@@ -126,3 +139,42 @@ class Snapshots:
         at = f"{self.folder}/epoch={known[-1] if epoch is None else epoch:05d}"
         manifest = json.loads(self.spark.read.text(f"{at}/manifest").first()[0])
         return {t: self.spark.read.parquet(f"{at}/table={t}") for t in manifest["tables"]}, manifest["variables"]
+
+
+class ShardedState:
+    """Versions of a keyed table by shard: a change writes the shards that it touches only.
+
+    The manifest, written last, names each shard's version and the last batch that was merged, so a
+    batch that is run again is merged once.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, table: KeyedTable):
+        self.spark, self.table, self.snaps = spark, table, Snapshots(spark, f"{folder.rstrip('/')}/manifests")
+        self.folder = folder.rstrip("/")
+        if not self.snaps.epochs():
+            self._write(table.df, {}, -1)
+
+    def _manifest(self) -> dict:
+        return self.snaps.restore()[1]
+
+    def _write(self, df: DataFrame, versions: dict[str, str], batch: int) -> None:
+        at = f"{self.folder}/data/{uuid.uuid4().hex}"
+        df.withColumn("_shard", self.table.spec.shard_column()).repartition("_shard").write.partitionBy("_shard").parquet(at)
+        fs, path = self.snaps._path("")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        found = {s.getPath().getName() for s in fs.listStatus(path)}
+        new = {n.removeprefix("_shard="): f"{at}/{n}" for n in found if n.startswith("_shard=")}
+        self.snaps.save({}, {"versions": versions | new, "batch": batch})
+
+    def read(self, shards: list[str] | None = None) -> DataFrame:
+        paths = [p for s, p in sorted(self._manifest()["versions"].items()) if shards is None or s in shards]
+        schema = self.table.df.select(*self.table.spec.columns()).schema
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def merge(self, updates: DataFrame, batch: int) -> None:
+        manifest = self._manifest()
+        if manifest["batch"] >= batch:
+            return
+        touched = [str(r[0]) for r in updates.select(self.table.spec.shard_column()).distinct().collect()]  # at most the number of shards
+        before = replace(self.table, df=self.read(touched))
+        self._write(before.update(updates).df, manifest["versions"], batch)

@@ -5,45 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .driver import cut, iterate
+from .driver import cut, iterate, scratch
 
 #: Damping, rank given to every page in each step, distance that counts as unreached.
 DAMPING, RESTART, FAR = 0.8, 0.2, 1000
 
 
+#: Links of a page in one part; a page with more is dealt in several parts.
+PART_LINKS = 100_000
+
+
 def page_rank(edges: DataFrame, steps: int, src: str = "src", dst: str = "dst", every: int = 4) -> DataFrame:
     """(node, rank) after so many steps; repeated links count each time.
 
     A step gives every page RESTART and every link's target its part of the source's rank. The
     state begins empty, so the first step gives RESTART everywhere. Links are weighted once and
-    kept dealt by their source, so a step joins them where they are and only the sums move.
+    kept dealt by their source, so a step joins them where they are and only the sums move. Links of
+    a page with very many are dealt in parts by their target, and its rank is sent to all of them.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = cut(edges.groupBy(src).agg(F.count(F.lit(1)).alias("degree")), "degree")
-    links = edges.groupBy(src, dst).agg(F.count(F.lit(1)).alias("times")).join(degree, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("times") * DAMPING / F.col("degree")).alias("part"))
-    links = cut(links, "links").repartition(parts, "src").persist()
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = edges.groupBy(src, dst).agg(F.count(F.lit(1)).alias("times"))
+    degree = cut(counted.groupBy(src).agg(F.sum("times").alias("degree"), F.ceil(F.count(F.lit(1)) / PART_LINKS).cast("int").alias("parts")), "degree")
+    links = counted.join(degree, src).select(F.col(src).alias("src"), F.pmod(F.xxhash64(dst), "parts").cast("int").alias("part"), F.col(dst).alias("dst"), (F.col("times") * DAMPING / F.col("degree")).alias("share"))
+    links = cut(links, "links").repartition(n, "src", "part").persist()
     restart = degree.select(F.col(src).alias("node"), F.lit(RESTART).alias("rank"))
+    heavy = degree.where("parts > 1").select(F.col(src).alias("node"), "parts")  # one for each PART_LINKS links at most
+    split = not heavy.isEmpty()
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        sent = state.join(links, state["node"] == links["src"]).select(F.col("dst").alias("node"), (F.col("rank") * F.col("part")).alias("rank"))
+        if split:
+            state = state.join(heavy, "node", "left").select("node", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        else:
+            state = state.withColumn("part", F.lit(0))
+        sent = state.join(links, (state["node"] == links["src"]) & (state["part"] == links["part"])).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("rank"))
         return restart.unionByName(sent).groupBy("node").agg(F.sum("rank").alias("rank"))
 
-    return iterate(restart, step, steps - 1, every)
+    out = cut(iterate(restart, step, steps - 1, every), "ranks")
+    links.unpersist()
+    return out
 
 
 def hops(edges: DataFrame, source: int, limit: int = 20, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, hops): links from the source to every node of the graph, -1 beyond limit or where there is no way.
 
-    Only nodes reached in the last step send on; the loop ends when none is new.
+    Only nodes reached in the last step send on; the loop ends when none is new. Steps are written as
+    parts of one table, and the nodes reached so far are read from all of its parts.
     """
+    spark = edges.sparkSession
     links = cut(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "links")
     nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    found = edges.sparkSession.createDataFrame([(source, 0)], "node long, hops long")
-    front = found
+    at = scratch(spark, "reached")
+    spark.createDataFrame([(source,)], "node long").write.parquet(f"{at}/hops=0")
+    part = lambda k: spark.read.schema("node long").parquet(f"{at}/hops={k}")
+    reached = lambda: spark.read.schema("node long, hops long").parquet(at)
     for k in range(1, limit + 1):
-        new = links.join(front, links["src"] == front["node"]).select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
-        front = cut(new.select("node", F.lit(k).cast("long").alias("hops")), "front")
-        if front.isEmpty():
+        front = part(k - 1)
+        new = links.join(front, links["src"] == front["node"]).select(F.col("dst").alias("node")).distinct()
+        new.join(reached().select("node"), "node", "left_anti").write.parquet(f"{at}/hops={k}")
+        if part(k).isEmpty():
             break
-        found = cut(found.unionByName(front), "found") if k % 5 == 0 else found.unionByName(front)
-    return nodes.join(found, "node", "left").select("node", F.when(F.col("hops") < FAR, F.col("hops")).otherwise(F.lit(-1)).cast("long").alias("hops"))
+    return nodes.join(reached(), "node", "left").select("node", F.when(F.col("hops") < FAR, F.col("hops")).otherwise(F.lit(-1)).cast("long").alias("hops"))

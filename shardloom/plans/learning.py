@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import sigmoid
 from ..operators.joins import nearest, neighbours
+from ..sources.files import scramble
 
 #: Squared distance at which a point stays unassigned; time step and cube of particles; targets of the classifier.
 WITHIN, STEP, CUBE, HIGH, LOW = 2.0, 1e-6, 20.0, 0.9, 0.1
@@ -30,7 +31,7 @@ def kmeans_update(assigned: DataFrame, axes: list[str], centres: int, points: in
 
 
 def kmeans_reseed(centres: DataFrame, points: DataFrame, axes: list[str], key: str, seed: int = 1) -> DataFrame:
-    """Centres that lie exactly at the origin take the place of a point, chosen by hash; the others stay."""
+    """Centres that lie exactly at the origin take the place of a point, chosen by its scrambled key; the others stay."""
     empty = F.lit(True)
     for a in axes:
         empty = empty & (F.col(a) == 0)
@@ -38,7 +39,7 @@ def kmeans_reseed(centres: DataFrame, points: DataFrame, axes: list[str], key: s
     n = lost.count()
     if not n:
         return centres
-    picked = points.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).select(*axes).collect()
+    picked = points.orderBy(scramble(F.col(key), seed), key).limit(n).select(*axes).collect()
     ids = [r["centre"] for r in lost.orderBy("centre").collect()]
     new = centres.sparkSession.createDataFrame([(i, *[float(p[a]) for a in axes]) for i, p in zip(ids, picked, strict=False)], "centre long, " + ", ".join(f"{a} double" for a in axes))
     return centres.join(new.select("centre"), "centre", "left_anti").select("centre", *axes).unionByName(new)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import scale_to
 from ..operators import joins, ordering
-from ..operators.accumulators import MAX, SUM
+from ..operators.accumulators import COUNT, MAX, SUM
 from ..operators.table import KeyedTable, TableSpec
 from ..sources.files import random_digraph, site_graph
 from ..streaming.accumulate import accumulate, file_stream, merge_into
@@ -50,7 +48,7 @@ def pagerank_10(spark, d):
 
 def _hops_sql(steps: int) -> str:
     parts = [
-        "WITH e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem WHERE l_orderkey % 50 = 0 UNION ALL SELECT 2 * l_partkey + 1, 2 * l_suppkey FROM lineitem WHERE l_orderkey % 50 = 0))",
+        "WITH e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 2 * l_suppkey AS src, 2 * l_partkey + 1 AS dst FROM lineitem UNION ALL SELECT 2 * l_partkey + 1, 2 * l_suppkey FROM lineitem))",
         "n AS MATERIALIZED (SELECT DISTINCT src AS node FROM e)",
         "h0 AS MATERIALIZED (SELECT node, CASE WHEN node = 0 THEN 0 ELSE 1000 END AS h FROM n)",
     ]
@@ -61,7 +59,7 @@ def _hops_sql(steps: int) -> str:
 
 @_q.add("sssp", _hops_sql(20))
 def sssp(spark, d):
-    return graph.hops(_bipartite(table(spark, d, "lineitem").where("l_orderkey % 50 = 0")), 0)
+    return graph.hops(_bipartite(table(spark, d, "lineitem")), 0)
 
 
 def _points(spark, d):
@@ -80,6 +78,14 @@ a AS (SELECT vec_id, x, y, arg_min(centre, row(d2, centre)) FILTER (d2 < 2) AS n
 """
 
 
+_KMEANS_STEPS = """WITH p AS MATERIALIZED (SELECT vec_id, embedding[1]::DOUBLE * 5 AS x, embedding[2]::DOUBLE * 5 AS y FROM embeddings),
+c0 AS MATERIALIZED (SELECT vec_id AS centre, x AS cx, y AS cy FROM p WHERE vec_id < 5),
+a0 AS (SELECT vec_id, x, y, arg_min(centre, row(d2, centre)) FILTER (d2 < 2) AS nearest FROM (SELECT *, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2 FROM p, c0) GROUP BY 1, 2, 3),
+c1 AS MATERIALIZED (SELECT nearest AS centre, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy FROM a0 WHERE nearest IS NOT NULL GROUP BY 1),
+a1 AS (SELECT vec_id, x, y, arg_min(centre, row(d2, centre)) FILTER (d2 < 2) AS nearest FROM (SELECT *, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2 FROM p, c1) GROUP BY 1, 2, 3)
+SELECT nearest AS centre, round(avg(x), 6) + 0 AS x, round(avg(y), 6) + 0 AS y FROM a1 WHERE nearest IS NOT NULL GROUP BY 1"""
+
+
 @_q.add("kmeans_assign", _KMEANS + "SELECT vec_id, coalesce(nearest, -1) AS nearest FROM a")
 def kmeans_assign(spark, d):
     return _assigned(spark, d).select("vec_id", F.coalesce("nearest", F.lit(-1)).alias("nearest"))
@@ -98,7 +104,16 @@ def kmeans_mean(spark, d):
     return out.select("centre", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
-@_q.add("kmeans_reseed")
+_SCRAMBLE = "(xor({0}, {0} >> 13))".format("(xor({0}, {0} >> 15) * 747796405 % 2147483648)").replace("{0}", "((({x}) % 2147483648 + {s} * 40503) * 1103515245 % 2147483648)")
+_UNIT = "(" + _SCRAMBLE + " / 2147483648.0::DOUBLE)"
+
+
+@_q.add(
+    "kmeans_reseed",
+    f"""WITH p AS (SELECT vec_id, embedding[1]::DOUBLE * 5 AS x, embedding[2]::DOUBLE * 5 AS y FROM embeddings),
+n AS (SELECT row_number() OVER (ORDER BY {_SCRAMBLE.format(x="vec_id", s=1)}, vec_id) - 1 AS centre, x, y FROM p)
+SELECT vec_id AS centre, x, y FROM p WHERE vec_id BETWEEN 2 AND 4 UNION ALL SELECT centre, x, y FROM n WHERE centre < 2""",
+)
 def kmeans_reseed(spark, d):
     points = _points(spark, d)
     centres = points.where("vec_id < 5").select(F.col("vec_id").alias("centre"), *[F.when(F.col("vec_id") < 2, 0.0).otherwise(F.col(a)).alias(a) for a in ("x", "y")])
@@ -107,20 +122,30 @@ def kmeans_reseed(spark, d):
 
 @_q.add(
     "matmul",
-    "WITH m AS (SELECT vec_id AS k, unnest(range(len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 50) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 4) + 0 AS v FROM m a JOIN m b USING (k) GROUP BY 1, 2",
+    "WITH m AS (SELECT vec_id AS k, unnest(range(len(embedding)))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 4) + 0 AS v FROM m a JOIN m b USING (k) GROUP BY 1, 2",
 )
 def matmul(spark, d):
-    m = table(spark, d, "embeddings").where("vec_id < 50").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "v")).select("k", "i", F.col("v").cast("double").alias("v"))
+    m = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "v")).select("k", "i", F.col("v").cast("double").alias("v"))
     return joins.block_product(m, m.select("k", F.col("i").alias("j"), "v")).select("i", "j", (F.round("v", 4) + 0.0).alias("v"))
 
 
 @_q.add("isort", "SELECT (o_orderkey % 16)::INT AS bucket, o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 16 ORDER BY o_totalprice, o_orderkey)::INT AS r FROM orders")
 def isort(spark, d):
-    from pyspark.sql import Window
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    ranked = ordering.ranked_in_buckets(rows, F.pmod("o_orderkey", F.lit(16)).cast("int"), "o_totalprice", "o_orderkey")
+    return ranked.select("bucket", "o_orderkey", F.col("rank").cast("int").alias("r"))
+
 
-    rows = table(spark, d, "orders").select(F.pmod("o_orderkey", F.lit(16)).cast("int").alias("bucket"), "o_orderkey", "o_totalprice")
-    w = Window.partitionBy("bucket").orderBy("o_totalprice", "o_orderkey")
-    return rows.select("bucket", "o_orderkey", F.row_number().over(w).alias("r"))
+@_q.add(
+    "isort_generated",
+    """WITH RECURSIVE k AS (SELECT 0::BIGINT AS i, (314159625::HUGEINT * 1220703125 % 140737488355328)::HUGEINT AS x UNION ALL SELECT i + 1, x * 1220703125 % 140737488355328 FROM k WHERE i < 4999),
+b AS (SELECT i, (x % 4294967296)::BIGINT AS key FROM k)
+SELECT (key % 65536)::INT AS bucket, i, key, row_number() OVER (PARTITION BY key % 65536 ORDER BY key, i)::BIGINT AS rank FROM b""",
+)
+def isort_generated(spark, d):
+    """The benchmark's own keys, dealt to buckets by their low bits and sorted inside."""
+    keys = ordering.lehmer_keys(spark, 5000)
+    return ordering.ranked_in_buckets(keys, F.pmod("key", F.lit(1 << ordering.BUCKET_BITS)).cast("int"), "key", "i")
 
 
 def _particles(spark, d):
@@ -222,7 +247,7 @@ def politeness_exact(spark, d):
 def stream_accumulate(spark, d):
     like = table(spark, d, "events")
     stream = file_stream(spark, f"{d}/events*.parquet", like)
-    return accumulate(stream, ["user_id"], [F.count(F.lit(1)).alias("n"), F.max("value").alias("top")], f"stream_{uuid.uuid4().hex}")
+    return accumulate(stream.select("user_id", F.lit(1).alias("n"), F.col("value").alias("top")), TableSpec(("user_id",), {"n": COUNT, "top": MAX}))
 
 
 @_q.add("stream_merge", "SELECT user_id, round(sum(value), 4) AS total, max(value) AS top FROM events GROUP BY 1")
@@ -235,12 +260,17 @@ def stream_merge(spark, d):
     return merge_into(rows, empty, at, f"{at}-log").pmap({"total": F.round("total", 4)}).df
 
 
-@_q.add("graph_generate")
+_GRAPH = f"""WITH g AS (SELECT page, n, page * 15 + n AS link, floor({_UNIT.format(x="page", s=1)} * {_UNIT.format(x="page", s=1)} * {_UNIT.format(x="page", s=1)} * 20)::BIGINT AS site FROM range(0, 2000) a(page), range(0, 15) b(n)),
+e AS (SELECT site, CASE WHEN {_UNIT.format(x="link", s=2)} < 0.9::DOUBLE THEN site ELSE floor({_UNIT.format(x="link", s=3)} * {_UNIT.format(x="link", s=3)} * {_UNIT.format(x="link", s=3)} * 20)::BIGINT END AS other, floor({_UNIT.format(x="link", s=4)} * 2000)::BIGINT AS target FROM g)
+SELECT site, count(*)::BIGINT AS links, count(*) FILTER (site = other)::BIGINT AS inside, sum(target)::BIGINT AS targets FROM e GROUP BY 1"""
+
+
+@_q.add("graph_generate", _GRAPH)
 def graph_generate(spark, d):
-    return site_graph(spark, 2000).groupBy("site").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("site") == F.col("target_site")).alias("inside"))
+    return site_graph(spark, 2000).groupBy("site").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("site") == F.col("target_site")).alias("inside"), F.sum("target").alias("targets"))
 
 
-@_q.add("digraph_generate")
+@_q.add("digraph_generate", f"""SELECT source, {_SCRAMBLE.format(x="source * 4 + n", s=1)} % 1000 AS target FROM range(0, 1000) a(source), range(0, 4) b(n)""")
 def digraph_generate(spark, d):
     return random_digraph(spark, 1000)
 
@@ -254,12 +284,12 @@ def rescale_counts(spark, d):
 
 @_q.add(
     "image_upsample",
-    "WITH x AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 40) SELECT vec_id, (k // 8 * 2 + a) * 16 + k % 8 * 2 + b AS pos, v FROM x, (SELECT i::INT AS a FROM range(0, 2) r(i)), (SELECT i::INT AS b FROM range(0, 2) r(i))",
+    "WITH x AS (SELECT vec_id, unnest(range(len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, (k // 8 * 2 + a) * 16 + k % 8 * 2 + b AS pos, v FROM x, (SELECT i::INT AS a FROM range(0, 2) r(i)), (SELECT i::INT AS b FROM range(0, 2) r(i))",
 )
 def image_upsample(spark, d):
     from ..functions.numeric import upsample
 
-    rows = table(spark, d, "embeddings").where("vec_id < 40").select("vec_id", F.posexplode(upsample(F.col("embedding"), 8)).alias("pos", "v"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(upsample(F.col("embedding"), 8)).alias("pos", "v"))
     return rows.select("vec_id", "pos", F.col("v").cast("double").alias("v"))
 
 
@@ -274,6 +304,28 @@ def weights_roundtrip(spark, d):
     return learning.layer_rows(spark, back)
 
 
+@_q.add("weight_picture", "SELECT (k // 8)::INT AS \"row\", (k % 8)::INT AS col, floor(((k * 5 % 11) / 4.0::DOUBLE - 0) / (2.5::DOUBLE - 0) * 255)::INT AS v FROM range(0, 64) r(k)")
+def weight_picture(spark, d):
+    """A hidden unit's 64 input weights as a picture of 8 by 8."""
+    import numpy as np
+
+    from . import render
+
+    layers = [np.array([[9.0]] + [[(k * 5 % 11) / 4.0] for k in range(64)])]
+    return render.weight_picture(learning.layer_rows(spark, layers), 0, 0, 8)
+
+
+@_q.add("kmeans_iterated", _KMEANS_STEPS)
+def kmeans_iterated(spark, d):
+    """Two rounds from the first five points, by the mean."""
+    points = _points(spark, d)
+    centres = points.where("vec_id < 5").select(F.col("vec_id").alias("centre"), "x", "y")
+    for _ in range(2):
+        assigned = learning.kmeans_assign(points, centres, ["x", "y"], "vec_id")
+        centres = learning.kmeans_update(assigned, ["x", "y"], 5, 1, "mean").select("centre", *[F.round(a, 9).alias(a) for a in "xy"])
+    return centres.select("centre", *[(F.round(a, 6) + 0.0).alias(a) for a in "xy"])
+
+
 @_q.add("process_pipe", "SELECT upper(r_name) AS line FROM region")
 def process_pipe(spark, d):
     from ..sources.files import through_process

@@ -10,6 +10,7 @@ from ..operators import dense, joins
 from ..operators.sharding import by_domain, by_mod, by_string_hash, longest_first
 from ..operators.table import KeyedTable, TableSpec
 from ..sources.files import strided
+from . import render
 from .driver import Snapshots, run_one, run_range, scratch
 from .registry import Queries, table
 
@@ -86,8 +87,8 @@ def acc_sum_retract(spark, d):
 
 @_q.add("acc_user_udaf", "SELECT user_id, count(*) FILTER (value > 100)::DOUBLE AS v FROM events GROUP BY 1")
 def acc_user_udaf(spark, d):
-    total = acc.user_fold(lambda a, b: a + b)
-    return table(spark, d, "events").groupBy("user_id").agg(total((F.col("value") > 100).cast("double")).alias("v"))
+    rows = table(spark, d, "events").select("user_id", (F.col("value") > 100).cast("double").alias("v"))
+    return acc.fold_by_key(rows, ["user_id"], "v", lambda a, b: a + b)
 
 
 @_q.add("apply_updates", "SELECT o_custkey, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total, max(o_totalprice) AS top FROM orders GROUP BY 1")
@@ -98,12 +99,29 @@ def apply_updates(spark, d):
     return t.pmap({"total": F.round("total", 2)}).df
 
 
-@_q.add("table_get", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7 UNION ALL SELECT c_custkey, o_custkey, o_totalprice FROM customer LEFT JOIN orders ON o_orderkey = c_custkey WHERE c_custkey < 20")
+@_q.add("update_set_union", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS v FROM events GROUP BY 1")
+def update_set_union(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.col("event_type").alias("v"), "event_id")
+    t = KeyedTable.of(TableSpec(("user_id",), {"v": acc.SET_UNION}), rows.where("event_id % 3 = 0"))
+    t = t.update(rows.where("event_id % 3 = 1")).update(rows.where("event_id % 3 = 2"))
+    return t.df.select("user_id", F.array_join("v", ",").alias("v"))
+
+
+@_q.add("update_list_append", "SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS v, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+def update_list_append(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("v"), F.lit(1).alias("n"))
+    t = KeyedTable.of(TableSpec(("o_custkey",), {"v": acc.LIST_APPEND, "n": acc.COUNT}), rows.where("v % 2 = 0")).update(rows.where("v % 2 = 1"))
+    return t.df.select("o_custkey", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("v"), "n")
+
+
+@_q.add("table_get", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7 UNION ALL SELECT c_custkey, o_custkey, o_totalprice FROM customer LEFT JOIN orders ON o_orderkey = c_custkey")
 def table_get(spark, d):
     spec = TableSpec(("o_orderkey",), {"o_custkey": acc.MAX, "o_totalprice": acc.MAX})
     orders = KeyedTable(spec, table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
-    keys = table(spark, d, "customer").where("c_custkey < 20").select(F.col("c_custkey").alias("o_orderkey"))
-    return orders.df.where("o_orderkey = 7").unionByName(orders.lookup(keys))
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("o_orderkey"))
+    one = orders.get(7)
+    one = spark.createDataFrame([(7, one["o_custkey"], one["o_totalprice"])] if one else [], orders.df.schema)
+    return one.unionByName(orders.lookup(keys))
 
 
 @_q.add("lookup_default", "SELECT c_custkey, coalesce(n, 0)::BIGINT AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey")
@@ -127,7 +145,8 @@ def _lines(spark, d):
 
 @_q.add("table_contains", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def table_contains(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").join(_lines(spark, d), "o_orderkey", "left_semi")
+    lines = KeyedTable(TableSpec(("o_orderkey",), {}), _lines(spark, d))
+    return lines.contains(table(spark, d, "orders").select("o_orderkey", "o_totalprice"))
 
 
 @_q.add("table_not_contains", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -222,6 +241,16 @@ def map_shards(spark, d):
     return t.map_shards(lambda s, pdf: pd.DataFrame({"shard": [s], "n": [len(pdf)], "total": [round(float(pdf["s_acctbal"].sum()), 2)]}), "shard int, n long, total double")
 
 
+@_q.add("map_shards_setup", _BY_SHARD.format(""))
+def map_shards_setup(spark, d):
+    """The same by a kernel that is set up once for each shard."""
+    import pandas as pd
+
+    t = KeyedTable(TableSpec(("s_suppkey",), {"s_acctbal": acc.MAX}, shards=4, shard=mod8("s_suppkey")), table(spark, d, "supplier").select("s_suppkey", "s_acctbal"))
+    add = lambda own, s, pdf: pd.DataFrame({"shard": [own["shard"]], "n": [len(pdf)], "total": [round(float(pdf["s_acctbal"].sum()), 2)]})
+    return t.map_shards(add, "shard int, n long, total double", setup=lambda shard: {"shard": shard})
+
+
 @_q.add("strided_generate", "SELECT (i % 8)::INT AS shard, count(*)::BIGINT AS n, sum(i)::BIGINT AS total FROM range(0, 1000) t(i) GROUP BY 1")
 def strided_generate(spark, d):
     return strided(spark, 1000, 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total"))
@@ -243,11 +272,27 @@ def dense_accumulate(spark, d):
 
 @_q.add(
     "dense_grid_fill",
-    "SELECT a, b, round(coalesce(t, 0.0::DOUBLE), 4) AS total FROM (SELECT x::BIGINT AS a FROM range(0, 16) r(x)), (SELECT y::BIGINT AS b FROM range(1, 8) r(y)) LEFT JOIN (SELECT l_suppkey % 16 AS i, l_linenumber AS j, sum(l_quantity) AS t FROM lineitem WHERE l_suppkey < 12 GROUP BY 1, 2) ON i = a AND j = b",
+    "SELECT a, b, round(coalesce(t, 0.0::DOUBLE), 4) AS total FROM (SELECT unnest(range(0, max(l_suppkey) + 2)) AS a FROM lineitem), (SELECT y::BIGINT AS b FROM range(1, 9) r(y)) LEFT JOIN (SELECT l_suppkey AS i, l_linenumber AS j, sum(l_quantity) AS t FROM lineitem GROUP BY 1, 2) ON i = a AND j = b",
 )
 def dense_grid_fill(spark, d):
-    rows = table(spark, d, "lineitem").where("l_suppkey < 12").select((F.col("l_suppkey") % 16).alias("a"), F.col("l_linenumber").cast("long").alias("b"), "l_quantity")
-    return dense.grid(rows, ("a", 0, 15), ("b", 1, 7), F.col("l_quantity")).withColumn("total", F.round("total", 4))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_linenumber").cast("long").alias("b"), "l_quantity")
+    last = int(rows.agg(F.max("a")).first()[0] or 0)
+    return dense.grid(rows, ("a", 0, last + 1), ("b", 1, 8), F.col("l_quantity")).withColumn("total", F.round("total", 4))
+
+
+#: Spheres of the frame (x, y, z, radius, brightness), in units of its height.
+_SPHERES = ((0.5, 0.5, 0.0, 0.375, 1.0), (0.875, 0.375, 0.25, 0.25, 0.75), (1.25, 0.75, -0.125, 0.1875, 0.5))
+
+
+@_q.add(
+    "trace_frame",
+    "WITH p AS (SELECT r, c, (c + 0.5::DOUBLE) / 48 AS x, (r + 0.5::DOUBLE) / 48 AS y FROM range(0, 48) a(r), range(0, 64) b(c)), s(sx, sy, sz, sr, sb) AS (VALUES "
+    + ", ".join("(" + ", ".join(f"{v}::DOUBLE" for v in s) + ")" for s in _SPHERES)
+    + "), h AS (SELECT r, c, sqrt(sr * sr - (x - sx) * (x - sx) - (y - sy) * (y - sy)) AS up, sz, sr, sb FROM p, s WHERE (x - sx) * (x - sx) + (y - sy) * (y - sy) < sr * sr),"
+    " v AS (SELECT r, c, arg_max(floor(up / sr * sb * 255), sz + up)::INT AS v FROM h GROUP BY 1, 2) SELECT p.r AS \"row\", p.c AS col, coalesce(v, 0)::INT AS v FROM p LEFT JOIN v ON v.r = p.r AND v.c = p.c",
+)
+def trace_frame(spark, d):
+    return render.trace_frame(spark, 48, 64, 16, _SPHERES)
 
 
 @_q.add("dense_tiles", "SELECT p_partkey - p_partkey % 32 AS tile_a, p_size - p_size % 8 AS tile_b, count(*)::BIGINT AS n, sum((p_partkey % 32) * 8 + p_size % 8)::BIGINT AS places FROM part GROUP BY 1, 2")
@@ -261,14 +306,17 @@ def log_histogram(spark, d):
     return table(spark, d, "events").groupBy(log_bucket(F.col("value")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_q.add("stats_merge", "SELECT event_type, round(sum(value), 4) AS total FROM events GROUP BY 1")
+@_q.add("stats_merge", "SELECT event_type, count(*)::BIGINT AS calls, round(sum(value), 4) AS total, max(value) AS longest FROM events GROUP BY 1")
 def stats_merge(spark, d):
-    return acc.merge_stats(table(spark, d, "events"), ["event_type"], "value").select("event_type", F.round("total", 4).alias("total"))
+    """Statistics of three workers, each of its own events, merged."""
+    events = table(spark, d, "events")
+    parts = [acc.stats_of(events.where(F.pmod("event_id", F.lit(3)) == n), ["event_type"], "value") for n in range(3)]
+    return acc.merge_stats(*parts, keys=["event_type"]).select("event_type", "calls", F.round("total", 4).alias("total"), "longest")
 
 
 @_q.add("method_stats", "SELECT event_type, count(*)::BIGINT AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def method_stats(spark, d):
-    return acc.merge_stats(table(spark, d, "events"), ["event_type"], "value").select("event_type", "calls", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
+    return acc.merge_stats(acc.stats_of(table(spark, d, "events"), ["event_type"], "value"), keys=["event_type"]).select("event_type", "calls", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
 
 
 @_q.add("minmax_scale", "SELECT p_partkey, floor((p_retailprice - lo) / (hi - lo) * 255)::INT AS v FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")
@@ -287,11 +335,13 @@ def checkpoint_roundtrip(spark, d):
     return tables["customer"].where(F.lit(variables["step"] == 1))
 
 
-@_q.add("domain_shard")
+@_q.add("domain_shard", "SELECT lower(regexp_extract(url, '^https?://([^/:?#]*)', 1)) AS domain, count(*)::BIGINT AS pages, 1::BIGINT AS shards, true AS inside FROM pages GROUP BY 1")
 def domain_shard(spark, d):
-    pages = table(spark, d, "pages")
-    key = F.concat_ws(" ", F.lower(F.regexp_extract("url", "^https?://([^/:?#]*)", 1)), "url")
-    return pages.select("page_id", by_domain(key, 16).alias("shard"))
+    """Pages of each domain, in how many shards they lie, and whether these are shards that exist."""
+    host = F.lower(F.regexp_extract("url", "^https?://([^/:?#]*)", 1))
+    rows = table(spark, d, "pages").select(host.alias("domain"), by_domain(F.concat_ws(" ", host, "url"), 16).alias("shard"))
+    counts = rows.groupBy("domain", "shard").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("domain").agg(F.sum("n").alias("pages"), F.count("shard").alias("shards"), F.min(F.col("shard").between(0, 15)).alias("inside"))
 
 
 @_q.add("superfasthash")
@@ -299,7 +349,13 @@ def superfasthash(spark, d):
     return table(spark, d, "customer").select("c_custkey", by_string_hash(F.col("c_name"), 8).alias("shard"))
 
 
-@_q.add("lpt_assignment")
+@_q.add(
+    "lpt_assignment",
+    """WITH RECURSIVE s AS (SELECT shard, n, row_number() OVER (ORDER BY n DESC, shard) AS r FROM (SELECT (l_suppkey % 32)::INT AS shard, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1)),
+t AS (SELECT 0::BIGINT AS r, [0, 0, 0, 0]::DOUBLE[] AS loads, -1 AS shard, -1 AS worker, 0::DOUBLE AS size
+UNION ALL SELECT s.r, list_transform([1, 2, 3, 4], lambda k: loads[k] + CASE WHEN k = list_position(loads, list_min(loads)) THEN s.n ELSE 0 END), s.shard, list_position(loads, list_min(loads)) - 1, s.n FROM t JOIN s ON s.r = t.r + 1)
+SELECT shard, worker::INT AS worker, size FROM t WHERE r > 0""",
+)
 def lpt_assignment(spark, d):
     sizes = {int(r["shard"]): float(r["entries"]) for r in KeyedTable(TableSpec(("l_suppkey",), {}, shards=32, shard=mod8("l_suppkey")), table(spark, d, "lineitem")).shard_sizes().collect()}
     return spark.createDataFrame(sorted((s, w, sizes[s]) for s, w in longest_first(sizes, 4).items()), "shard int, worker int, size double")

@@ -26,14 +26,17 @@ SUFFIXES = ["com", "org", "net"]
 FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1 HAVING count(*) > 50""",
 )
 def wordcount(spark, d):
+    # raw tokens are counted first, so white space is stripped from the distinct ones only
     tokens = lines_of(table(spark, d, "documents"), "text").select(F.explode(F.split("line", " ")).alias("token"))
-    words = tokens.select(T.strip(F.col("token")).alias("word"), F.lit(1).alias("n"))
-    return KeyedTable.of(TableSpec(("word",), {"n": COUNT}), words).df.where("n > 50")
+    raw = KeyedTable.of(TableSpec(("token",), {"n": COUNT}), tokens.withColumn("n", F.lit(1)))
+    words = raw.df.select(T.strip(F.col("token")).alias("word"), "n")
+    return KeyedTable.of(TableSpec(("word",), {"n": SUM}), words).df.where("n > 50")
 
 
-@_q.add("tokenize", "SELECT doc_id, len(string_split(string_split(text, chr(10))[1], ' '))::INT AS n FROM documents")
+@_q.add("tokenize", "SELECT doc_id, coalesce(list_sum(list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, ' ')))), 0)::INT AS n FROM documents")
 def tokenize(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.split(F.split("text", "\n")[0], " ")).alias("n"))
+    counts = F.transform(F.split("text", "\n"), lambda line: F.size(F.split(line, " ")))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.aggregate(counts, F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n"))
 
 
 @_q.add(
@@ -100,13 +103,17 @@ def page_links(spark, d):
     return C.page_links(table(spark, d, "pages")).select("page_id", "link")
 
 
+#: A stand-in robots file forbids what its host serves with a query: the paths of URLs that have one.
+_RULE = "^https?://[^/]*(/[^?#]*)[?]"
+
+
 def _robots(pages: DataFrame) -> DataFrame:
-    """(host, robots): a robots file of each host, made from its pages whose id is divisible by 7."""
-    rules = pages.where("page_id % 7 = 0").select(T.host(F.col("url")).alias("host"), F.regexp_extract("url", "^https?://[^/]*(/[^/?#]*)", 1).alias("rule"))
+    """(host, robots): a robots file of each host, made from all its pages."""
+    rules = pages.select(T.host(F.col("url")).alias("host"), F.regexp_extract("url", _RULE, 1).alias("rule"))
     return rules.where("rule <> ''").groupBy("host").agg(F.concat(F.lit("User-agent: *\n"), F.array_join(F.transform(F.array_sort(F.collect_set("rule")), lambda r: F.concat(F.lit("Disallow: "), r, F.lit("*\n"))), "")).alias("robots"))
 
 
-_RULES = f"SELECT DISTINCT {_HOST} AS host, regexp_extract(url, '^https?://[^/]*(/[^/?#]*)', 1) AS rule FROM pages WHERE page_id % 7 = 0"
+_RULES = f"SELECT DISTINCT {_HOST} AS host, regexp_extract(url, '{_RULE}', 1) AS rule FROM pages"
 
 
 @_q.add("robots_parse", f"SELECT * FROM ({_RULES}) WHERE rule <> ''")
@@ -136,23 +143,36 @@ def fetch_counts(spark, d):
     return KeyedTable.of(TableSpec(("status",), {"n": SUM}), crawl_status(spark, d).select("status", F.lit(1).cast("long").alias("n"))).df
 
 
+_BLOCKED = f"EXISTS (SELECT 1 FROM rules r WHERE r.host = {_HOST} AND starts_with(regexp_extract(url, '^https?://[^/]*(/[^?#]*)', 1), r.rule))"
 _CRAWL = f"""WITH rules AS (SELECT * FROM ({_RULES}) WHERE rule <> ''),
 u AS (SELECT DISTINCT url FROM pages),
-blocked AS (SELECT url FROM u WHERE EXISTS (SELECT 1 FROM rules r WHERE r.host = {_HOST} AND starts_with(regexp_extract(u.url, '^https?://[^/]*(/[^?#]*)', 1), r.rule)))
-SELECT CASE WHEN url IN (SELECT url FROM blocked) THEN 5 ELSE 4 END::INT AS status, count(*)::BIGINT AS n FROM u GROUP BY 1"""
+one AS (SELECT url, CASE WHEN {_BLOCKED} THEN 5 ELSE 4 END AS status FROM u)"""
+_LINKS = """l AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') || regexp_replace(t, '#.*', '') AS url FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS t FROM pages WHERE url IN (SELECT url FROM one WHERE status = 4)) WHERE starts_with(t, '/') AND NOT starts_with(t, '//')),
+new AS (SELECT url FROM l WHERE length(url) BETWEEN 6 AND 200 AND url NOT LIKE '% %' AND starts_with(url, 'http://') AND length(url) - length(replace(url, '&', '')) <= 2 AND url NOT IN (SELECT url FROM u))"""
+
 
+def _rules(pages: DataFrame) -> DataFrame:
+    return _robots(pages).select("host", F.explode(T.robots_rules(F.col("robots"))).alias("rule"))
 
-@_q.add("crawl_first_step", _CRAWL)
+
+@_q.add("crawl_first_step", _CRAWL + " SELECT status::INT AS status, count(*)::BIGINT AS n FROM one GROUP BY 1")
 def crawl_first_step(spark, d):
     pages = table(spark, d, "pages")
-    rules = _robots(pages).select("host", F.explode(T.robots_rules(F.col("robots"))).alias("rule"))
-    _, _, updates = C.crawl(pages, pages.select("url").distinct(), rules, 1)
+    _, _, updates, _ = C.crawl(pages, pages.select("url").distinct(), _rules(pages), 1)
     return updates.df.where("status < 10")
 
 
-@_q.add("crawl")
+@_q.add("crawl", f"{_CRAWL}, {_LINKS} SELECT status::INT AS status, count(*)::BIGINT AS n FROM (SELECT status FROM one UNION ALL SELECT CASE WHEN {_BLOCKED} THEN 5 ELSE 6 END FROM new) GROUP BY 1")
 def crawl(spark, d):
+    """Two steps: all stored pages, then what they link to."""
     pages = table(spark, d, "pages")
-    rules = _robots(pages).select("host", F.explode(T.robots_rules(F.col("robots"))).alias("rule"))
-    state, _, _ = C.crawl(pages, pages.select("url").distinct(), rules, 2)
+    state, _, _, _ = C.crawl(pages, pages.select("url").distinct(), _rules(pages), 2)
     return state.df.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_q.add("crawl_polite", f"{_CRAWL} SELECT host, 0::BIGINT AS at FROM (SELECT {_HOST} AS host, arg_min(status, url) AS status FROM one GROUP BY 1) WHERE status = 4")
+def crawl_polite(spark, d):
+    """Last crawl by host after a step that fetches one page of each, and one too soon after it: only hosts that were not fetched go on."""
+    pages = table(spark, d, "pages")
+    _, _, _, times = C.crawl(pages, pages.select("url").distinct(), _rules(pages), 2, gap=60, step_seconds=30)
+    return times.df.where("at = 0")

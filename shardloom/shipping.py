@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -17,12 +19,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_shardloom_shipped", False):
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="shardloom-"), "shardloom.zip")
+    folder = tempfile.mkdtemp(prefix="shardloom-")  # the driver serves the file from there until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "shardloom.zip")
     with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(home):
+        for place, _, names in os.walk(home):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(place, name)
                     out.write(path, os.path.relpath(path, os.path.dirname(home)))
     context.addPyFile(target)
     context._shardloom_shipped = True

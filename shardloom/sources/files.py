@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import subprocess
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,20 +32,35 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists", codec:
     (out.partitionBy(*partition) if partition else out).parquet(path)
 
 
+#: Records of a framed file in one batch, and bytes.
+BATCH_ROWS, BATCH_BYTES = 10_000, 16 << 20
+
+
 def framed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, payload) of files of length-prefixed records: a 4-byte little-endian length, then so many bytes."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(file, at, payload) of files of length-prefixed records: a 4-byte little-endian length, then so many bytes.
+
+    A task reads its files as streams, a batch of records at a time; only names come from the listing.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for part in parts:
-            for path, data in zip(part["path"], part["content"], strict=True):
-                rows, at = [], 0
-                while at + 4 <= len(data):
-                    (n,) = struct.unpack_from("<i", data, at)
-                    if n < 0 or at + 4 + n > len(data):
-                        raise ValueError(f"{path}: record at {at} is cut off")
-                    rows.append((path, at, bytes(data[at + 4 : at + 4 + n])))
-                    at += 4 + n
+            for url in part["path"]:
+                store, name = fs.FileSystem.from_uri(url)
+                rows, size, at = [], 0, 0
+                with store.open_input_stream(name) as f:
+                    while head := f.read(4):
+                        n = struct.unpack("<i", head)[0] if len(head) == 4 else -1
+                        payload = f.read(n) if n >= 0 else b""
+                        if len(payload) != n:
+                            raise ValueError(f"{url}: record at {at} is cut off")
+                        rows.append((url, at, payload))
+                        at, size = at + 4 + n, size + n
+                        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                            yield pd.DataFrame(rows, columns=["file", "at", "payload"])
+                            rows, size = [], 0
                 yield pd.DataFrame(rows, columns=["file", "at", "payload"])
 
     return files.mapInPandas(run, "file string, at long, payload binary")
@@ -94,27 +111,37 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def scramble(x: Column, seed: int = 1) -> Column:
+    """A number below 2^31 that depends on all bits of a whole number below 2^31, by plain arithmetic that other engines repeat."""
+    y = (x % (1 << 31) + seed * 40503) * 1103515245 % (1 << 31)
+    y = y.bitwiseXOR(F.shiftright(y, 15)) * 747796405 % (1 << 31)
+    return y.bitwiseXOR(F.shiftright(y, 13))
+
+
+def unit(x: Column, seed: int = 1) -> Column:
+    return scramble(x, seed) / F.lit(float(1 << 31))
+
+
 def site_graph(spark: SparkSession, pages: int, links: int = 15, same_site: float = 0.9, sites: int | None = None, seed: int = 1) -> DataFrame:
     """(site, page, target_site, target): links of generated pages, most of them inside the site.
 
-    Every value comes from a hash of the page and link number, so a lost task makes the same rows
-    again. Site sizes fall off as a power of the site number.
+    Every value comes from the page and link number, so a lost task makes the same rows again. Site
+    sizes fall off as a power of the site number.
     """
     sites = sites or max(1, pages // 100)
-    unit = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    site = lambda u: F.floor(F.pow(u, F.lit(3.0)) * sites).cast("long")
-    rows = spark.range(pages).select(F.col("id").alias("page"), site(unit(F.col("id"), F.lit("site"))).alias("site"))
+    site = lambda u: F.floor(u * u * u * sites).cast("long")
+    rows = spark.range(pages).select(F.col("id").alias("page"), site(unit(F.col("id"), seed)).alias("site"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(links - 1))).alias("n"))
-    inside = unit(F.col("page"), F.col("n"), F.lit("inside")) < same_site
-    other = site(unit(F.col("page"), F.col("n"), F.lit("other")))
-    target = F.floor(unit(F.col("page"), F.col("n"), F.lit("target")) * pages).cast("long")
+    link = F.col("page") * links + F.col("n")
+    inside, other = unit(link, seed + 1) < same_site, site(unit(link, seed + 2))
+    target = F.floor(unit(link, seed + 3) * pages).cast("long")
     return rows.select("site", "page", F.when(inside, F.col("site")).otherwise(other).alias("target_site"), target.alias("target"))
 
 
 def random_digraph(spark: SparkSession, nodes: int, density: int = 4, seed: int = 1) -> DataFrame:
-    """(source, target): density targets of each node, by hash."""
+    """(source, target): density targets of each node, by the node and the link number."""
     rows = spark.range(nodes).select(F.col("id").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(density - 1))).alias("n"))
-    return rows.select("source", F.pmod(F.xxhash64("source", "n", F.lit(seed)), F.lit(nodes)).alias("target"))
+    return rows.select("source", (scramble(F.col("source") * density + F.col("n"), seed) % nodes).alias("target"))
 
 
 def strided(spark: SparkSession, n: int, shards: int) -> DataFrame:
@@ -123,12 +150,30 @@ def strided(spark: SparkSession, n: int, shards: int) -> DataFrame:
 
 
 def through_process(df: DataFrame, column: str, command: list[str]) -> DataFrame:
-    """(line): output lines of a command that reads the column's values as lines, one process for each task."""
+    """(line): output lines of a command that reads the column's values as lines, one process for each task.
+
+    Lines are written by a thread while the output is read, so neither is held whole.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines = [str(v) for part in parts for v in part[column] if v is not None]
-        done = subprocess.run(command, input="\n".join(lines), capture_output=True, text=True, check=True)
-        yield pd.DataFrame({"line": done.stdout.splitlines()})
+        with subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True) as process:
+            failed = []
+
+            def feed():
+                try:
+                    with process.stdin as pipe:
+                        for part in parts:
+                            pipe.writelines(f"{v}\n" for v in part[column] if v is not None)
+                except Exception as e:  # raised below, in the task's own thread
+                    failed.append(e)
+
+            writer = threading.Thread(target=feed, daemon=True)
+            writer.start()
+            while lines := list(itertools.islice(process.stdout, BATCH_ROWS)):
+                yield pd.DataFrame({"line": [x.rstrip("\n") for x in lines]})
+            writer.join()
+        if process.returncode or failed:
+            raise RuntimeError(f"{command[0]} ended with {process.returncode}") from (failed or [None])[0]
 
     return df.select(column).mapInPandas(run, "line string")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.table import KeyedTable
-from ..plans.driver import Snapshots, scratch
+from ..operators.table import KeyedTable, TableSpec
+from ..plans.driver import ShardedState, scratch
 
 
 def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -13,29 +13,18 @@ def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     return spark.readStream.schema(like.schema).parquet(path)
 
 
-def accumulate(stream: DataFrame, keys: list[str], aggs: list[Column], name: str) -> DataFrame:
-    """All that is there now, merged by key in Spark's own state; the state's table when the stream is caught up."""
-    spark = stream.sparkSession
-    query = stream.groupBy(*keys).agg(*aggs).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def accumulate(stream: DataFrame, spec: TableSpec, folder: str | None = None) -> DataFrame:
+    """All that is there now, merged by key; the table when the stream is caught up. The state stays in the shared folder."""
+    empty = KeyedTable.of(spec, stream.sparkSession.createDataFrame([], stream.schema))
+    return merge_into(stream, empty, folder or scratch(stream.sparkSession, "state")).df
 
 
 def merge_into(stream: DataFrame, table: KeyedTable, folder: str, checkpoint: str | None = None) -> KeyedTable:
-    """Merge each micro-batch into the table and write it as the next snapshot; returns the last version.
+    """Merge each micro-batch into the table; returns the last version.
 
-    The snapshot holds the number of the batch, so a batch that is run again is not merged twice.
+    A batch rewrites the shards that it touches, and one that is run again is not merged twice.
     """
-    spark = stream.sparkSession
-    snaps = Snapshots(spark, folder)
-    if not snaps.epochs():
-        snaps.save({"table": table.df}, {"batch": -1})
-
-    def merge(batch: DataFrame, number: int) -> None:
-        tables, variables = snaps.restore()
-        if variables["batch"] < number:
-            snaps.save({"table": KeyedTable(table.spec, tables["table"]).update(batch).df}, {"batch": number})
-
-    at = checkpoint or scratch(spark, "stream")
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return KeyedTable(table.spec, snaps.restore()[0]["table"])
+    state = ShardedState(stream.sparkSession, folder, table)
+    at = checkpoint or scratch(stream.sparkSession, "stream")
+    stream.writeStream.foreachBatch(state.merge).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    return KeyedTable(table.spec, state.read())

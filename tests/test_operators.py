@@ -12,8 +12,8 @@ from shardloom.operators import accumulators as acc
 from shardloom.operators import dense, joins, ordering
 from shardloom.operators.sharding import by_mod, longest_first
 from shardloom.operators.table import KeyedTable, Registry, TableSpec
-from shardloom.plans import graph, learning
-from shardloom.plans.driver import Snapshots, Stats, cut, iterate
+from shardloom.plans import crawl, graph, learning
+from shardloom.plans.driver import ShardedState, Snapshots, Stats, cut, iterate
 from shardloom.sources import files
 
 
@@ -54,9 +54,29 @@ def test_robots(spark):
     assert col(spark, "User-agent: *\nDisallow: /a*\nDisallow:/b \nDisallow: /a\nDisallow:\n", text.robots_rules) == ["/a", "/b"]
 
 
-def test_sorting_keys():
-    keys = list(ordering.lehmer_keys(3))
+def test_many_hashes():
+    rng = random.Random(4)
+    texts = [rng.randbytes(rng.randint(0, 23)) for _ in range(400)] + [b"", b"\xff", b"\x80\xff\xfe"]
+    assert hashing.hash_many(texts).tolist() == [hashing.super_fast_hash(t) for t in texts]
+
+
+def test_sorting_keys(spark):
+    keys = [r["key"] for r in ordering.lehmer_keys(spark, 3).orderBy("i").collect()]
     assert keys == [3286280765, 410418305, 413559317] and [k & 0xFFFF for k in keys] == [43581, 31873, 27157]
+    x, want = ordering.SEED, []
+    for _ in range(3000):
+        x = x * 5**13 % 2**47
+        want.append(x & 0xFFFFFFFF)
+    assert [r["key"] for r in ordering.lehmer_keys(spark, 3000).orderBy("i").collect()] == want
+
+
+def test_ranks_in_buckets(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randint(0, 40)) for k in range(500)]
+    got = ordering.ranked_in_buckets(spark.createDataFrame(rows, "k long, v long"), F.when(F.col("k") < 400, 0).otherwise(1), "v", "k").collect()
+    for bucket in (0, 1):
+        own = sorted((v, k) for k, v in rows if (k >= 400) == bucket)
+        assert [(r["v"], r["k"]) for r in sorted((r for r in got if r["bucket"] == bucket), key=lambda r: r["rank"])] == own
 
 
 UPDATES = [(1, 5, 0), (1, 3, 1), (2, 7, 2), (1, 4, 3)]
@@ -70,6 +90,78 @@ def test_accumulators_in_any_order(spark, rule, want):
     assert {r["k"]: r["v"] for r in t.df.collect()} == want
 
 
+@pytest.mark.parametrize("rule,want", [(acc.SET_UNION, {1: [3, 4, 5], 2: [7, 9], 3: [1]}), (acc.LIST_APPEND, {1: [3, 4, 4, 5], 2: [7, 9], 3: [1, 1]}), (acc.COUNT, {1: 4, 2: 2, 3: 2})])
+def test_updates_of_sets_lists_and_counts(spark, rule, want):
+    """Raw updates merge into what a table holds, over several rounds."""
+    t = KeyedTable.of(TableSpec(("k",), {"v": rule}), spark.createDataFrame([(1, 5), (1, 4), (2, 7)], "k int, v int"))
+    t = t.update(spark.createDataFrame([(1, 3), (3, 1), (3, 1)], "k int, v int")).update(spark.createDataFrame([(1, 4), (2, 9)], "k int, v int"))
+    assert {r["k"]: r["v"] for r in t.df.collect()} == want
+
+
+def test_folds_by_key(spark):
+    rows = [(k % 3, float(k)) for k in range(1, 40)] + [(1, None), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    got = {r["k"]: r["v"] for r in acc.fold_by_key(df, ["k"], "v", lambda a, b: max(a, b)).collect()}
+    assert got == {0: 39.0, 1: 37.0, 2: 38.0, None: 2.0}
+    assert {r["k"]: r["v"] for r in acc.fold_by_key(df, ["k"], "v", np.add).collect()} == {k: sum(v for q, v in rows if q == k and v is not None) for k in (0, 1, 2, None)}
+
+
+def test_kernel_instances_are_made_once():
+    from shardloom.operators import table
+
+    made = []
+    for _ in range(3):
+        assert table.instance("kernel", 2, lambda s: made.append(s) or f"for {s}") == "for 2"
+    assert made == [2]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    centres = [(k, rng.random(), rng.random()) for k in range(40)] + [(40, 0.5, 0.5), (41, 0.5, 0.5)]
+    points = [(k, rng.random(), rng.random()) for k in range(60)] + [(60, 0.5, 0.5)]
+    monkeypatch.setattr(joins, "CENTRES", 9)
+    got = joins.nearest(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(centres, "c long, x double, y double"), ["x", "y"], ["x", "y"], "id", "c", within=0.01)
+    want = {i: min(((x - a) ** 2 + (y - b) ** 2, c) for c, a, b in centres) for i, x, y in points}
+    assert {r["id"]: r["nearest"] for r in got.collect()} == {i: c if d < 0.01 else None for i, (d, c) in want.items()}
+
+
+@pytest.mark.parametrize("radius2", [0.5, 1.0, 6.0])
+def test_neighbours_of_any_radius(spark, radius2):
+    rng = random.Random(7)
+    points = [(k, rng.uniform(-4, 4), rng.uniform(-4, 4)) for k in range(50)]
+    got = joins.neighbours(spark.createDataFrame(points, "id long, x double, y double"), "id", ["x", "y"], radius2)
+    want = {(a, b) for a, x, y in points for b, u, v in points if 1e-8 <= (x - u) ** 2 + (y - v) ** 2 <= radius2}
+    assert {(r["id"], r["other_id"]) for r in got.collect()} == want
+
+
+def test_spacing(spark):
+    import datetime
+
+    rng, zero = random.Random(8), datetime.datetime(2024, 1, 1)
+    rows = [(k, rng.choice("aaab"), zero + datetime.timedelta(seconds=rng.randint(0, 3000))) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    want_gate, want_polite = set(), set()
+    for key in "ab":
+        before = last = None
+        for i, _, t in sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])):
+            if before is None or (t - before).total_seconds() >= 40:
+                want_gate.add(i)
+            if last is None or (t - last).total_seconds() >= 40:
+                want_polite.add(i)
+                last = t
+            before = t
+    assert {r["id"] for r in joins.spaced(df, "k", "ts", 40, "id").collect()} == want_gate
+    assert {r["id"] for r in joins.polite(df, "k", "ts", 40, "id").collect()} == want_polite
+
+
+def test_rules_block_beginnings(spark):
+    pages = [("http://a.com/x/1",), ("http://a.com/y",), ("http://b.com/x/1",), ("http://a.com/",), ("http://a.com/xy",)]
+    rules = spark.createDataFrame([("a.com", "/x"), ("a.com", "/y/long"), ("b.com", "/q")], "host string, rule string")
+    df = spark.createDataFrame(pages, "url string")
+    assert {r["url"] for r in joins.not_blocked(df, rules).collect()} == {"http://a.com/y", "http://b.com/x/1", "http://a.com/"}
+    assert joins.not_blocked(df, rules.limit(0)).count() == 5
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-50, 50)), min_size=1, max_size=30), st.integers(0, 30))
 def test_update_equals_one_fold(spark, rows, at):
@@ -115,6 +207,14 @@ def test_page_rank(spark):
         assert np.allclose([got[k] for k in (1, 2, 3, 4)], want)
 
 
+def test_page_rank_of_a_page_with_many_links(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, k) for k in range(1, 60)] + [(k, 0) for k in range(1, 60)] + [(1, 2)], "src long, dst long")
+    want = {r["node"]: r["rank"] for r in graph.page_rank(edges, 4).collect()}
+    monkeypatch.setattr(graph, "PART_LINKS", 7)
+    got = {r["node"]: r["rank"] for r in graph.page_rank(edges, 4).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_hops(spark):
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (5, 0)], "src long, dst long")
     assert {r["node"]: r["hops"] for r in graph.hops(edges, 0).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: -1}
@@ -158,9 +258,13 @@ def test_particles_at_one_place_are_one(spark):
 def test_runs_by_range(spark):
     rng = random.Random(3)
     rows = spark.createDataFrame([(k, rng.choice("aab") if k % 9 else None) for k in range(300)], "k long, v string")
-    a = ordering.runs(rows, F.col("v"), ["k"], "g", "p").orderBy("k").collect()
-    b = ordering.runs_by_range(rows, F.col("v"), ["k"], "g", "p").orderBy("k").collect()
-    assert a == b
+    got = [(r["k"], r["g"], r["p"]) for r in ordering.runs_by_range(rows, F.col("v"), ["k"], "g", "p").orderBy("k").collect()]
+    want, group, place, last = [], -1, 0, object()
+    for r in rows.orderBy("k").collect():
+        group, place = (group, place + 1) if r["v"] == last else (group + 1, 0)
+        want.append((r["k"], group, place))
+        last = r["v"]
+    assert got == want
     one = rows.withColumn("v", F.lit("same"))
     assert [r["p"] for r in ordering.runs_by_range(one, F.col("v"), ["k"], "g", "p").orderBy("k").collect()] == list(range(300))
 
@@ -188,6 +292,66 @@ def test_iterate_and_stats(spark):
     assert cut(spark.range(0)).count() == 0
 
 
+def test_loop_goes_on_after_a_failure(spark, tmp_path):
+    """A loop that fails after some steps, run again, begins at the last finished epoch."""
+    snaps, seen = Snapshots(spark, f"file://{tmp_path}/loop"), []
+
+    def step(df, k, fail):
+        seen.append(k)
+        if k == fail:
+            raise RuntimeError("lost")
+        return df.select((F.col("id") + 1).alias("id"))
+
+    with pytest.raises(RuntimeError):
+        iterate(spark.range(3), lambda df, k: step(df, k, 3), 6, snapshots=snaps)
+    out = iterate(spark.range(3), lambda df, k: step(df, k, None), 6, snapshots=Snapshots(spark, f"file://{tmp_path}/loop"))
+    assert seen == [0, 1, 2, 3, 3, 4, 5] and sorted(r["id"] for r in out.collect()) == [6, 7, 8]
+
+
+def test_state_by_shard(spark, tmp_path):
+    """A batch rewrites the shards it touches, and is merged once."""
+    spec = TableSpec(("k",), {"v": acc.SUM}, shards=4, shard=lambda n: by_mod("k", n))
+    start = KeyedTable.of(spec, spark.createDataFrame([(k, 1) for k in range(8)], "k long, v long"))
+    state = ShardedState(spark, f"file://{tmp_path}/state", start)
+    before = state._manifest()["versions"]
+    for _ in range(2):
+        state.merge(spark.createDataFrame([(1, 10), (5, 20), (9, 5)], "k long, v long"), 0)
+    after = state._manifest()["versions"]
+    assert {s for s in before if before[s] != after[s]} == {"1"}
+    assert {r["k"]: r["v"] for r in state.read().collect()} == {0: 1, 1: 11, 2: 1, 3: 1, 4: 1, 5: 21, 6: 1, 7: 1, 9: 5}
+
+
+def test_polite_crawl(spark):
+    """One page of a host in a step, and none too soon after the last."""
+    html = '<a href="/c">c</a>'
+    pages = spark.createDataFrame([(k, f"http://h{k % 2}.com/{'ab'[k // 2]}", html) for k in range(4)], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("h1.com", "/b")], "host string, rule string")
+    seeds = pages.select("url")
+    for steps, gap, want in ((1, 60, {0: 4, 4: 2}), (2, 60, {0: 4, 4: 2}), (3, 60, {0: 2, 4: 3, 5: 1}), (2, None, {4: 3, 5: 1, 6: 2})):
+        state, _, _, times = crawl.crawl(pages, seeds, rules, steps, gap, step_seconds=30)
+        assert {r["status"]: r["count"] for r in state.df.groupBy("status").count().collect()} == want, (steps, gap)
+    assert {r["host"]: r["at"] for r in times.df.collect()} == {"h0.com": 30, "h1.com": 30}
+
+
+def test_shared_folder_is_wanted_off_one_machine():
+    from types import SimpleNamespace
+
+    from shardloom.plans.driver import shared_folder
+
+    session = lambda master, base: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": base}), conf=SimpleNamespace(get=lambda *_: None))
+    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y" and shared_folder(session("local[2]", None)).startswith("file:")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(session("yarn", None))
+
+
+def test_processes(spark):
+    df = spark.range(30_000).select(F.concat(F.lit("line "), "id").alias("v"))
+    got = files.through_process(df, "v", ["tr", "a-z", "A-Z"])
+    assert got.count() == 30_000 and got.where("line like 'LINE %'").count() == 30_000
+    with pytest.raises(Exception, match="ended with"):
+        files.through_process(df, "v", ["false"]).collect()
+
+
 def test_framed_records(spark, tmp_path):
     (tmp_path / "r.bin").write_bytes(files.frame([b"a", b"", b"xyz"]))
     assert [r["payload"] for r in files.framed(spark, str(tmp_path / "r.bin")).orderBy("at").collect()] == [b"a", b"", b"xyz"]
