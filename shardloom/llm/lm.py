@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, work_root
+from .common import crc_mod, crc_sql, work_root
 from .eliasfano import EliasFano, load, lower_bound, pack, save, unpack
 from .words import hashed
 
@@ -552,3 +552,19 @@ def score_texts(docs: DataFrame, meta: dict, id_col: str = "doc_id", text_col: s
 def op5_language_model(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_texts(docs, train(docs, f"{work_root(spark)}/lm"))
+
+
+def lm_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express."""
+    return op5_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+BASE_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, {crc_sql("doc_id::VARCHAR")} % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ' ') AS ws FROM documents),
+t AS MATERIALIZED (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT sum(c)::BIGINT AS total, count(*) AS distinct_tokens FROM c)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, count(c)::BIGINT AS n_known, total AS train_tokens,
+  round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (total + 0.1::DOUBLE * (distinct_tokens + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out, total
+"""

@@ -196,3 +196,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def packing_law(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: documents packed, pieces that do not follow on in their document, and sequences that are too long or have gaps."""
+    rows = materialise(op1_packing(spark, sf_dir), "pack-law")
+    in_document = Window.partitionBy("doc_id").orderBy("start")
+    pieces = rows.withColumn("end", F.col("start") + F.col("length")).withColumn("before", F.coalesce(F.lag("end").over(in_document), F.lit(0)))
+    docs = pieces.groupBy("doc_id").agg(F.count_if(F.col("before") != F.col("start")).alias("cuts"), (F.max("end") - F.max("doc_tokens")).alias("rest"))
+    sums = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    bad = F.count_if((F.col("n") != F.col("end")) | (F.col("n") > WINDOW)).alias("bad_sequences")
+    one = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("cuts") > 0) | (F.col("rest") != 0)).alias("bad_documents"))
+    return one.crossJoin(sums.agg(bad, (F.max("sequence_id") + 1 - F.count(F.lit(1))).alias("missing_sequences")))
+
+
+LAW_SQL = "SELECT count(*)::BIGINT AS n_documents, 0::BIGINT AS bad_documents, 0::BIGINT AS bad_sequences, 0::BIGINT AS missing_sequences FROM documents"

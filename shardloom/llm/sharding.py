@@ -151,3 +151,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
     out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharding_sizes(spark, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: rows and bytes in all, whether each shard's slots are gapless, and whether each shard is near its share.
+
+    A shard may be off by its two splitters, each by the tolerance or by the longest row.
+    """
+    rows = op9_sharding(spark, sf_dir)
+    shards = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("longest"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+    whole = shards.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("n_bytes"), F.max("longest").alias("longest"), F.count_if((F.col("first") != 0) | (F.col("last") != F.col("n") - 1)).alias("gaps"), F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+    share = F.col("n_bytes") / 16
+    slack = 2 * (TOLERANCE * share + F.col("longest"))
+    return whole.select("n_rows", "n_bytes", "gaps", ((F.col("least") >= share - slack) & (F.col("most") <= share + slack)).alias("near_share"))
+
+
+SIZES_SQL = "SELECT count(*)::BIGINT AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS n_bytes, 0::BIGINT AS gaps, true AS near_share FROM documents"

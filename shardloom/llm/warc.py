@@ -236,3 +236,14 @@ def read_record(bundle: str, frame: int, offset: int) -> tuple[dict, bytes]:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{work_root(spark)}/warc")
     return read_archives(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Base32 of a digest in hexadecimal digits: 40 bits are eight characters.
+_BASE32 = f"list_aggregate(list_transform(range(0, 32), lambda i: substr('{_ALPHABET}', ((('0x' || substr(h, (i // 8 * 10 + 1)::INT, 10))::BIGINT >> (35 - i % 8 * 5)::INT) & 31)::INT + 1, 1)), 'string_agg', '')"
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p
+"""
