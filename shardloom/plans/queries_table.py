@@ -344,7 +344,21 @@ def domain_shard(spark, d):
     return counts.groupBy("domain").agg(F.sum("n").alias("pages"), F.count("shard").alias("shards"), F.min(F.col("shard").between(0, 15)).alias("inside"))
 
 
-@_q.add("superfasthash")
+_M = 0xFFFFFFFF
+#: The compatible hash of ASCII texts: rounds over pairs of 16-bit halves, the rest by its length, three last rounds.
+_HASH = f"""WITH b AS (SELECT c_custkey, list_transform(string_split(c_name, ''), lambda x: ord(x)::BIGINT) AS b FROM customer),
+r AS (SELECT c_custkey, b, len(b) AS n, len(b) % 4 AS rest, list_reduce(list_prepend(len(b)::BIGINT, list_transform(range(0, len(b) // 4), lambda k: b[4 * k + 1] + b[4 * k + 2] * 256 + b[4 * k + 3] * 65536 + b[4 * k + 4] * 16777216)),
+  lambda h, v: list_reduce([h, 0, 1, 2]::BIGINT[], lambda x, k: CASE k WHEN 0 THEN (x + (v & 65535)) & {_M} WHEN 1 THEN xor((x << 16) & {_M}, xor(((v >> 16) << 11) & {_M}, x)) ELSE (x + (x >> 11)) & {_M} END)) AS h FROM b),
+t AS (SELECT c_custkey, list_reduce([h, 0, 1, 2]::BIGINT[], lambda x, k: CASE
+  WHEN rest = 0 THEN x
+  WHEN k = 0 THEN (x + CASE WHEN rest = 1 THEN b[n] ELSE b[n - rest + 1] + b[n - rest + 2] * 256 END) & {_M}
+  WHEN k = 1 THEN xor(xor(x, (x << [10, 11, 16][rest]) & {_M}), CASE WHEN rest = 3 THEN b[n] * 262144 ELSE 0 END)
+  ELSE (x + (x >> [1, 17, 11][rest])) & {_M} END) AS h FROM r),
+f AS (SELECT c_custkey, list_reduce([h, 0, 1, 2, 3, 4, 5]::BIGINT[], lambda x, k: CASE WHEN k % 2 = 0 THEN xor(x, (x << [3, 4, 25][k // 2 + 1]) & {_M}) ELSE (x + (x >> [5, 17, 6][k // 2 + 1])) & {_M} END) AS h FROM t)
+SELECT c_custkey, (h % 8)::INT AS shard FROM f"""
+
+
+@_q.add("superfasthash", _HASH)
 def superfasthash(spark, d):
     return table(spark, d, "customer").select("c_custkey", by_string_hash(F.col("c_name"), 8).alias("shard"))
 

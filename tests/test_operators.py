@@ -390,3 +390,27 @@ def test_file_helpers(spark, tmp_path):
     files.write_records(spark.range(4).withColumn("p", F.col("id") % 2), f"{tmp_path}/out", "overwrite", "zstd", "p")
     assert files.records(spark, f"{tmp_path}/out").where("p = 1").count() == 2
     assert files.strided(spark, 5, 2).where("shard = 1").count() == 2
+
+
+def test_training_equals_a_plain_epoch(spark):
+    """Gradients summed by tasks change the weights as a loop over rows does."""
+    rng = np.random.default_rng(3)
+    x, t = rng.random((40, 3)), rng.random(40)
+    w1, w2 = rng.standard_normal((4, 5)), rng.standard_normal((6, 1))
+    df = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, t, strict=True)], "x array<double>, t double").repartition(3)
+    momentum = [np.full_like(w1, 0.1), np.full_like(w2, -0.2)]
+    got, change, error = learning.train_epoch(df, "x", "t", [w1, w2], momentum, eta=0.5, alpha=0.2)
+    g1, g2, total = np.zeros_like(w1), np.zeros_like(w2), 0.0
+    for a, b in zip(x, t, strict=True):
+        a = np.append(1.0, a)
+        h = 1 / (1 + np.exp(-(a @ w1)))
+        hb = np.append(1.0, h)
+        o = float(1 / (1 + np.exp(-(hb @ w2)))[0])
+        d = o * (1 - o) * (b - o)
+        g2[:, 0] += d * hb
+        for j in range(5):
+            g1[:, j] += d * w2[j + 1, 0] * h[j] * (1 - h[j]) * a
+        total += 0.5 * (b - o) ** 2
+    want = [0.5 * g / 40 + 0.2 * m for g, m in zip((g1, g2), momentum, strict=True)]
+    assert all(np.allclose(c, v) for c, v in zip(change, want, strict=True)) and abs(error - total / 40) < 1e-12
+    assert np.allclose(got[0], w1 + want[0]) and np.allclose(got[1], w2 + want[1])
