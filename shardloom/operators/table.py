@@ -124,6 +124,10 @@ class KeyedTable:
         """Without the rows of some shards, or empty."""
         return self._with(self.df.where(~self.spec.shard_column().isin(list(shards))) if shards else self.df.limit(0))
 
+    def resized(self, shards: int) -> KeyedTable:
+        """The same rows, dealt to another number of shards."""
+        return replace(self, spec=replace(self.spec, shards=shards))
+
     # maps
     def pmap(self, values: Mapping[str, Column], bind: Mapping[str, KeyedTable] | None = None) -> KeyedTable:
         """New values by expressions; other tables' values of the same key are columns '<name>_<value>', and keys they lack are an error of the caller, so they are left out."""
@@ -167,6 +171,12 @@ class Registry(dict):
         table.df.createOrReplaceTempView(table.name)
         return table
 
+    def swap(self, a: str, b: str) -> None:
+        """Exchange the contents of two tables; readers of a version that they hold are not disturbed."""
+        one, other = self[a], self[b]
+        self.set(replace(other, name=a))
+        self.set(replace(one, name=b))
+
     def set(self, table: KeyedTable) -> KeyedTable:
         self[table.name] = table
         table.df.createOrReplaceTempView(table.name)

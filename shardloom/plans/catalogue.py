@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_flow, queries_table, queries_text
+from . import queries_flow, queries_source, queries_table, queries_text
 
-QUERIES: dict = {**queries_table.QUERIES, **queries_flow.QUERIES, **queries_text.QUERIES}
-ORACLES: dict = {**queries_table.ORACLES, **queries_flow.ORACLES, **queries_text.ORACLES}
+_MODULES = (queries_table, queries_flow, queries_text, queries_source)
+QUERIES: dict = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -9,6 +9,7 @@ import threading
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,33 @@ def framed(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "file string, at long, payload binary")
 
 
+def write_framed(df: DataFrame, path: str) -> int:
+    """Write the payload column as length-prefixed records, a new file for each task that has rows; returns their number."""
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        out, n = None, 0
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                if payload is not None:
+                    if out is None:
+                        store.create_dir(folder, recursive=True)
+                        name = f"{folder}/{uuid.uuid4().hex}"
+                        out = store.open_output_stream(f"{name}.part")
+                    out.write(struct.pack("<i", len(payload)) + payload)
+                    n += 1
+        if out is not None:
+            out.close()
+            store.move(f"{name}.part", f"{name}.bin")  # whole files only
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([f"{name}.bin"])], names=["n", "file"])
+
+    return int(df.select("payload").mapInArrow(run, "n long, file string").agg(F.sum("n")).first()[0] or 0)
+
+
 def frame(payloads: list[bytes]) -> bytes:
     return b"".join(struct.pack("<i", len(p)) + p for p in payloads)
 
