@@ -171,8 +171,9 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
 
     Defined cases: a null payload is the empty payload; a null id is never the one
     referred to (a group with null ids only has responses only); rows that repeat id
-    and payload are alike; a null url becomes urn:page:<id>; an empty table writes no
-    bundle; other columns are ignored.
+    and payload are alike: all of the smallest id are responses; a payload of any length is
+    one record in a frame that is as long as it needs; a null url becomes urn:page:<id>; an
+    empty table writes no bundle; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("body"))
     keys = rows.select("id", F.sha1("body").alias("sha"), F.octet_length("body").alias("n")).where(F.col("n") >= revisit_bytes)

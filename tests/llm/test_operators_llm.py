@@ -550,6 +550,14 @@ def test_archives(spark, tmp_path):
     assert rows_url and warc.read_archives(warc.write_archives(pages.limit(0), f"file://{tmp_path}/e")).count() == 0
 
 
+def test_archives_of_odd_pages(spark, tmp_path):
+    """Clashing columns, a very long payload, ties and repeated rows."""
+    rows = [(3, "u", "same"), (1, "u", "same"), (1, "u", "same"), (2, "v", "x" * 3_000_000), (7, None, None), (6, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("id", "body", "sha", "first", "back", "n", "bundle", "frame", "payload", "bytes")})
+    got = warc.read_archives(warc.write_archives(pages.repartition(2), f"file://{tmp_path}/w")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == [(1, 4, "response", None), (1, 4, "response", None), (2, 3_000_000, "response", None), (3, 4, "revisit", 1), (6, 0, "response", None), (7, 0, "revisit", 6)]
+
+
 def test_frames_and_bundles(tmp_path):
     out = warc.BundleWriter(f"file://{tmp_path}", frame_bytes=2000, bundle_bytes=3000)
     rows = []
