@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = labels.where(F.col(label_col).isin(0, 1) & (crc_mod(id_col, 3) != 1) & F.col(id_col).isNotNull())
     picked = picked.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("i"), "i", "y").limit(rows)
     sample = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), F.col("d") == F.col("i")).select("y", "t")
-    sample = bounded(materialise(sample, "toxic-sample"), rows, "toxic-sample")
+    sample = bounded(materialise(folded(sample), "toxic-sample"), rows, "toxic-sample")
 
     sizes = {int(r["y"]): int(r["n"]) for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -182,6 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Lexicon(tuple(entries), exceptions, bias, (float(slopes[0]), float(slopes[1])))
 
 
+def folded(sample: DataFrame) -> DataFrame:
+    """(y, t) with t folded, once for all passes over the sample."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold(t.as_py() or "") for t in batch.column(1)], pa.string())], names=["y", "t"])
+
+    return sample.select("y", "t").mapInArrow(run, "y int, t string")
+
+
 def _merged(texts: DataFrame) -> tuple[list[str], np.ndarray, int]:
     """(candidates that two toxic texts hold with LEAST odds, clean texts that hold each, clean texts).
 
@@ -194,13 +204,13 @@ def _merged(texts: DataFrame) -> tuple[list[str], np.ndarray, int]:
         toxic, clean = {}, Counter()
         for batch in batches:
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = t.as_py() or ""
+                text = t.as_py()
                 if not y:
-                    clean.update(_candidates(fold(text)))
+                    clean.update(_candidates(text))
                     continue
                 h = hashlib.blake2b(text.encode(), digest_size=10).digest()
                 a, b = int.from_bytes(h[:5]), int.from_bytes(h[5:])
-                for c in _candidates(fold(text)):
+                for c in _candidates(text):
                     p, u, v = toxic.get(c, (0, 0, 0))
                     toxic[c] = (p + 1, u + a, v + b)
         # a candidate is judged where toxic texts have it
@@ -226,7 +236,7 @@ def _held(texts: DataFrame, names: list[str]) -> list[np.ndarray]:
     def run(batches):
         place = {c: k for k, c in enumerate(names)}
         for batch in batches:
-            held = [np.array(sorted(place[c] for c in _candidates(fold(t.as_py() or "")) if c in place), np.int32).tobytes() for t in batch.column(0)]
+            held = [np.array(sorted(place[c] for c in _candidates(t.as_py()) if c in place), np.int32).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["held"])
 
     got = texts.where("y = 1").select("t").mapInArrow(run, "held binary").collect()
@@ -241,12 +251,12 @@ def _exceptions(sample: DataFrame, entries: list[tuple[str, float]]) -> tuple[st
         counts: tuple[Counter, Counter] = Counter(), Counter()
         for batch in batches:
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                folded = fold(t.as_py() or "")
+                text = t.as_py()
                 around = set()
-                for a, _ in matches(folded, entries):
-                    end = folded.index(" ", a + 1)
-                    after, before = folded.find(" ", end + 1), folded.rfind(" ", 0, a)
-                    around |= {folded[a : end + 1]} | ({folded[a : after + 1]} if after > 0 else set()) | ({folded[before : end + 1]} if before >= 0 else set())
+                for a, _ in matches(text, entries):
+                    end = text.index(" ", a + 1)
+                    after, before = text.find(" ", end + 1), text.rfind(" ", 0, a)
+                    around |= {text[a : end + 1]} | ({text[a : after + 1]} if after > 0 else set()) | ({text[before : end + 1]} if before >= 0 else set())
                 counts[y].update(around)
         for y, own in enumerate(counts):
             keys = list(own)
@@ -266,9 +276,9 @@ def _incidence(sample: DataFrame, entries: list[tuple[str, float]], exceptions:
         for batch in batches:
             rows = []
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                folded = fold(t.as_py() or "")
-                ks = Counter(k for _, k in matches(folded, entries, exceptions))
-                rows.append((y, folded.count(" ") - 1, list(ks), list(ks.values())))
+                text = t.as_py()
+                ks = Counter(k for _, k in matches(text, entries, exceptions))
+                rows.append((y, text.count(" ") - 1, list(ks), list(ks.values())))
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, types, strict=True)], names=["y", "words", "k", "n"])
 
