@@ -15,20 +15,23 @@ DAMPING, RESTART, FAR = 0.8, 0.2, 1000
 PART_LINKS = 100_000
 
 
-def page_rank(edges: DataFrame, steps: int, src: str = "src", dst: str = "dst", every: int = 4) -> DataFrame:
+def page_rank(edges: DataFrame, steps: int, src: str = "src", dst: str = "dst", every: int = 4, pages: int | None = None) -> DataFrame:
     """(node, rank) after so many steps; repeated links count each time.
 
     A step gives every page RESTART and every link's target its part of the source's rank. The
     state begins empty, so the first step gives RESTART everywhere. Links are weighted once and
     kept dealt by their source, so a step joins them where they are and only the sums move. Links of
     a page with very many are dealt in parts by their target, and its rank is sent to all of them.
+    With pages the table is dense: it holds 0 to pages - 1, also those without links, which all get
+    RESTART; else it holds the pages that link.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = edges.groupBy(src, dst).agg(F.count(F.lit(1)).alias("times"))
     degree = cut(counted.groupBy(src).agg(F.sum("times").alias("degree"), F.ceil(F.count(F.lit(1)) / PART_LINKS).cast("int").alias("parts")), "degree")
     links = counted.join(degree, src).select(F.col(src).alias("src"), F.pmod(F.xxhash64(dst), "parts").cast("int").alias("part"), F.col(dst).alias("dst"), (F.col("times") * DAMPING / F.col("degree")).alias("share"))
     links = cut(links, "links").repartition(n, "src", "part").persist()
-    restart = degree.select(F.col(src).alias("node"), F.lit(RESTART).alias("rank"))
+    nodes = degree.select(F.col(src).alias("node")) if pages is None else edges.sparkSession.range(pages).select(F.col("id").alias("node"))
+    restart = nodes.select("node", F.lit(RESTART).alias("rank"))
     heavy = degree.where("parts > 1").select(F.col(src).alias("node"), "parts")  # one for each PART_LINKS links at most
     split = not heavy.isEmpty()
 
