@@ -57,10 +57,6 @@ def ranked_in_buckets(df: DataFrame, bucket: Column, *order: str) -> DataFrame:
     return dealt.withColumn("_own", own).join(counts, ["bucket", "_p"]).select("bucket", *df.columns, (F.col("_own") + F.col("_before")).cast("long").alias("rank"))
 
 
-def global_sort(df: DataFrame, *order: str) -> DataFrame:
-    return df.orderBy(*order)
-
-
 #: Fixed values of the public integer-sort benchmark: multiplier, seed, modulus 2^MODULUS, bits of a bucket.
 MULTIPLIER, SEED, MODULUS, BUCKET_BITS = 5**13, 314159625, 47, 16
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import block_place, block_start, log_bucket, scale_to
+from ..functions.numeric import log_bucket, scale_to, tile_of
 from ..operators import accumulators as acc
 from ..operators import dense, joins
 from ..operators.sharding import by_domain, by_mod, by_string_hash, longest_first
@@ -295,9 +295,10 @@ def trace_frame(spark, d):
     return render.trace_frame(spark, 48, 64, 16, _SPHERES)
 
 
-@_q.add("dense_tiles", "SELECT p_partkey - p_partkey % 32 AS tile_a, p_size - p_size % 8 AS tile_b, count(*)::BIGINT AS n, sum((p_partkey % 32) * 8 + p_size % 8)::BIGINT AS places FROM part GROUP BY 1, 2")
+@_q.add("dense_tiles", "SELECT p_partkey - p_partkey % 16 AS tile_a, p_size - p_size % 16 AS tile_b, count(*)::BIGINT AS n, sum((p_partkey % 16) * 16 + p_size % 16)::BIGINT AS places FROM part GROUP BY 1, 2")
 def dense_tiles(spark, d):
-    rows = table(spark, d, "part").select(block_start(F.col("p_partkey"), 32).alias("tile_a"), block_start(F.col("p_size"), 8).alias("tile_b"), (block_place(F.col("p_partkey"), 32) * 8 + block_place(F.col("p_size"), 8)).alias("p"))
+    a, b, place = tile_of(F.col("p_partkey"), F.col("p_size"), 16)
+    rows = table(spark, d, "part").select(a.alias("tile_a"), b.alias("tile_b"), place.alias("p"))
     return rows.groupBy("tile_a", "tile_b").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("places"))
 
 

@@ -40,6 +40,18 @@ def test_log_bucket(spark, v, want):
     assert col(spark, v, numeric.log_bucket, "double") == want
 
 
+@pytest.mark.parametrize("v", [2e-9, 1e-6, 0.5, 77.0])
+def test_bucket_value_and_bar(spark, v):
+    """A value lies between the beginnings of its bucket and the next but one; bars are parts of the width."""
+    row = spark.createDataFrame([(v,)], "v double").select(numeric.bucket_value(numeric.log_bucket(F.col("v"))), numeric.bucket_value(numeric.log_bucket(F.col("v")) + 2), numeric.bar_length(F.lit(3), F.lit(4))).first()
+    assert row[0] - 2e-9 <= v * 1.1 and v <= row[1] and row[2] == 60
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0, 6.0])], "k int, v array<double>")
+    assert {r["k"]: r["total"] for r in acc.vectors(acc.vector_sum(df, ["k"], "v"), ["k"]).collect()} == {1: [4.0, 6.0], 2: [5.0, 6.0]}
+
+
 @pytest.mark.parametrize("h,want", [("www.foo.co.uk", "foo.co.uk"), ("a.www.foo.com", "foo.com"), ("a.b.c.ck", "b.c.ck"), ("localhost", "localhost"), ("foo.com", "foo.com")])
 def test_registered_domain(spark, h, want):
     assert col(spark, h, lambda v: text.registered_domain(v, ["com", "co.uk", "*.ck"])) == want
