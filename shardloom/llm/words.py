@@ -112,18 +112,3 @@ def hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
         yield row, *hash_words(data[at[row] : at[end]], at[row:end] - at[row])
         row = end
-
-
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, starts of the texts in them) of about CHUNK bytes; a longer text comes in several parts."""
-    data, at = columns_bytes(texts)
-    row = 0
-    while row < len(texts):
-        if at[row + 1] - at[row] > CHUNK:
-            for part in _parts(data[at[row] : at[row + 1]]):
-                yield row, part, np.zeros(1, np.int64)
-            row += 1
-            continue
-        end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
-        yield row, data[at[row] : at[end]], at[row:end] - at[row]
-        row = end

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import catalogue, components, decontaminate, eliasfano, langid, lm, neardup, packing, quality_model, quality_rules, sharding, toxicity, warc, words
 
-from .conftest import SCHEMA, odd_rows, sentence
+from .conftest import odd_rows, sentence
 
 DATA = "/root/testdata/sf0.001"
 
