@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import joins, ordering
 from ..operators.accumulators import COUNT, MAX, SUM
 from ..operators.table import KeyedTable, TableSpec
-from ..sources.files import lines_of
+from ..sources.files import lines_of, spread
 from . import crawl as C
 from .registry import Queries, table
 
@@ -27,7 +27,7 @@ FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP
 )
 def wordcount(spark, d):
     # raw tokens are counted first, so white space is stripped from the distinct ones only
-    tokens = lines_of(table(spark, d, "documents"), "text").select(F.explode(F.split("line", " ")).alias("token"))
+    tokens = lines_of(spread(table(spark, d, "documents").select("text")), "text").select(F.explode(F.split("line", " ")).alias("token"))
     raw = KeyedTable.of(TableSpec(("token",), {"n": COUNT}), tokens.withColumn("n", F.lit(1)))
     words = raw.df.select(T.strip(F.col("token")).alias("word"), "n")
     return KeyedTable.of(TableSpec(("word",), {"n": SUM}), words).df.where("n > 50")
