@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.driver import scratch
+from ..sources.files import spread
 
 
 def work_root(spark: SparkSession) -> str:
@@ -63,6 +64,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, read by all cores also where they are one row group."""
+    return spread(read_table(spark, sf_dir, "documents"))
+
+
 def split_fs(url: str):
     """(pyarrow file system, path in it) of a folder URL; works on every worker."""
     from pyarrow import fs

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise
+from .common import documents, let, materialise
 
 #: Fixed values of the task: word pattern and window.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,7 +136,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("longest")
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("longest")
 
 
 def _sql_words(table: str, key: str) -> str:

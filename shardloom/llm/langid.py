@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, documents
 from .words import columns_bytes
 
 #: At most so many labelled rows are learned from (one of each language, if there are more languages), by stretches drawn from all of a row's text.
@@ -292,5 +292,5 @@ def identify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return identify(docs, train(docs))

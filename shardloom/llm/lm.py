@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, crc_sql, work_root
+from .common import crc_mod, crc_sql, documents, work_root
 from .eliasfano import EliasFano, load, lower_bound, pack, save, unpack
 from .words import hashed
 
@@ -550,7 +550,7 @@ def score_texts(docs: DataFrame, meta: dict, id_col: str = "doc_id", text_col: s
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return score_texts(docs, train(docs, f"{work_root(spark)}/lm"))
 
 
@@ -560,7 +560,8 @@ def lm_base(spark, sf_dir: str) -> DataFrame:
 
 
 BASE_SQL = rf"""
-WITH d AS MATERIALIZED (SELECT doc_id, {crc_sql("doc_id::VARCHAR")} % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ' ') AS ws FROM documents),
+WITH d AS MATERIALIZED (SELECT doc_id, {crc_sql("doc_id::VARCHAR")} % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), ' ') AS ws FROM documents),
 t AS MATERIALIZED (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
 c AS MATERIALIZED (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
 n AS (SELECT sum(c)::BIGINT AS total, count(*) AS distinct_tokens FROM c)

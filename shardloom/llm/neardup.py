@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized
+from .common import documents, materialise, sized
 from .components import components
 from .words import hashed, mix
 
@@ -343,13 +343,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All pairs that share a shingle; for small tables.
 ORACLE_SQL = rf"""
-WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-]+') AS ws FROM documents),
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-
+]+') AS ws FROM documents),
 g AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(ws[i : i + least({SHINGLE}, len(ws)) - 1], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least({SHINGLE}, len(ws)) + 2)) AS i FROM w WHERE len(ws) > 0)),
 n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 c AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),

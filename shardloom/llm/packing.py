@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import documents, materialise
 
 WINDOW = 1024
 #: Vocabulary files by name in public_tokenizers, or paths: the tokenizer and the same vocabulary as ranks.
@@ -195,7 +195,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(documents(spark, sf_dir))
 
 
 def packing_law(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, let
+from .common import crc_mod, documents, let
 from .quality_rules import ratios, statistics, words_of
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
@@ -180,5 +180,5 @@ def score_column(text: Column, model: RuleModel) -> Column:
 
 
 def op6_quality_model(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return score_quality(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

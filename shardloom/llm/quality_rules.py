@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import documents, let
 
 #: Frequent function words of four languages.
 STOP_WORDS = (
@@ -152,7 +152,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return quality_rules(documents(spark, sf_dir))
 
 
 #: The ratios of `ratios` in SQL.

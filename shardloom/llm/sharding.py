@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import documents, materialise
 
 #: Probes of one interval and round.
 BITS = 12
@@ -149,7 +149,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
-    out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = shard_documents(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

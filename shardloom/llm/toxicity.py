@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, crc_mod, materialise
+from .common import bounded, crc_mod, documents, materialise
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
@@ -307,5 +307,5 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
