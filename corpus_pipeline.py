@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import decontaminate, neardup, packing, quality_model, quality_rules
-from shardloom.llm.common import materialise, read_table, sized
+from shardloom.llm.common import documents, materialise, read_table, sized
 
 LEAST_QUALITY = 0.3
 #: The general rule for near-duplicate stages, in hundredths.
@@ -76,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
