@@ -338,7 +338,7 @@ _NO_CUTS = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 def _merged(blocks: DataFrame, segments: list[int], build) -> dict[int, dict]:
     """Blocks by segment, each summed and handed to build(segment, keys, counts) -> (n, total, file, cuts); empty segments too."""
     every = blocks.sparkSession.range(segments[0], segments[-1] + 1).select(F.col("id").cast("int").alias("segment"), F.lit(None).cast("binary").alias("block"))
-    dealt = blocks.unionByName(every).repartition(len(segments), "segment").sortWithinPartitions("segment")
+    dealt = blocks.unionByName(every).repartitionById(len(segments), F.col("segment") - segments[0])
 
     def run(batches):
         now, parts = None, []
