@@ -284,7 +284,9 @@ def _block_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, percent
 
 
 def _joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, comp) of all nodes after joining the components (id, comp) in nodes by links between them."""
+    """(id, comp) of all nodes after joining the components (id, comp) in nodes by links, written, between them."""
+    if links.isEmpty():
+        return nodes
     comp = nodes.select("id", "comp")
     ends = links.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
     roots = components(ends, "ca", "cb")
@@ -323,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = materialise(nodes.select("id", F.col("id").alias("comp")).distinct(), "near-comps")
     if not several.isEmpty():  # the classes of one id's texts are one component
         reps = real.join(several, "id", "left_semi").select("id", "fp").distinct().join(classes, "fp").select("id", "rep")
-        comps = _joined(comps, reps.join(reps.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")))
+        comps = _joined(comps, materialise(reps.join(reps.groupBy("id").agg(F.min("rep").alias("a")), "id").select("a", F.col("rep").alias("b")), "near-same-id"))
     # members with the smallest of their hubs; then with all hubs in other components; then within buckets
     pairs = members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     comps = _joined(comps, _verified(_similar(pairs, nodes, least), texts, percent, size))
