@@ -8,6 +8,7 @@ scored in the scan's stage without user functions.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, documents, let
-from .quality_rules import ratios, statistics, words_of
+from .quality_rules import MADE_OF, ratios, statistics, words_of
 
 #: At most so many labelled rows are learned from, those with the smallest hash of their id.
 SAMPLE_ROWS = 6000
@@ -23,33 +24,34 @@ TREES, DEPTH, SEED = 40, 3, 7
 PENALTY = 0.002
 
 
-def features(text: Column) -> Column:
-    """Struct of the model's statistics, all finite doubles."""
+FEATURES = ("n_words", "mean_word_length", "symbol_ratio", "caps_ratio", "stop_word_ratio", "dup_line_ratio", "mean_line_words", "repeat_ratio", "distinct_ratio", "shout_ratio", "number_ratio", "bar_ratio")
+#: Counts beside those of the rules' statistics, per word.
+MORE = {"distinct_ratio": "distinct", "shout_ratio": "shouts", "number_ratio": "numbers", "bar_ratio": "bars"}
+
+
+def features(text: Column, names: Collection[str] = FEATURES) -> Column:
+    """Struct of the model's statistics of these names, all finite doubles; nothing else is counted."""
     text = F.coalesce(text, F.lit(""))
+    names = [n for n in FEATURES if n in names]
+    only = {"n_words", *(c for n in names for c in MADE_OF.get(n, ()))}
 
     def of(words: Column) -> Column:
-        more = F.struct(
-            F.size(F.array_distinct(words)).alias("distinct"),
-            F.regexp_count(text, F.lit("[!?]{2,}")).alias("shouts"),
-            F.regexp_count(text, F.lit("[0-9]+")).alias("numbers"),
-            F.regexp_count(text, F.lit(r"\|")).alias("bars"),
-        )
-        return let(
-            F.struct(statistics(text).alias("s"), more.alias("m")),
-            lambda r: let(F.greatest(r["s"]["n_words"], F.lit(1)).cast("double"), lambda n: _named(r, n)),
-        )
+        counts = {
+            "distinct": lambda: F.size(F.array_distinct(words)),
+            "shouts": lambda: F.regexp_count(text, F.lit("[!?]{2,}")),
+            "numbers": lambda: F.regexp_count(text, F.lit("[0-9]+")),
+            "bars": lambda: F.regexp_count(text, F.lit(r"\|")),
+        }
+        more = [counts[c]().alias(c) for n, c in MORE.items() if n in names]
+        return let(F.struct(statistics(text, only=only, words=words).alias("s"), *more), lambda r: let(F.greatest(r["s"]["n_words"], F.lit(1)).cast("double"), lambda n: named(r, n)))
+
+    def named(r: Column, n: Column) -> Column:
+        parts = ratios(r["s"]) | {"n_words": F.log1p(r["s"]["n_words"].cast("double"))} | {k: r[c] / n for k, c in MORE.items() if k in names}
+        return F.struct(*[parts[k].cast("double").alias(k) for k in names])
 
     return let(words_of(text), of)
 
 
-def _named(r: Column, n: Column) -> Column:
-    parts = ratios(r["s"])
-    parts["n_words"] = F.log1p(r["s"]["n_words"].cast("double"))
-    parts |= {"distinct_ratio": r["m"]["distinct"] / n, "shout_ratio": r["m"]["shouts"] / n, "number_ratio": r["m"]["numbers"] / n, "bar_ratio": r["m"]["bars"] / n}
-    return F.struct(*[v.cast("double").alias(k) for k, v in parts.items()])
-
-
-FEATURES = ("n_words", "mean_word_length", "symbol_ratio", "caps_ratio", "stop_word_ratio", "dup_line_ratio", "mean_line_words", "repeat_ratio", "distinct_ratio", "shout_ratio", "number_ratio", "bar_ratio")
 #: A condition is (feature number, True for <=, threshold); a rule is a tuple of them.
 Rule = tuple[tuple[int, bool, float], ...]
 
@@ -176,7 +178,9 @@ def score_quality(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", tex
 
 
 def score_column(text: Column, model: RuleModel) -> Column:
-    return let(features(text), model.column)
+    """The score of a text; statistics that no rule of the model asks for are not computed."""
+    used = {FEATURES[k] for rule in model.rules for k, _, _ in rule}
+    return let(features(text, used or {"n_words"}), model.column)
 
 
 def op6_quality_model(spark, sf_dir: str) -> DataFrame:

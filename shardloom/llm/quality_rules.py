@@ -6,6 +6,7 @@ so the projection runs inside the scan's stage and moves no rows.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,35 +68,48 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(grams, count))
 
 
-def statistics(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
-    """Struct of counts and ratios of one text; null and empty texts have all counts 0."""
+#: Counts of `statistics`, and those that each ratio of `ratios` is made of.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_stop_words")
+MADE_OF = {
+    "n_words": ("n_words",),
+    "mean_word_length": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "word_chars"),
+    "caps_ratio": ("n_caps", "n_words"),
+    "stop_word_ratio": ("n_stop_words", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "mean_line_words": ("n_words", "n_lines"),
+    "repeat_ratio": ("n_repeat_words", "n_words"),
+}
+
+
+def statistics(text: Column, stop_words: list[str] = STOP_WORDS, only: Collection[str] = COUNTS, words: Column | None = None) -> Column:
+    """Struct of counts of one text (COUNTS); null and empty texts have all counts 0, as have counts that are not among only.
+
+    words: words_of the text, where they are there already.
+    """
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+    if not {"n_lines", "n_dup_lines"} & set(only):
+        lines = F.array().cast("array<string>")
 
     def of(words: Column) -> Column:
-        return let(
-            F.struct(
-                F.size(words).cast("long").alias("n_words"),
-                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-                F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-                let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
-                repeat_words(words).cast("long").alias("n_repeat_words"),
-                F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]{2,}")).cast("long").alias("n_caps"),
-                F.size(F.filter(words, lambda w: F.lower(w).isin(stop_words))).cast("long").alias("n_stop_words"),
-            ),
-            lambda s: F.struct(
-                s["n_words"].alias("n_words"),
-                s["word_chars"].alias("word_chars"),
-                s["n_symbols"].alias("n_symbols"),
-                s["lines"]["dup"].alias("n_dup_lines"),
-                s["n_repeat_words"].alias("n_repeat_words"),
-                s["lines"]["n"].alias("n_lines"),
-                s["n_caps"].alias("n_caps"),
-                s["n_stop_words"].alias("n_stop_words"),
-            ),
-        )
-
-    return let(words_of(text), of)
+        counts = {
+            "n_words": lambda: F.size(words),
+            "word_chars": lambda: F.length(F.array_join(words, "")),
+            "n_symbols": lambda: F.regexp_count(text, F.lit("[#*$%&|<>]")),
+            "n_repeat_words": lambda: repeat_words(words),
+            "n_caps": lambda: F.regexp_count(text, F.lit("[A-ZÀ-ÖØ-Þ]{2,}")),
+            "n_stop_words": lambda: F.size(F.filter(words, lambda w: F.lower(w).isin(stop_words))),
+        }
+        own = {name: (make() if name in only else F.lit(0)).cast("long") for name, make in counts.items()}
+
+        def with_lines(x: Column) -> Column:
+            every = own | {"n_lines": F.size(x).cast("long"), "n_dup_lines": (F.size(x) - F.size(F.array_distinct(x))).cast("long")}
+            return F.struct(*[every[name].alias(name) for name in COUNTS])
+
+        return let(lines, with_lines)
+
+    return let(words_of(text), of) if words is None else of(words)
 
 
 def ratios(s: Column) -> dict[str, Column]:
@@ -143,7 +157,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         row,
         lambda r: F.struct(
             r["id"].alias(id_col),
-            *[r["s"][n].alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_stop_words")],
+            *[r["s"][n].alias(n) for n in COUNTS],
             base_failed(r["s"]).alias("base_failed"),
             (~base_failed(r["s"]) & verdict(r["s"], thresholds)).alias("kept"),
         ),
