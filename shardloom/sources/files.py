@@ -23,16 +23,16 @@ def lines_of(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.split(text, "\n")).alias("line"))
 
 
-#: Parts with rows from which on a table is left as its files are.
-ENOUGH_PARTS = 16
+#: A table of more bytes than this is left as its files are.
+SPREAD_BYTES = 256 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores if its scan has fewer parts with rows than that: a table whose file is one
-    row group is else read by one task. A table of ENOUGH_PARTS parts or more does not move."""
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, ENOUGH_PARTS)
-    if df.rdd.getNumPartitions() > 4 * ENOUGH_PARTS:
+    """df, dealt to all cores if it is small and its scan has fewer parts with rows than there are cores:
+    a table whose file is one row group is else read by one task."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
         return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
     filled = df.select(F.spark_partition_id().alias("part")).distinct().count()
     return df.repartition(cores) if filled < cores else df
 

@@ -426,3 +426,13 @@ def test_training_equals_a_plain_epoch(spark):
     want = [0.5 * g / 40 + 0.2 * m for g, m in zip((g1, g2), momentum, strict=True)]
     assert all(np.allclose(c, v) for c, v in zip(change, want, strict=True)) and abs(error - total / 40) < 1e-12
     assert np.allclose(got[0], w1 + want[0]) and np.allclose(got[1], w2 + want[1])
+
+
+def test_spread(spark, monkeypatch):
+    """A small table of one row group is dealt to all cores with all its rows; a larger one stays where it is."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    parts = lambda d: d.select(F.spark_partition_id()).distinct().count()
+    got = files.spread(df)
+    assert parts(df) == 1 and parts(got) == spark.sparkContext.defaultParallelism and sorted(got.collect()) == sorted(df.collect())
+    monkeypatch.setattr(files, "SPREAD_BYTES", 10)
+    assert parts(files.spread(df)) == 1
