@@ -30,7 +30,7 @@ SPREAD_BYTES = 256 << 20
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores if it is small and its scan has fewer parts with rows than there are cores:
     a table whose file is one row group is else read by one task."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     filled = df.select(F.spark_partition_id().alias("part")).distinct().count()
