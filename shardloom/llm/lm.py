@@ -36,6 +36,8 @@ SMOOTH = 1.0
 PIECE_BYTES, MOST, TASK_ENTRIES = 24 << 20, 1 << 18, 1 << 21
 #: Text bytes of a token, to turn bytes into tokens; bytes of files that a worker keeps where they cannot be mapped.
 TOKEN_BYTES, KEPT_BYTES = 6, 512 << 20
+#: Tokens looked up together: so many for each piece of a level (a piece costs calls, however few n-grams it is asked for), and at most.
+PIECE_TOKENS, RUN_TOKENS = 1 << 14, 1 << 20
 #: Bits of a key of context and successor; a level with wider ones is counted in several passes over ranges of contexts.
 KEY_BITS = 63
 #: Probabilities are kept as -log10, rounded up to this part.
@@ -251,6 +253,21 @@ def _with_end(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return tokens, np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]]).astype(np.int64)
 
 
+def _runs(texts: pa.Array, pieces: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word hashes, words of each row) for runs of whole rows, which have more tokens where levels have more pieces."""
+    wanted = min(PIECE_TOKENS * pieces, RUN_TOKENS)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for _, words, counts in hashed(texts):
+        parts.append((words, counts))
+        size += len(words) + len(counts)
+        if size >= wanted:
+            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            parts, size = [], 0
+    if parts:
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 class _Sums:
     """Sums counts by key, sending blocks by segment when there are many keys. Keys keep the order of segments."""
 
@@ -362,13 +379,13 @@ def _merged(blocks: DataFrame, segments: list[int], build) -> dict[int, dict]:
     return {int(r["segment"]): r.asDict() for r in dealt.mapInArrow(run, _RESULT).collect()}
 
 
-def _counted(texts: DataFrame, keys_of, segment_of_keys) -> DataFrame:
-    """Blocks of the keys, sorted and distinct, and counts that keys_of(tokens, starts) gives for all texts."""
+def _counted(texts: DataFrame, keys_of, segment_of_keys, pieces: int) -> DataFrame:
+    """Blocks of the keys, sorted and distinct, and counts that keys_of(tokens, starts) gives for all texts. pieces: of the levels that it looks into."""
 
     def run(batches):
         sums = _Sums(segment_of_keys)
         for batch in batches:
-            for _, words, counts in hashed(batch.column(0)):
+            for words, counts in _runs(batch.column(0), pieces):
                 sums.add(*keys_of(*_with_end(words, counts)))
                 yield from sums.blocks(False)
         yield from sums.blocks(True)
@@ -453,7 +470,7 @@ def _level(spark, texts: DataFrame, meta: dict, n: int, folder: str, above: dict
             ctx, sub = parts_of(keys)
             return pieces.of(ctx + base, sub)
 
-        return _merged(_counted(texts, lambda tokens, starts: keys_of(tokens, starts, base, end), piece_of), list(range(first, last + 1)), build)
+        return _merged(_counted(texts, lambda tokens, starts: keys_of(tokens, starts, base, end), piece_of, most_pieces(meta)), list(range(first, last + 1)), build)
 
     first = 0
     while first < len(pieces.ctx):  # one pass, unless keys do not fit in 64 bits
@@ -501,7 +518,7 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     def build(segment, keys, counts):
         return len(keys), int(counts.sum()), save(folder, f"words-{segment}", EliasFano.of(keys).arrays("list") | {"count": counts}), _cuts(counts, target)
 
-    done = _merged(_counted(texts, words, lambda keys: segment_of(keys, segments)), list(range(segments)), build)
+    done = _merged(_counted(texts, words, lambda keys: segment_of(keys, segments), 0), list(range(segments)), build)
     offsets = [0, *np.cumsum([done[s]["n"] for s in range(segments)]).tolist()]
     meta = {"segments": segments, "files": {1: [done[s]["file"] for s in range(segments)]}, "pieces": {}, "total": sum(done[s]["total"] for s in range(segments)), "offsets": offsets}
     for n in (2, 3):
@@ -509,6 +526,11 @@ def train(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     return meta
 
 
+def most_pieces(meta: dict) -> int:
+    """Pieces of the level with most of them, of those that have files."""
+    return max(len(f) for f in meta["files"].values())
+
+
 _tries: dict[tuple, Trie] = {}
 
 
@@ -535,7 +557,7 @@ def score_texts(docs: DataFrame, meta: dict, id_col: str = "doc_id", text_col: s
         trie = _trie(meta)
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], []]
-            for _, words, counts in hashed(batch.column(2)):
+            for words, counts in _runs(batch.column(2), most_pieces(meta)):
                 tokens, starts = _with_end(words, counts)
                 base, model, known = trie.score(tokens, starts)
                 for c, v in zip(cols, (counts + 1, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(model, starts)), strict=True):

@@ -353,6 +353,24 @@ def test_language_model_odd_and_empty(odd, empty, tmp_path):
     assert {r["n_known"] for r in lm.score_texts(odd, none).collect()} == {0} and lm.score_texts(empty, none).count() == 0
 
 
+def test_lookups_do_not_grow_with_pieces(spark, docs, tmp_path, monkeypatch):
+    """A trie of many pieces is searched for longer runs of texts: not once a piece and MB of text."""
+    trie = lm.train(docs, f"file://{tmp_path}/lm", piece_bytes=4_000)
+    texts = pa.array([r["text"] for r in docs.collect()] * 8)
+    opened, calls, search = lm.Trie(trie), [], lm.lower_bound
+    monkeypatch.setattr(lm, "lower_bound", lambda *a: calls.append(1) or search(*a))
+    runs = list(lm._runs(texts, lm.most_pieces(trie)))
+    for w, n in runs:
+        opened.score(*lm._with_end(w, n))
+    pieces = len(trie["files"][2]) + len(trie["files"][3])
+    assert texts.nbytes > 3 << 20 and pieces > 200 and len(calls) <= pieces
+    parts = list(words.hashed(texts))
+    assert len(parts) > 3 and all((np.concatenate([p[k + 1] for p in parts]) == np.concatenate([r[k] for r in runs])).all() for k in (0, 1))
+    few = list(lm._runs(texts, 1))
+    assert len(few) == len(parts) and max(len(w) for w, _ in few) < 1 << 20
+    assert list(lm._runs(pa.array([], pa.string()), 5)) == []
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 1 << 63, 1000, np.uint64))
