@@ -42,6 +42,13 @@ def unpack(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
     """The packed numbers with the given indexes."""
     if not width:
         return np.zeros(len(at), np.uint64)
+    if width <= 57:  # with the bits before it in its first byte, a number lies in the eight bytes from there
+        every = np.ndarray(max(1, words.nbytes - 7), np.uint64, words, strides=(1,))
+        bit = at.astype(np.int64) * width
+        out = every[bit >> 3]
+        out >>= (bit & 7).view(np.uint64)
+        out &= np.uint64((1 << width) - 1)
+        return out
     bit = at.astype(np.uint64) * np.uint64(width)
     word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
     low = words[word] >> shift
@@ -81,12 +88,28 @@ class EliasFano:
         before = ((sums << np.uint64(8)) >> shift) & np.uint64(255)
         return (shift + _SELECT[(words >> shift) & np.uint64(255), k - before]).astype(np.int64)
 
+    def _one(self, at: np.ndarray) -> np.ndarray:
+        """Place of the set bit of high with each rank."""
+        word = np.searchsorted(self.ones, at, "right") - 1
+        return word * 64 + self._in_word(self.high[word], at - self.ones[word])
+
+    def _at(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | unpack(self.low, self.low_bits, at)
+
     def get(self, at: np.ndarray) -> np.ndarray:
         """Numbers with the given indexes."""
         at = at.astype(np.int64)
-        word = np.searchsorted(self.ones, at, "right") - 1
-        place = word * 64 + self._in_word(self.high[word], at - self.ones[word])
-        return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | unpack(self.low, self.low_bits, at)
+        return self._at(at, self._one(at))
+
+    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers with the given indexes, and those after them: the next set bit is in the same word, mostly."""
+        at = at.astype(np.int64)
+        place = self._one(at)
+        rest = self.high[place >> 6] >> (place & 63).astype(np.uint64) >> np.uint64(1)
+        after = place + 1 + np.bitwise_count(~rest & (rest - np.uint64(1)))
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._one(at[far] + 1)
+        return self._at(at, place), self._at(at + 1, after)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th clear bit of high, from 0."""
@@ -127,15 +150,19 @@ def lower_bound(get, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> np.n
     """First index in [lo, hi) whose number is at least the wanted one, else hi; all ranges at once."""
     lo, hi = lo.astype(np.int64).copy(), hi.astype(np.int64)
     open_ = np.flatnonzero(lo < hi)
-    a, b, w = lo[open_], hi[open_], wanted[open_]
-    while len(open_):
-        mid = (a + b) >> 1
+    a, n, w = lo[open_], (hi - lo)[open_], wanted[open_]
+    while len(open_):  # n numbers are left from a on
+        half = n >> 1
+        mid = a + half
         less = get(mid) < w
-        a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
-        on = a < b
-        if not on.all():
-            lo[open_[~on]] = a[~on]
-            open_, a, b, w = open_[on], a[on], b[on], w[on]
+        np.copyto(a, mid + 1, where=less)
+        n -= less
+        n -= half
+        np.copyto(n, half, where=~less)
+        on = np.flatnonzero(n)
+        if len(on) < len(n):
+            lo[open_] = a
+            open_, a, n, w = open_[on], a[on], n[on], w[on]
     return lo
 
 

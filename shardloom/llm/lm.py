@@ -151,25 +151,30 @@ class Trie:
             out[at] = self.level(1, s)["count"][ids[at] - self.offsets[s]]
         return out
 
-    def find(self, n: int, ctx: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank in level n or -1, place among the successors of the context) of contexts with successors; negative ones are not found."""
-        rank, place = np.full(len(ctx), -1, np.int64), np.full(len(ctx), -1, np.int64)
+    def find(self, n: int, ctx: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rank in level n or -1, place among the successors of the context, log10 probability) of contexts with successors; negative ones are not found."""
+        rank, place, p = np.full(len(ctx), -1, np.int64), np.full(len(ctx), -1, np.int64), np.zeros(len(ctx))
         known, pieces = np.flatnonzero((ctx >= 0) & (sub >= 0)), self.pieces[n]
         for at, s in _groups(pieces.of(ctx[known], sub[known])):
             at, level = known[at], self.level(n, s)
-            own, back = np.unique(ctx[at] - pieces.ctx[s], return_inverse=True)
-            begin, end = (level["list"].get(own + k).astype(np.int64)[back] for k in (0, 1))
+            own = ctx[at] - pieces.ctx[s]
+            new = np.ones(len(own), bool)  # queries come by context, mostly
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            own, back = own[new], np.cumsum(new) - 1
+            begin, end = (x.astype(np.int64)[back] for x in level["list"].pairs(own))
             width = int(level["wide"][0])
             wanted = sub[at].astype(np.uint64)
             get = lambda i: unpack(level["ids"], width, i)  # noqa: B023, E731
             found = lower_bound(get, begin, end, wanted)
-            hit = found < end
-            hit[hit] = get(found[hit]) == wanted[hit]
-            rank[at[hit]] = found[hit] + pieces.offset[s]
+            hit = np.flatnonzero(found < end)
+            hit = hit[get(found[hit]) == wanted[hit]]
+            at, found = at[hit], found[hit]
+            rank[at] = found + pieces.offset[s]
             # in a piece of a cut context, the places begin in its first piece
             first = pieces.offset[s] - pieces.offset[int(np.searchsorted(pieces.ctx, pieces.ctx[s]))]
-            place[at[hit]] = found[hit] - begin[hit] + first
-        return rank, place
+            place[at] = found - begin[hit] + first
+            p[at] = logs(level["p"][found])
+        return rank, place, p
 
     def first_rank(self, n: int, ctx: np.ndarray) -> np.ndarray:
         """Rank in level n of each context's first successor."""
@@ -199,7 +204,7 @@ class Trie:
         """log10 probability of words by their counts."""
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
 
-    def bigrams(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
+    def bigrams(self, g: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.find(2, g.ids[g.before], g.ids[g.after])
 
     def trigrams(self, g: Grams, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,20 +218,16 @@ class Trie:
         """Per token (base log10, model log10, known) of token hashes, END after each text; starts: first tokens of texts."""
         g = self.grams(hashes, starts)
         base = self.first(g.counts)
-        rank, place = self.bigrams(g)
-        hit = rank >= 0
-        pairs = base[g.after] + self.left(2, g.ids[g.before])
-        pairs[hit] = self.of_rank(2, rank[hit], "p")
+        rank, place, p = self.bigrams(g)
+        pairs = np.where(rank >= 0, p, base[g.after] + self.left(2, g.ids)[g.before])
         model = pairs[g.pair]
         below = np.flatnonzero(g.prior >= 0)
         used = np.zeros(len(rank), bool)
         used[g.prior[below]] = True
         model[below] += self.left(3, np.where(used, rank, -1))[g.prior[below]]
         at, which, ctx, sub = self.trigrams(g, rank, place)
-        found, _ = self.find(3, ctx, sub)
+        found, _, p = self.find(3, ctx, sub)
         hit = found >= 0
-        p = np.zeros(len(found))
-        p[hit] = self.of_rank(3, found[hit], "p")
         model[at[hit[which]]] = p[which[hit[which]]]
         return base[g.word], model, (g.counts > 0)[g.word]
 
@@ -418,8 +419,9 @@ def _finish(trie: Trie, n: int, s: int, folder: str, ctx: np.ndarray, sub: np.nd
         if n == 2:
             lower = trie.first(trie.counts(c))
         else:  # the bigram below (a, b, c) is the one at c's place among the successors of b
-            b, where = np.unique(trie.of_rank(2, trie.pieces[3].ctx[s] + own, "ids"), return_inverse=True)
-            lower = trie.of_rank(2, trie.first_rank(2, b)[where] + c, "p")
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            b, where = np.unique(trie.of_rank(2, trie.pieces[3].ctx[s] + own[new], "ids"), return_inverse=True)
+            lower = trie.of_rank(2, np.repeat(trie.first_rank(2, b)[where], np.diff(np.append(new, len(own)))) + c, "p")
         p[part] = (counts[part] - DISCOUNT) / (total[own] + SMOOTH) + left[own] * 10**lower
     pointers = np.searchsorted(ctx, np.arange(len(total) + 1))
     wide = max(1, int(sub.max(initial=0)).bit_length())
@@ -442,7 +444,7 @@ def _level(spark, texts: DataFrame, meta: dict, n: int, folder: str, above: dict
         if n == 2:
             ctx, sub, times = g.ids[g.before], g.ids[g.after], g.times
         else:
-            _, which, ctx, sub = trie.trigrams(g, *trie.bigrams(g))
+            _, which, ctx, sub = trie.trigrams(g, *trie.bigrams(g)[:2])
             times = np.bincount(which, minlength=len(ctx))
         ok = (ctx >= base) & (ctx < end) & (sub >= 0)
         if not ok.all():

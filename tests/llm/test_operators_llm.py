@@ -371,6 +371,23 @@ def test_lookups_do_not_grow_with_pieces(spark, docs, tmp_path, monkeypatch):
     assert list(lm._runs(pa.array([], pa.string()), 5)) == []
 
 
+@pytest.mark.parametrize("width", [1, 7, 17, 33, 57, 58, 64])
+def test_unpack(width):
+    rng = np.random.default_rng(width)
+    values = rng.integers(0, (1 << width) - 1, 1000, np.uint64, endpoint=True)
+    packed, at = eliasfano.pack(values, width), rng.permutation(1000)
+    assert (eliasfano.unpack(packed, width, at) == values[at]).all()
+
+
+@pytest.mark.parametrize("n,top", [(2, 1), (5, 3), (1000, 10), (1000, 1000), (1000, 1 << 40), (20000, 30000)])
+def test_neighbouring_numbers(n, top):
+    rng = np.random.default_rng(n)
+    v = np.sort(rng.integers(0, top, n, np.uint64))
+    at = rng.integers(0, n - 1, 500)
+    own, after = eliasfano.EliasFano.of(v).pairs(at)
+    assert (own == v[at]).all() and (after == v[at + 1]).all()
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 1 << 63, 1000, np.uint64))
