@@ -37,12 +37,13 @@ def crawl(pages: DataFrame, seeds: DataFrame, rules: DataFrame, steps: int, gap:
     """(status by key, fetches and bytes by host, updates by status and bytes, last crawl by host) after so many frontier steps from seeds (url).
 
     Pages stand for the network: a URL that is not stored is a fetch error; a blocked one counts
-    no bytes. A step takes place every step_seconds. With gap, it fetches one due URL of each host,
+    no bytes. A URL that is stored more than once is one fetch, which counts the bytes of its largest
+    page and follows the links of all. A step takes place every step_seconds. With gap, it fetches one due URL of each host,
     the first by key, and only of hosts whose last crawl is gap seconds ago or more; the others
     stay due.
     """
-    stored = pages.select("url", F.octet_length("html").cast("long").alias("size"))
-    out = page_links(pages).select("url", "link")
+    stored = pages.groupBy("url").agg(F.max(F.coalesce(F.octet_length("html"), F.lit(0))).cast("long").alias("size"))
+    out = page_links(pages).select("url", "link").distinct()
     name = lambda u: url_key(host(u), u)
     state = KeyedTable.of(FETCH, seeds.select(name(F.col("url")).alias("key"), F.lit(STATUS["should_fetch"]).alias("status")))
     spark = pages.sparkSession

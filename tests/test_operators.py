@@ -345,6 +345,17 @@ def test_polite_crawl(spark):
     assert {r["host"]: r["at"] for r in times.df.collect()} == {"h0.com": 30, "h1.com": 30}
 
 
+def test_crawl_of_a_url_stored_twice(spark):
+    """It is fetched once, with the bytes of its largest page, and the links of both are followed."""
+    rows = [(0, "http://h.com/a", '<a href="/x">'), (1, "http://h.com/a", '<a href="/y">   '), (2, "http://h.com/b", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([], "host string, rule string")
+    for steps, want, fetched in ((1, {4: 2, 10: 16}, 2), (2, {4: 2, 6: 2, 10: 16}, 4)):
+        _, counts, updates, _ = crawl.crawl(pages, pages.select("url"), rules, steps)
+        assert {r["status"]: r["n"] for r in updates.df.collect()} == want
+        assert [tuple(r) for r in counts.df.select("host", "fetched", "bytes").collect()] == [("h.com", fetched, 16)]
+
+
 def test_shared_folder_is_wanted_off_one_machine():
     from types import SimpleNamespace
 
