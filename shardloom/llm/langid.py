@@ -43,53 +43,59 @@ class Network:
     def label(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Sums (windows, languages) of the log probabilities of positions first to last (exclusive) of windows begin to end.
 
-        Features stand in rows and windows in columns; windows that have ended drop out of the step.
+        Windows stand in rows, the longest first, and those that reach a position are the first of
+        them. The backward states begin at the last position and take windows in as it reaches
+        their ends, so both directions meet at a position, where its labels are summed at once.
         """
         order = np.argsort(begin - end, kind="stable")
-        begin, end, first, last = begin[order], end[order], first[order], last[order]
+        begin, end, first, last = begin[order], end[order], first[order] - begin[order], last[order] - begin[order]
         length = end - begin
-        steps = int(length[0])
+        steps, n = int(length[0]), len(begin)
         running = np.searchsorted(-length, -np.arange(steps), "left")  # windows longer than k
-        z = [np.zeros((steps, len(self.langs), len(begin)), np.float32) for _ in "fb"]
-        for d, out in zip("fb", z, strict=True):
-            table, u = np.ascontiguousarray((self.w["E"] @ self.w["X" + d] + self.w["B" + d]).T), np.ascontiguousarray(self.w["H" + d].T)
+        forward = np.empty((steps, len(self.langs), n), np.float32)
+        sums = np.zeros((len(self.langs), n))
+        for d in "fb":
+            # an update or reset gate is (1 + tanh(x / 2)) / 2; the halves are taken into the weights
+            gates, u = (self.w["E"] @ self.w["X" + d] + self.w["B" + d]), self.w["H" + d]
+            tables = [np.ascontiguousarray(x * s) for x, s in zip(np.split(gates, 3, axis=1), (0.5, 0.5, 1), strict=True)]
+            us = [np.ascontiguousarray(x) for x in np.split(u * np.float32(0.5), 3, axis=1)]
             half = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
             read = np.ascontiguousarray(self.w["O"][half].T)
-            state = np.zeros((HIDDEN, len(begin)), np.float32)
-            for k in range(steps):
-                n = int(running[k])
-                if n < state.shape[1]:
-                    state = np.ascontiguousarray(state[:, :n])
-                at = begin[:n] + k if d == "f" else end[:n] - 1 - k
-                state = _column_step(table.take(data[at], axis=1), state, u)
-                out[k, :, :n] = read @ state
-        place = np.arange(steps)[:, None]
-        back = np.clip(length[None] - 1 - place, 0, None)
-        both = z[0] + np.take_along_axis(z[1], back[:, None, :], axis=0) + self.w["C"][None, :, None]
-        both -= both.max(axis=1, keepdims=True)
-        both -= np.log(np.exp(both).sum(axis=1, keepdims=True))
-        own = (place >= first - begin) & (place < last - begin)
-        sums = np.empty((len(begin), len(self.langs)))
-        sums[order] = np.einsum("tln,tn->nl", both, own.astype(np.float32))
-        return sums
-
-
-def _column_step(gates: np.ndarray, state: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """_step without what training keeps, with windows in columns; changes its arguments."""
-    s = u @ state
-    zr, c = gates[: 2 * HIDDEN], s[2 * HIDDEN :]
-    zr += s[: 2 * HIDDEN]
-    zr *= 0.5
-    np.tanh(zr, out=zr)
-    zr += 1
-    zr *= 0.5
-    c *= zr[HIDDEN:]
-    c += gates[2 * HIDDEN :]
+            state, room = np.zeros((n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32)
+            for k in range(steps) if d == "f" else reversed(range(steps)):
+                m = int(running[k])
+                own = state[:m]
+                _row_step(tables, us, data[begin[:m] + k].astype(np.intp), own, room[:, :m])
+                if d == "f":
+                    np.matmul(read, own.T, out=forward[k, :, :m])
+                    continue
+                both = forward[k, :, :m] + read @ own.T
+                both += self.w["C"][:, None]
+                both -= both.max(axis=0)
+                both -= np.log(np.exp(both).sum(axis=0))
+                both *= (first[:m] <= k) & (k < last[:m])
+                sums[:, :m] += both
+        out = np.empty((n, len(self.langs)))
+        out[order] = sums.T
+        return out
+
+
+def _row_step(tables: list[np.ndarray], us: list[np.ndarray], byte: np.ndarray, state: np.ndarray, room: np.ndarray) -> None:
+    """_step without what training keeps, by weights with their halves; changes state. room: arrays like state."""
+    z, r, c, s = room
+    for gate, table, u in ((z, tables[0], us[0]), (r, tables[1], us[1])):
+        np.take(table, byte, axis=0, out=gate, mode="clip")
+        gate += np.matmul(state, u, out=s)
+        np.tanh(gate, out=gate)
+        gate += 1
+    np.matmul(state, us[2], out=c)
+    c *= r
+    c += np.take(tables[2], byte, axis=0, out=r, mode="clip")
     np.tanh(c, out=c)
+    z *= 0.5
     state -= c
-    state *= zr[:HIDDEN]
+    state *= z
     state += c
-    return state
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

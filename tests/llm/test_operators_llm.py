@@ -270,6 +270,22 @@ def test_language_does_not_depend_on_the_batch(docs, net, monkeypatch):
     assert np.allclose(whole, langid.label_texts(net, *words.columns_bytes(texts)), atol=1e-4)
 
 
+def test_language_labels_are_summed_as_directions_meet():
+    """Beside the forward labels of all positions, labelling keeps what belongs to one position."""
+    import tracemalloc
+
+    net = langid._start(tuple("abcd"), np.random.default_rng(1))
+    data = np.random.default_rng(2).integers(0, 256, 400_000).astype(np.uint8)
+    begin = np.arange(0, len(data), 200)
+    tracemalloc.start()
+    try:
+        net.label(data, begin, begin + 200, begin + 20, begin + 180)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * 4 * 4 * len(data)
+
+
 def test_all_languages_are_learned(spark):
     rows = [(k, "".join(chr(97 + (k % 30 + j * j) % 26) for j in range(60)), f"l{k % 30}") for k in range(300)]
     assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=10).langs) == 30
