@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import sized
 from .driver import cut, iterate, scratch
 
 #: Damping, rank given to every page in each step, distance that counts as unreached.
@@ -19,32 +20,41 @@ def page_rank(edges: DataFrame, steps: int, src: str = "src", dst: str = "dst",
     """(node, rank) after so many steps; repeated links count each time.
 
     A step gives every page RESTART and every link's target its part of the source's rank. The
-    state begins empty, so the first step gives RESTART everywhere. Links are weighted once and
-    kept dealt by their source, so a step joins them where they are and only the sums move. Links of
-    a page with very many are dealt in parts by their target, and its rank is sent to all of them.
+    state begins empty, so the first step gives RESTART everywhere. Links move once: they are dealt
+    and sorted by their source and kept so, and a step merges the pages' shares into them where they
+    are, so that only the sums move. Links of a page with very many are counted by target and dealt
+    in parts, and its share is sent to all of them.
     With pages the table is dense: it holds 0 to pages - 1, also those without links, which all get
     RESTART; else it holds the pages that link.
     """
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = edges.groupBy(src, dst).agg(F.count(F.lit(1)).alias("times"))
-    degree = cut(counted.groupBy(src).agg(F.sum("times").alias("degree"), F.ceil(F.count(F.lit(1)) / PART_LINKS).cast("int").alias("parts")), "degree")
-    links = counted.join(degree, src).select(F.col(src).alias("src"), F.pmod(F.xxhash64(dst), "parts").cast("int").alias("part"), F.col(dst).alias("dst"), (F.col("times") * DAMPING / F.col("degree")).alias("share"))
-    links = cut(links, "links").repartition(n, "src", "part").persist()
-    nodes = degree.select(F.col(src).alias("node")) if pages is None else edges.sparkSession.range(pages).select(F.col("id").alias("node"))
-    restart = nodes.select("node", F.lit(RESTART).alias("rank"))
-    heavy = degree.where("parts > 1").select(F.col(src).alias("node"), "parts")  # one for each PART_LINKS links at most
+    links = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    degree = cut(links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    degree = degree.withColumn("parts", F.ceil(F.col("degree") / PART_LINKS).cast("int"))
+    heavy = degree.where("parts > 1").select("src", "parts")  # one for each PART_LINKS links at most
     split = not heavy.isEmpty()
+    keys = ["src", "part"] if split else ["src"]
+    if split:
+        heavy = sized(heavy)
+        many = links.join(heavy, "src").groupBy("src", "dst", "parts").agg(F.count(F.lit(1)).alias("times"))
+        many = many.select("src", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), "dst", "times")
+        links = links.join(heavy, "src", "left_anti").select("src", F.lit(0).alias("part"), "dst", F.lit(1).cast("long").alias("times")).unionByName(many)
+    links = links.repartition(n, *keys).sortWithinPartitions(*keys).persist()
+    shares = degree.select("src", (F.lit(DAMPING) / F.col("degree")).alias("share"), "parts").repartition(n, "src").sortWithinPartitions("src").persist()
+    for kept in (links, shares):
+        kept.count()  # how a kept table is dealt and sorted is used only once it is there
+    nodes = degree.select(F.col("src").alias("node")) if pages is None else edges.sparkSession.range(pages).select(F.col("id").alias("node"))
+    restart = nodes.select("node", F.lit(RESTART).alias("rank"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
-        if split:
-            state = state.join(heavy, "node", "left").select("node", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        else:
-            state = state.withColumn("part", F.lit(0))
-        sent = state.join(links, (state["node"] == links["src"]) & (state["part"] == links["part"])).select(F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("rank"))
+        part = [F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")] if split else []
+        own = state.join(shares, state["node"] == shares["src"]).select("src", (F.col("rank") * F.col("share")).alias("each"), *part)
+        sent = own.join(links, keys).select(F.col("dst").alias("node"), (F.col("each") * F.col("times") if split else F.col("each")).alias("rank"))
         return restart.unionByName(sent).groupBy("node").agg(F.sum("rank").alias("rank"))
 
     out = cut(iterate(restart, step, steps - 1, every), "ranks")
     links.unpersist()
+    shares.unpersist()
     return out
 
 

@@ -227,6 +227,33 @@ def test_page_rank_of_a_page_with_many_links(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+def test_page_rank_sorts_links_once(spark, monkeypatch):
+    """A step merges the state into the kept links, without a sort or an exchange of them."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)], "src long, dst long")
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name="step": (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph.page_rank(edges, 2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [(len(x) - len(x.lstrip(" :+-*")), x.lstrip(" :+-*")) for x in plans[-1].splitlines()]
+    at = next(k for k, (_, x) in enumerate(lines) if x.startswith("InMemoryTableScan") and "dst" in x)
+    above = []
+    for depth, text in reversed(lines[:at]):
+        if depth < (above[-1][0] if above else lines[at][0]):
+            above.append((depth, text))
+    assert next(text for _, text in above if not text.startswith(("Filter", "Project"))).startswith("SortMergeJoin")
+
+
+def test_page_rank_of_missing_and_repeated_links_in_parts(spark, monkeypatch):
+    edges = spark.createDataFrame([(0, 1)] * 30 + [(0, 2), (0, None), (None, 0), (1, 0)] * 3, "src long, dst long")
+    want = {r["node"]: r["rank"] for r in graph.page_rank(edges, 3).collect()}
+    monkeypatch.setattr(graph, "PART_LINKS", 7)
+    got = {r["node"]: r["rank"] for r in graph.page_rank(edges, 3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_hops(spark):
     edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (5, 0)], "src long, dst long")
     assert {r["node"]: r["hops"] for r in graph.hops(edges, 0).collect()} == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: -1}
