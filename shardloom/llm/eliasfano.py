@@ -20,6 +20,8 @@ _SELECT = np.zeros((256, 9), np.uint8)
 for _b in range(256):
     _at = np.flatnonzero(_BITS[_b])
     _SELECT[_b, : len(_at)] = _at
+#: Numbers packed at a time, a multiple of 64.
+PART = 1 << 18
 #: A one in each byte, and each byte's top bit.
 _ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
@@ -28,13 +30,13 @@ def pack(values: np.ndarray, width: int) -> np.ndarray:
     """Numbers of width bits (0 to 64), one after the other, in 64-bit words."""
     n = len(values)
     out = np.zeros(n * width // 64 + 2, np.uint64)
-    if n and width:
-        values = values.astype(np.uint64)
-        bit = np.arange(n, dtype=np.uint64) * np.uint64(width)
+    for lo in range(0, n if width else 0, PART):  # a part begins with a word
+        own = values[lo : lo + PART].astype(np.uint64)
+        bit = np.arange(lo, lo + len(own), dtype=np.uint64) * np.uint64(width)
         word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
-        np.bitwise_or.at(out, word, values << shift)
+        np.bitwise_or.at(out, word, own << shift)
         over = shift + np.uint64(width) > np.uint64(64)
-        np.bitwise_or.at(out, word[over] + 1, values[over] >> (np.uint64(64) - shift[over]))
+        np.bitwise_or.at(out, word[over] + 1, own[over] >> (np.uint64(64) - shift[over]))
     return out
 
 

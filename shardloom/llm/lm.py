@@ -308,7 +308,9 @@ def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     if not len(keys):
         return keys, counts
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
+    counts = counts[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts, first)
 
@@ -412,9 +414,9 @@ def _pieces(above: dict[int, dict], offset: np.ndarray, target: int, successors)
 def _finish(trie: Trie, n: int, s: int, folder: str, ctx: np.ndarray, sub: np.ndarray, counts: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> str:
     """Write piece s of level n. total, distinct: tokens and successors of its contexts, in all pieces."""
     left = 1 - (total - DISCOUNT * distinct) / (total + SMOOTH)
-    p = np.zeros(len(counts))
-    for lo in range(0, len(counts), 1 << 20):
-        part = slice(lo, lo + (1 << 20))
+    p = np.zeros(len(counts), np.uint16)
+    for lo in range(0, len(counts), 1 << 18):
+        part = slice(lo, lo + (1 << 18))
         own, c = ctx[part], sub[part]
         if n == 2:
             lower = trie.first(trie.counts(c))
@@ -422,10 +424,10 @@ def _finish(trie: Trie, n: int, s: int, folder: str, ctx: np.ndarray, sub: np.nd
             new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             b, where = np.unique(trie.of_rank(2, trie.pieces[3].ctx[s] + own[new], "ids"), return_inverse=True)
             lower = trie.of_rank(2, np.repeat(trie.first_rank(2, b)[where], np.diff(np.append(new, len(own)))) + c, "p")
-        p[part] = (counts[part] - DISCOUNT) / (total[own] + SMOOTH) + left[own] * 10**lower
+        p[part] = quantise((counts[part] - DISCOUNT) / (total[own] + SMOOTH) + left[own] * 10**lower)
     pointers = np.searchsorted(ctx, np.arange(len(total) + 1))
     wide = max(1, int(sub.max(initial=0)).bit_length())
-    arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(sub, wide), "wide": np.array([wide]), "p": quantise(p), "back": quantise(np.clip(left, 1e-12, 1.0))}
+    arrays = EliasFano.of(pointers).arrays("list") | {"ids": pack(sub, wide), "wide": np.array([wide]), "p": p, "back": quantise(np.clip(left, 1e-12, 1.0))}
     return save(folder, f"level{n}-{s}", arrays)
 
 

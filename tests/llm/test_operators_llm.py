@@ -270,6 +270,27 @@ def test_language_does_not_depend_on_the_batch(docs, net, monkeypatch):
     assert np.allclose(whole, langid.label_texts(net, *words.columns_bytes(texts)), atol=1e-4)
 
 
+def test_packing_and_smoothing_a_piece_needs_little_memory(tmp_path):
+    """Beside its arguments, a piece of a level takes some 50 bytes an n-gram at most while it is written."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    rng, n, size = np.random.default_rng(3), 1_500_000, 500_000
+    for width in (1, 13, 64):
+        values = rng.integers(0, 1 << min(width, 63), 600_001).astype(np.uint64)
+        assert (eliasfano.unpack(eliasfano.pack(values, width), width, np.arange(len(values))) == values).all()
+    ctx, sub, counts = np.sort(rng.integers(0, size, n)), rng.integers(0, 1 << 20, n), np.ones(n, np.int64)
+    total, distinct = np.bincount(ctx, counts, size), np.bincount(ctx, minlength=size)
+    flat = SimpleNamespace(counts=lambda ids: ids, first=lambda counts: np.full(len(counts), -3.0))
+    tracemalloc.start()
+    try:
+        lm._finish(flat, 2, 0, f"file://{tmp_path}", ctx, sub, counts, total, distinct)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 50 * n
+
+
 def test_language_labels_are_summed_as_directions_meet():
     """Beside the forward labels of all positions, labelling keeps what belongs to one position."""
     import tracemalloc
