@@ -29,6 +29,8 @@ SAMPLE_ROWS, DRAWS, STRETCH = 4000, 24, 40
 WINDOW, AROUND = 192, 24
 #: Sizes of the network, training steps, stretches in a step, windows computed together.
 EMBED, HIDDEN, STEPS, BATCH, TOGETHER = 12, 16, 400, 96, 2048
+#: Signs and factors of the update gate, the reset gate and the candidate in an exponent.
+SCALES = np.array([-1, -1, 2], np.float32)
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,61 +42,92 @@ class Network:
     langs: tuple[str, ...]
     w: dict[str, np.ndarray]
 
+    @np.errstate(over="ignore")  # in the exponents of gates
     def label(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Sums (windows, languages) of the log probabilities of positions first to last (exclusive) of windows begin to end.
 
-        Windows stand in rows, the longest first, and those that reach a position are the first of
-        them. The backward states begin at the last position and take windows in as it reaches
-        their ends, so both directions meet at a position, where its labels are summed at once.
+        Windows stand in rows, the widest first, and those that have a position are the first of
+        them. Each direction reads the bytes before its first labelled position, then the labelled
+        ones, and stops there. The backward states begin at the last position and take windows in as
+        it reaches their ends, so both directions meet at a position, where its labels are summed at once.
         """
-        order = np.argsort(begin - end, kind="stable")
-        begin, end, first, last = begin[order], end[order], first[order] - begin[order], last[order] - begin[order]
-        length = end - begin
-        steps, n = int(length[0]), len(begin)
-        running = np.searchsorted(-length, -np.arange(steps), "left")  # windows longer than k
+        order = np.argsort(first - last, kind="stable")
+        first, last = first[order], last[order]
+        width = last - first
+        steps, n = int(width[0]), len(first)
+        running = np.searchsorted(-width, -np.arange(steps), "left")  # windows wider than k
         forward = np.empty((steps, len(self.langs), n), np.float32)
         sums = np.zeros((len(self.langs), n))
+        room = _rows(5, n)
+        state = room[0]
         for d in "fb":
-            # an update or reset gate is (1 + tanh(x / 2)) / 2; the halves are taken into the weights
             gates, u = (self.w["E"] @ self.w["X" + d] + self.w["B" + d]), self.w["H" + d]
-            tables = [np.ascontiguousarray(x * s) for x, s in zip(np.split(gates, 3, axis=1), (0.5, 0.5, 1), strict=True)]
-            us = [np.ascontiguousarray(x) for x in np.split(u * np.float32(0.5), 3, axis=1)]
+            tables, us = _rows(3, 256), _rows(3, HIDDEN)
+            for k, scale in enumerate(SCALES):
+                part = slice(k * HIDDEN, (k + 1) * HIDDEN)
+                tables[k], us[k] = gates[:, part] * scale, u[:, part] * scale
             half = slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)
             read = np.ascontiguousarray(self.w["O"][half].T)
-            state, room = np.zeros((n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32)
+            _warm(tables, us, data, room, *((first, first - begin[order], -1) if d == "f" else (last - 1, end[order] - last, 1)))
             for k in range(steps) if d == "f" else reversed(range(steps)):
                 m = int(running[k])
                 own = state[:m]
-                _row_step(tables, us, data[begin[:m] + k].astype(np.intp), own, room[:, :m])
+                _row_step(tables, us, data[first[:m] + k].astype(np.intp), own, room[1:, :m])
+                both = forward[k, :, :m]
                 if d == "f":
-                    np.matmul(read, own.T, out=forward[k, :, :m])
+                    np.matmul(read, own.T, out=both)
                     continue
-                both = forward[k, :, :m] + read @ own.T
+                both += read @ own.T
                 both += self.w["C"][:, None]
                 both -= both.max(axis=0)
                 both -= np.log(np.exp(both).sum(axis=0))
-                both *= (first[:m] <= k) & (k < last[:m])
                 sums[:, :m] += both
         out = np.empty((n, len(self.langs)))
         out[order] = sums.T
         return out
 
 
-def _row_step(tables: list[np.ndarray], us: list[np.ndarray], byte: np.ndarray, state: np.ndarray, room: np.ndarray) -> None:
-    """_step without what training keeps, by weights with their halves; changes state. room: arrays like state."""
-    z, r, c, s = room
-    for gate, table, u in ((z, tables[0], us[0]), (r, tables[1], us[1])):
-        np.take(table, byte, axis=0, out=gate, mode="clip")
-        gate += np.matmul(state, u, out=s)
-        np.tanh(gate, out=gate)
-        gate += 1
+def _rows(count: int, n: int) -> np.ndarray:
+    """Arrays (n, HIDDEN) whose rows begin with lines of the cache, where numpy's loops are faster, and not all at one place of a page."""
+    rows = n + 9
+    space = np.empty(count * rows * HIDDEN + 16, np.float32)
+    return space[-space.ctypes.data % 64 // 4 :][: count * rows * HIDDEN].reshape(count, rows, HIDDEN)[:, :n]
+
+
+def _warm(tables: np.ndarray, us: np.ndarray, data: np.ndarray, room: np.ndarray, edge: np.ndarray, count: np.ndarray, way: int) -> None:
+    """Sets room[0] to the states after count bytes beyond edge, read towards it; way: on which side of it they lie."""
+    order = np.argsort(-count, kind="stable")
+    edge, count, state = edge[order], count[order], room[0]
+    state[:] = 0
+    for k in range(int(count[0]), 0, -1):
+        m = int(np.searchsorted(-count, -k, "right"))  # windows with k bytes or more there
+        _row_step(tables, us, data[edge[:m] + way * k].astype(np.intp), state[:m], room[1:, :m])
+    state[order] = state.copy()
+
+
+def _row_step(tables: np.ndarray, us: np.ndarray, byte: np.ndarray, state: np.ndarray, room: np.ndarray) -> None:
+    """_step without what training keeps, by weights times SCALES; changes state. room: four arrays like state.
+
+    A gate is 1 / (1 + exp(-x)), so what it multiplies is divided by 1 + exp(-x), and tanh(x) is
+    1 - 2 / (1 + exp(2 x)): numpy's exp is fast on all processors, its tanh only on some. Where
+    exp is infinite both have their limits.
+    """
+    gates, rest = room[:2], room[2:]
+    np.take(tables[0], byte, axis=0, out=gates[0], mode="clip")
+    np.take(tables[1], byte, axis=0, out=gates[1], mode="clip")
+    gates += np.matmul(state, us[:2], out=rest)
+    np.exp(gates, out=gates)
+    gates += 1
+    (z, r), c = gates, rest[0]
     np.matmul(state, us[2], out=c)
-    c *= r
+    c /= r
     c += np.take(tables[2], byte, axis=0, out=r, mode="clip")
-    np.tanh(c, out=c)
-    z *= 0.5
+    np.exp(c, out=c)
+    c += 1
+    np.divide(-2, c, out=c)
+    c += 1
     state -= c
-    state *= z
+    state /= z
     state += c
 
 

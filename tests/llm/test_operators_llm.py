@@ -1,5 +1,6 @@
 import math
 import random
+import warnings
 import zlib
 from collections import Counter, defaultdict
 
@@ -307,6 +308,30 @@ def test_language_labels_are_summed_as_directions_meet():
     assert peak < 2 * 4 * 4 * len(data)
 
 
+def test_language_runs_only_states_that_labels_need(monkeypatch):
+    """Each direction begins AROUND bytes before a window's own bytes, and stops at their end."""
+    net, step, rows = langid._start(tuple("abcd"), np.random.default_rng(1)), langid._row_step, []
+    monkeypatch.setattr(langid, "_row_step", lambda tables, us, byte, *rest: (rows.append(len(byte)), step(tables, us, byte, *rest)))
+    sizes = np.array([0, 1, 150, 192, 200, 1000, 5000])
+    at = np.cumsum([0, *sizes])
+    langid.label_texts(net, np.random.default_rng(2).integers(97, 123, at[-1]).astype(np.uint8), at)
+    edges = [b for n in sizes for b in range(langid.WINDOW, n, langid.WINDOW)]
+    after = [min(langid.AROUND, n - b) for n in sizes for b in range(langid.WINDOW, n, langid.WINDOW)]
+    assert sum(rows) == 2 * sizes.sum() + langid.AROUND * len(edges) + sum(after)
+
+
+def test_language_gates_that_are_wide_open_or_shut():
+    net = langid._start(tuple("abcd"), np.random.default_rng(1))
+    wide = langid.Network(net.langs, {k: v * np.float32(1 if k in "OC" else 30) for k, v in net.w.items()})
+    data = np.random.default_rng(2).integers(0, 256, 3000).astype(np.uint8)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = langid.label_texts(wide, data, np.array([0, 1000, 3000]))
+        one = langid.label_texts(wide, data, np.array([0, 1]))
+    with np.errstate(over="ignore"):
+        assert np.isfinite(got).all() and np.allclose(one[0], plain_labels(wide, bytes(data[:1]))[0], atol=1e-4)
+
+
 def test_all_languages_are_learned(spark):
     rows = [(k, "".join(chr(97 + (k % 30 + j * j) % 26) for j in range(60)), f"l{k % 30}") for k in range(300)]
     assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=10).langs) == 30
